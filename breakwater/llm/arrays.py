@@ -56,9 +56,7 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
     """Hashes of every window of `width` bytes, by start."""
-    n = len(sums) - width
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+    n = max(len(sums) - width, 0)
     return mix((sums[width:] - sums[:n]) * _power("down", _BASE_INV, len(sums))[:n])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakwater.llm import bpe, decontaminate, jaccard, line_windows, quality, toxicity
+from breakwater.llm import bpe, decontaminate, jaccard, line_windows, quality, repeats, toxicity
 from breakwater.llm.shared import crc_remainder
 
 
@@ -43,6 +43,11 @@ def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen = table(spark, sf_dir, "labels").where(crc_remainder(F.col("doc_id"), 5) != 0)
@@ -55,7 +60,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_bpe, op8_toxicity, op9_jaccard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_bpe, op5_repeats, op8_toxicity, op9_jaccard)}
 
 
 _LINES = """

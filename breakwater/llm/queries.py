@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakwater.llm import bpe, decontaminate, jaccard, line_windows, quality, repeats, toxicity
+from breakwater.llm import bpe, decontaminate, jaccard, line_windows, lm, quality, repeats, toxicity
 from breakwater.llm.shared import crc_remainder
 
 
@@ -59,8 +59,14 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), "0.9", 3)
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_remainder(F.col("doc_id"), 5) == 1
+    scored = lm.score(table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_bpe, op5_repeats, op8_toxicity, op9_jaccard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_bpe, op5_repeats, op8_toxicity, op9_jaccard, op10_lm)}
 
 
 _LINES = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,17 @@ BROADCAST_ROWS = 1_000_000
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the folder in spark.checkpoint.dir and read back, so that a lost executor costs no earlier stage.
 
-    Only where that setting is missing (a local test) is a temporary folder taken.
+    A written table, unlike checkpoint(), has its true size for the
+    optimiser. Only where that setting is missing (a local test) is a
+    temporary folder taken.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -35,7 +41,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (node, component), component being the smallest node.
 
     Labels spread by rounds of hooking (a node takes the least label among
-    its neighbours') and two pointer jumps, until no label changes. Each round
+    its neighbours') and a pointer jump, until no label changes. Each round
     joins and pre-aggregates on the executors; the driver sees one count.
     Nodes are the endpoints; loops are allowed; null endpoints are dropped.
     """
@@ -44,11 +50,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label = saved(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
     while True:
         seen = label.select(F.col("node").alias("v"), F.col("component").alias("far"))
-        best = both.join(seen, "v").groupBy(F.col("u").alias("node")).agg(F.min("far").alias("best"))
-        for _ in range(2):
-            step = best.join(label.select(F.col("node").alias("best"), F.col("component").alias("next")), "best")
-            best = step.select("node", F.least("best", "next").alias("best"))
-        new = saved(best.join(label.withColumnRenamed("component", "was"), "node").select("node", F.col("best").alias("component"), "was"))
+        best = both.join(seen, "v").groupBy(F.col("u").alias("node")).agg(F.min("far").alias("best"), F.min(F.when(F.col("u") == F.col("v"), F.col("far"))).alias("was"))
+        jump = label.select(F.col("node").alias("best"), F.col("component").alias("next"))
+        new = saved(best.join(jump, "best").select("node", F.least("best", "next").alias("component"), "was"))
         if new.where("component <> was").limit(1).count() == 0:
             return label
         label = new.select("node", "component")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakwater.llm import bpe, decontaminate, jaccard, line_windows, lm, quality, repeats, toxicity
+from breakwater.llm import bpe, decontaminate, jaccard, line_windows, lm, quality, rabitq, repeats, toxicity, url_tree
 from breakwater.llm.shared import crc_remainder
 
 
@@ -48,6 +48,17 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_vectors(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_tree.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen = table(spark, sf_dir, "labels").where(crc_remainder(F.col("doc_id"), 5) != 0)
@@ -66,7 +77,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_bpe, op5_repeats, op8_toxicity, op9_jaccard, op10_lm)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_bpe, op5_repeats, op6_vectors, op7_urls, op8_toxicity, op9_jaccard, op10_lm)}
 
 
 _LINES = """

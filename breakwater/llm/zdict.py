@@ -34,10 +34,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     labels, null texts and labels other than 0 and 1 are left out.
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").distinct()
+    # ids are drawn first, so that only the drawn rows' texts travel
+    there = docs.where(F.length("text") <= chars).select("doc_id").distinct()
+    there = marks.join(there, "doc_id").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(7)))
     some = None
     for y in (0, 1):
-        part = marks.where(F.col("y") == y).join(docs.select("doc_id", "text").where(F.length("text") <= chars), "doc_id")
-        part = part.select("y", "text", F.xxhash64(F.col("doc_id"), F.lit(7)).alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(rows)
+        drawn = there.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows)
+        part = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(drawn), "doc_id")
+        part = part.select("y", "text", "h", "doc_id").orderBy("h", "doc_id", "text").limit(rows)
         some = part if some is None else some.union(part)
     out = some.toPandas().sort_values(["y", "h", "doc_id", "text"], kind="stable")
     return pd.DataFrame({"text": [t.encode() for t in out["text"]], "y": out["y"].to_numpy(int)})

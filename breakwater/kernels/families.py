@@ -149,12 +149,14 @@ class MultiGaussian(Family):
         yy = (self.yy[t] - self.yy[s]).reshape(-1, q, q)
         xy = (self.xy[t] - self.xy[s]).reshape(-1, k, q)
         xx = (self.xx[t] - self.xx[s]).reshape(-1, k, k)
-        xx[m <= k + 1] = np.eye(k)
+        used = xx.copy()
+        used[m <= k + 1] = np.eye(k)  # too short to be fitted: x'x counts as the identity
         try:
-            b = np.linalg.solve(xx, xy)
+            b = np.linalg.solve(used, xy)
         except np.linalg.LinAlgError:
-            b = np.linalg.pinv(xx) @ xy
-        rss = yy - xy.transpose(0, 2, 1) @ b
+            b = np.linalg.pinv(used) @ xy
+        bt, yx = b.transpose(0, 2, 1), xy.transpose(0, 2, 1)
+        rss = yy - bt @ xy - yx @ b + bt @ xx @ b
         return m / 2 * self.constant + np.einsum("ij,nji->n", self.inverse, rss) / 2
 
     def fit(self, s, t, final=True):

@@ -126,6 +126,8 @@ def prepare(z: np.ndarray, s: specs.Spec) -> tuple[np.ndarray, specs.Spec, np.nd
     if z.dtype.kind != "f" or not np.isfinite(z).all():
         raise ValueError("the series holds null or non-finite values")
     shift, f, width = 0, s.family, z.shape[1]
+    if len(z) < 2 + (s.order[0] if f in ("ar", "var") else s.order[1] if f == "arima" else 0):
+        return z[:0], s, np.eye(width), 0
     if f in ("ar", "garch", "arima", "arma", "ma") and width != 1:
         raise ValueError(f"family {f!r} takes one column")
     if f == "ar":

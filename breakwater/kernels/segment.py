@@ -145,11 +145,11 @@ def segment(z: np.ndarray, s: specs.Spec) -> Result:
     """Change points of the rows of `z` in their order, with the segments' fits."""
     z, s, variance, shift = prepare.prepare(np.asarray(z, float), s)
     n = len(z)
+    if n < 2:
+        return Result(np.zeros(0, np.int64), np.zeros(0), [], np.zeros(0), np.zeros(n + 1, np.int64))
     p = specs.parameter_count(s, z.shape[1])
     family = _family(s, z, p, variance)
     beta = prepare.beta(s, p, n, variance)
-    if n < 2:
-        return Result(np.zeros(0, np.int64), np.zeros(0), [], np.zeros(0), np.zeros(n + 1, np.int64))
     stepping = family.gradient and s.vanilla < 1
     steps = None
     if family.gradient:
@@ -232,7 +232,7 @@ def segment(z: np.ndarray, s: specs.Spec) -> Result:
             costs.append(float(adjusted(cost, b - a, s.adjustment, p)))
             thetas.append(np.asarray(theta, float))
             residuals.append(np.asarray(r, float))
-    rest = np.concatenate([r.reshape(len(r), -1) for r in residuals]) if residuals else np.zeros(0)
+    rest = np.concatenate([r[:, None] if r.ndim == 1 else r for r in residuals]) if residuals else np.zeros(0)
     pad = shift if len(rest) and s.family in ("ar", "var") else 0
     if pad:
         rest = np.concatenate((np.full((pad, rest.shape[1]), np.nan), rest))

@@ -6,6 +6,13 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def pytest_collection_modifyitems(items):
+    if not os.environ.get("RUN_SLOW"):
+        for item in items:
+            if item.get_closest_marker("slow"):
+                item.add_marker(pytest.mark.skip(reason="set RUN_SLOW=1"))
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

@@ -120,6 +120,7 @@ def test_custom_cost_equals_mean():
     assert b.costs == pytest.approx([255.487731877, 278.914161918])
 
 
+@pytest.mark.slow
 def test_custom_gradient():
     r, p = RStream(1), 5
     x = r.norms(1200 * p).reshape(-1, p)

@@ -1,9 +1,487 @@
-"""Queries of the change-point operators and their SQL."""
+"""Queries by name over the test tables, and DuckDB SQL with the same rows.
 
+Series come from `events` (by event_type, in the order of event_id; level or
+scale shifts are put in by the order key) and from daily and monthly sums of
+`orders` and `lineitem`. Doubles are rounded on both sides.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import math
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from breakwater import api, sql
+from breakwater import functions as X
+from breakwater import spec as specs
+from breakwater.operators import estimators, running, segments, transforms
+from breakwater.series import Series
+
+LEVEL = "value + CASE WHEN event_id * 3 >= mx AND event_id * 3 < 2 * mx THEN 200 ELSE 0 END"
+SCALE = "value * CASE WHEN event_id * 3 >= mx AND event_id * 3 < 2 * mx THEN 5 ELSE 1 END"
+EVENTS = "SELECT event_type AS k, event_id AS i, {x} AS x FROM events, (SELECT max(event_id) AS mx FROM events) AS m"
+DAILY = "SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, sum(o_totalprice) / 1000 AS x, CAST(count(*) AS DOUBLE) AS c FROM orders GROUP BY 1"
+LINES = "SELECT CAST(CAST(l_shipdate AS DATE) AS STRING) AS d, avg(l_extendedprice) / 1000 AS y, avg(l_quantity) AS a, avg(l_discount) * 100 AS b, avg(l_tax) * 100 AS c FROM lineitem GROUP BY 1"
+MONTHLY = "SELECT year(o_orderdate) * 12 + month(o_orderdate) AS d, avg(o_totalprice) / 1000 AS x, CAST(count(*) AS DOUBLE) AS c FROM orders GROUP BY 1"
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if oracle is not None:
+            _sql[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def select(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
+    """SQL over the named tables, read for this statement."""
+    for t in tables:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+
+
+def events(spark, sf_dir, x: str = LEVEL) -> DataFrame:
+    return select(spark, sf_dir, EVENTS.format(x=x), "events")
+
+
+def event_series(spark, sf_dir, x: str = LEVEL) -> Series:
+    return Series.of(events(spark, sf_dir, x), "x", "i", "k")
+
+
+def daily(spark, sf_dir) -> DataFrame:
+    return select(spark, sf_dir, DAILY, "orders")
+
+
+def lines(spark, sf_dir) -> DataFrame:
+    return select(spark, sf_dir, LINES, "lineitem")
+
+
+def monthly(spark, sf_dir) -> DataFrame:
+    return select(spark, sf_dir, MONTHLY, "orders")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+E = f"WITH e AS ({EVENTS.format(x=LEVEL)})"
+
+
+# estimators
+
+
+@query(f"{E} SELECT k, round(avg(d * d) / 2, 6) AS cov_x_x FROM (SELECT k, x - lag(x) OVER (PARTITION BY k ORDER BY i) AS d FROM e) GROUP BY k")
+def rice_variance(spark, sf_dir):
+    return rounded(estimators.rice_covariance(event_series(spark, sf_dir)))
+
+
+@query(f"{E} SELECT k, round(2 * (2 * avg(abs(d)) / 3) ** 2, 6) AS variance FROM (SELECT k, x - lag(x) OVER (PARTITION BY k ORDER BY i) AS d FROM e) GROUP BY k")
+def median_variance(spark, sf_dir):
+    return rounded(estimators.median_variance(event_series(spark, sf_dir)))
+
+
+@query(f"WITH e AS ({DAILY}), f AS (SELECT x - lag(x) OVER (ORDER BY d) AS u, c - lag(c) OVER (ORDER BY d) AS v FROM e) SELECT round(avg(u * u) / 2, 6) AS cov_x_x, round(avg(u * v) / 2, 6) AS cov_x_c, round(avg(v * u) / 2, 6) AS cov_c_x, round(avg(v * v) / 2, 6) AS cov_c_c FROM f")
+def rice_covariance_2d(spark, sf_dir):
+    return rounded(estimators.rice_covariance(Series.of(daily(spark, sf_dir), ["x", "c"], "d")))
+
+
+_BLOCK = f"WITH e AS ({LINES}), f AS (SELECT y AS y0, a AS x0, lead(y, 1) OVER (ORDER BY d) AS y1, lead(a, 1) OVER (ORDER BY d) AS x1, lead(y, 2) OVER (ORDER BY d) AS y2, lead(a, 2) OVER (ORDER BY d) AS x2 FROM e), g AS (SELECT *, 1 / (x0 * x0 + x1 * x1) AS p, 1 / (x1 * x1 + x2 * x2) AS q FROM f WHERE y2 IS NOT NULL)"
+
+
+@query(f"{_BLOCK} SELECT round(avg(((x0 * y0 + x1 * y1) * p - (x1 * y1 + x2 * y2) * q) ** 2 / (p + q - 2 * p * q * x1 * x1)), 6) AS variance FROM g")
+def block_variance_lm_p1(spark, sf_dir):
+    return rounded(estimators.block_variance_one(Series.of(lines(spark, sf_dir), ["y", "a"], "d")))
+
+
+@query(f"{_BLOCK} SELECT round(avg(((x0 * y0 + x1 * y1) * p - (x1 * y1 + x2 * y2) * q) ** 2 / (p + q - 2 * p * q * x1 * x1)), 6) AS variance FROM g")
+def block_variance_kernel(spark, sf_dir):
+    out = estimators.block_variance(Series.of(lines(spark, sf_dir), ["y", "a"], "d"))
+    return rounded(out.select(F.get("variance", F.lit(0)).alias("variance")))
+
+
+@query()
+def variance_arma(spark, sf_dir):
+    return rounded(estimators.arma_variance(Series.of(daily(spark, sf_dir), "x", "d"), 3, 2), 3)
+
+
+@query(f"WITH e AS ({LINES}), b AS (SELECT sum(a * y) / sum(a * a) AS s FROM e), r AS (SELECT d, y - a * s AS r FROM e, b), f AS (SELECT r - lag(r) OVER (ORDER BY d) AS u FROM r) SELECT round(avg(u * u) / 2, 6) AS variance FROM f")
+def regression_rice(spark, sf_dir):
+    return rounded(estimators.regression_rice(Series.of(lines(spark, sf_dir), ["y", "a"], "d")))
+
+
+@query(f"WITH e AS ({DAILY}), q AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM e) SELECT d, round(x, 6) AS x FROM e, q WHERE x < b + 0.5 * (b - a)")
+def outlier_filter(spark, sf_dir):
+    return rounded(estimators.outlier_filter(daily(spark, sf_dir).select("d", "x"), "x", 0.5))
+
+
+# transforms
+
+
+@query(f"{E}, f AS (SELECT k, i, x, lag(x, 1) OVER w AS x_lag1, lag(x, 2) OVER w AS x_lag2, lag(x, 3) OVER w AS x_lag3, row_number() OVER w AS r FROM e WINDOW w AS (PARTITION BY k ORDER BY i)) SELECT k, i, round(x, 6) AS x, round(x_lag1, 6) AS x_lag1, round(x_lag2, 6) AS x_lag2, round(x_lag3, 6) AS x_lag3 FROM f WHERE r > 3")
+def ar_lag_embed(spark, sf_dir):
+    return rounded(transforms.lag_embed(event_series(spark, sf_dir), 3).df)
+
+
+@query(f"WITH e AS ({DAILY}), f AS (SELECT d, x, c, lag(x, 1) OVER w AS x_lag1, lag(c, 1) OVER w AS c_lag1, lag(x, 2) OVER w AS x_lag2, lag(c, 2) OVER w AS c_lag2, row_number() OVER w AS r FROM e WINDOW w AS (ORDER BY d)) SELECT d, round(x, 5) AS x, c, round(x_lag1, 5) AS x_lag1, c_lag1, round(x_lag2, 5) AS x_lag2, c_lag2 FROM f WHERE r > 2")
+def var_lag_embed(spark, sf_dir):
+    return rounded(transforms.lag_embed(Series.of(daily(spark, sf_dir), ["x", "c"], "d"), 2).df, 5)
+
+
+@query(f"{E}, f AS (SELECT k, i, x - 2 * lag(x, 1) OVER w + lag(x, 2) OVER w AS x, row_number() OVER w AS r FROM e WINDOW w AS (PARTITION BY k ORDER BY i)) SELECT k, i, round(x, 6) AS x FROM f WHERE r > 2")
+def difference(spark, sf_dir):
+    return rounded(transforms.difference(event_series(spark, sf_dir), 2).df)
+
+
+@query(f"WITH e AS (SELECT event_type AS k, event_id AS i, round(value, 0) AS x FROM events) SELECT k, i, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0 - (count(*) OVER (PARTITION BY k) + 1) / 2.0 AS x FROM e")
+def centered_rank(spark, sf_dir):
+    df = select(spark, sf_dir, "SELECT event_type AS k, event_id AS i, round(value, 0) AS x FROM events", "events")
+    return transforms.centered_rank(Series.of(df, "x", "i", "k")).df.select("k", "i", "x")
+
+
+@query(f"{E} SELECT k, i, round(x - avg(x) OVER (PARTITION BY k), 6) AS x FROM e")
+def center(spark, sf_dir):
+    return rounded(transforms.center(event_series(spark, sf_dir)).df)
+
+
+@query(f"{E} SELECT k, i, round(x / 2.0, 6) AS x FROM e")
+def whiten(spark, sf_dir):
+    return rounded(transforms.whiten(event_series(spark, sf_dir), [[4.0]]).df)
+
+
+@query(f"WITH e AS ({DAILY}) SELECT d, round(x * x, 5) AS x_x_x, round(x * c, 5) AS x_x_c, round(c * x, 5) AS c_x_x, round(c * c, 5) AS c_x_c FROM e")
+def outer_products(spark, sf_dir):
+    return rounded(transforms.outer_products(Series.of(daily(spark, sf_dir), ["x", "c"], "d")).df, 5)
+
+
+@query(f"{E} SELECT k, i, round(sqrt(2 / 2.0) * cos(0.25 * x + 0.5), 6) AS f0, round(sqrt(2 / 2.0) * cos(-0.125 * x + 1.5), 6) AS f1 FROM e")
+def fourier_features(spark, sf_dir):
+    return rounded(transforms.fourier_features(event_series(spark, sf_dir), [[0.25, -0.125]], [0.5, 1.5]).df)
+
+
+@query(f"{E}, r AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) AS row_index FROM e) SELECT k, i, CAST(row_index AS INTEGER) AS row_index, CAST(CASE WHEN row_index > 120 THEN 2 WHEN row_index > 50 THEN 1 ELSE 0 END AS INTEGER) AS segment_id FROM r")
+def label_segments(spark, sf_dir):
+    return transforms.label_segments(event_series(spark, sf_dir), [50, 120]).select("k", "i", "row_index", "segment_id")
+
+
+# running sums
+
+_W = "(PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"{E} SELECT k, i, round(sum(x) OVER {_W}, 5) AS sum_x, round(sum(x * x) OVER {_W}, 5) AS sum_sq FROM e")
+def prefix_mean(spark, sf_dir):
+    return running.mean(event_series(spark, sf_dir)).select("k", "i", F.round("sum_x", 5).alias("sum_x"), F.round("sum_sq", 5).alias("sum_sq"))
+
+
+@query(f"{E}, c AS (SELECT k, i, x - avg(x) OVER (PARTITION BY k) AS x FROM e) SELECT k, i, round(sum(x * x) OVER {_W}, 2) AS sum_x_x FROM c")
+def prefix_variance(spark, sf_dir):
+    return rounded(running.variance(event_series(spark, sf_dir)), 2)
+
+
+@query(f"{E} SELECT k, i, round(sum(x) OVER {_W}, 5) AS sum_x, round(sum(x * x) OVER {_W}, 5) AS sum_x_x FROM e")
+def prefix_meanvariance(spark, sf_dir):
+    return rounded(running.meanvariance(event_series(spark, sf_dir)), 5)
+
+
+@query(f"{E} SELECT k, i, round(sum(x) OVER {_W}, 5) AS sum_x FROM e")
+def prefix_exponential(spark, sf_dir):
+    return rounded(running.exponential(event_series(spark, sf_dir)), 5)
+
+
+@query(f"WITH e AS ({LINES}) SELECT d, round(sum(y * y) OVER w, 2) AS yy_y_y, round(sum(a * y) OVER w, 2) AS xy_a_y, round(sum(a * a) OVER w, 2) AS xx_a_a FROM e WINDOW w AS (ORDER BY d ROWS UNBOUNDED PRECEDING)")
+def prefix_mgaussian(spark, sf_dir):
+    return rounded(running.mgaussian(Series.of(lines(spark, sf_dir), ["y", "a"], "d")), 2)
+
+
+@query(f"WITH e AS (SELECT d, c FROM ({DAILY})) SELECT d, round(sum(lgamma(c + 1)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 5) AS sum_log_factorial FROM e")
+def prefix_log_factorial(spark, sf_dir):
+    return rounded(running.log_factorials(Series.of(daily(spark, sf_dir), "c", "d")), 5)
+
+
+# given segments
+
+
+def segmented(spark, sf_dir, x: str = SCALE) -> DataFrame:
+    s = event_series(spark, sf_dir, x)
+    return s.df.withColumn("segment_id", F.ntile(4).over(s.window))
+
+
+_SEG = f"WITH e AS ({EVENTS.format(x=SCALE)}), s AS (SELECT k, i, x, ntile(4) OVER (PARTITION BY k ORDER BY i) AS segment_id FROM e)"
+_CENTRED = f"{_SEG}, z AS (SELECT k, segment_id, x - avg(x) OVER (PARTITION BY k) AS x FROM s)"
+
+
+@query(f"{_SEG} SELECT k, CAST(segment_id AS INTEGER) AS segment_id, round((sum(x * x) - sum(x) * sum(x) / count(*)) / 2, 2) AS cost FROM s GROUP BY k, segment_id")
+def segment_cost_mean(spark, sf_dir):
+    return rounded(segmented(spark, sf_dir).groupBy("k", "segment_id").agg(segments.cost("mean", "x").alias("cost")), 2)
+
+
+@query(f"{_CENTRED} SELECT k, CAST(segment_id AS INTEGER) AS segment_id, round(count(*) / 2.0 * ln(sum(x * x) / count(*)), 3) AS cost FROM z GROUP BY k, segment_id")
+def segment_cost_variance(spark, sf_dir):
+    df = segmented(spark, sf_dir)
+    from pyspark.sql import Window
+
+    df = df.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("k")))
+    return rounded(df.groupBy("k", "segment_id").agg(segments.cost("variance", "x").alias("cost")), 3)
+
+
+@query(f"{_SEG} SELECT k, CAST(segment_id AS INTEGER) AS segment_id, round(count(*) / 2.0 * ln(var_pop(x)), 3) AS cost FROM s GROUP BY k, segment_id")
+def segment_cost_meanvariance(spark, sf_dir):
+    return rounded(segmented(spark, sf_dir).groupBy("k", "segment_id").agg(segments.cost("meanvariance", "x").alias("cost")), 3)
+
+
+@query(f"{_SEG} SELECT k, CAST(segment_id AS INTEGER) AS segment_id, round(count(*) * (ln(avg(x)) + 1), 3) AS cost FROM s GROUP BY k, segment_id")
+def segment_cost_exponential(spark, sf_dir):
+    return rounded(segmented(spark, sf_dir).groupBy("k", "segment_id").agg(segments.cost("exponential", "x").alias("cost")), 3)
+
+
+_LSEG = f"WITH e AS ({LINES}), s AS (SELECT d, y, a, ntile(4) OVER (ORDER BY d) AS segment_id FROM e)"
+
+
+def line_segments(spark, sf_dir) -> DataFrame:
+    s = Series.of(lines(spark, sf_dir), ["y", "a"], "d")
+    return s.df.withColumn("segment_id", F.ntile(4).over(s.window))
+
+
+@query(f"{_LSEG} SELECT CAST(segment_id AS INTEGER) AS segment_id, round((sum(y * y) - sum(a * y) * sum(a * y) / sum(a * a)) / 2, 2) AS cost FROM s GROUP BY segment_id")
+def segment_cost_gaussian_p1(spark, sf_dir):
+    return rounded(line_segments(spark, sf_dir).groupBy("segment_id").agg(segments.cost("gaussian", "a", "y").alias("cost")), 2)
+
+
+@query(f"{_LSEG} SELECT CAST(segment_id AS INTEGER) AS segment_id, round(sum(a * y) / sum(a * a), 5) AS slope FROM s GROUP BY segment_id")
+def segment_theta_gaussian(spark, sf_dir):
+    return rounded(line_segments(spark, sf_dir).groupBy("segment_id").agg(*(c.alias(n) for n, c in segments.theta("gaussian", "a", "y").items())), 5)
+
+
+def _theta(family: str):
+    def f(spark, sf_dir):
+        return rounded(segmented(spark, sf_dir).groupBy("k", "segment_id").agg(*(c.alias(n) for n, c in segments.theta(family, "x").items())))
+
+    f.__name__ = f"segment_theta_{family}"
+    return f
+
+
+for _name, _what in {"mean": "round(avg(x), 6) AS mean", "variance": "round(var_samp(x), 6) AS variance", "meanvariance": "round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance", "exponential": "round(1 / avg(x), 6) AS rate"}.items():
+    query(f"{_SEG} SELECT k, CAST(segment_id AS INTEGER) AS segment_id, {_what} FROM s GROUP BY k, segment_id")(_theta(_name))
+
+
+def _residuals(family: str):
+    def f(spark, sf_dir):
+        return rounded(segments.residuals(segmented(spark, sf_dir), ["k", "segment_id"], family, "x").select("k", "i", "residual"))
+
+    f.__name__ = f"segment_residuals_{family}"
+    return f
+
+
+for _name, _what in {"mean": "x - avg(x) OVER w", "variance": "x / sqrt(var_samp(x) OVER w)", "meanvariance": "(x - avg(x) OVER w) / sqrt(var_samp(x) OVER w)", "exponential": "x / avg(x) OVER w - 1"}.items():
+    query(f"{_SEG} SELECT k, i, round({_what}, 6) AS residual FROM s WINDOW w AS (PARTITION BY k, segment_id)")(_residuals(_name))
+
+
+@query(f"WITH e AS ({LINES}), r AS (SELECT y, a, row_number() OVER (ORDER BY d) - 1 AS p, count(*) OVER () AS n FROM e), q AS (SELECT y, a, CAST(b AS INTEGER) AS block_id FROM r, (SELECT unnest(range(0, 10)) AS b) WHERE p >= round_even(b * n / 10.0, 0) AND p < round_even((b + 1) * n / 10.0, 0)) SELECT block_id, count(*) AS n_rows, round(sum(a * y) / sum(a * a), 5) AS slope FROM q GROUP BY block_id")
+def block_statistics(spark, sf_dir):
+    s = Series.of(lines(spark, sf_dir), ["y", "a"], "d")
+    n = F.count(F.lit(1)).over(s.whole)
+    df = s.df.withColumn("p", F.row_number().over(s.window) - 1).withColumn("n", n)
+    block = sum((F.when(F.col("p") >= F.bround(F.lit(float(b)) * F.col("n") / 10.0), 1).otherwise(0) for b in range(1, 10)), F.lit(0))
+    out = df.withColumn("block_id", block).groupBy("block_id").agg(F.count(F.lit(1)).alias("n_rows"), *(c.alias(k) for k, c in segments.theta("gaussian", "a", "y").items()))
+    return rounded(out, 5)
+
+
+# penalties, scalar functions, post-processing
+
+
+@query("SELECT family, p, n, round((p + 1) * ln(n) / 2, 6) AS bic, round((p + 2) * ln(n) / 2, 6) AS mbic, round((p + 2) * log2(n) / 2, 6) AS mdl, round(p * ln(2), 6) AS pruning_mbic FROM (VALUES ('mean', 1, 1000), ('variance', 1, 1000), ('meanvariance', 2, 1000), ('exponential', 1, 1000), ('garch', 3, 120), ('gaussian', 4, 300)) AS v(family, p, n)")
+def penalty_table(spark, sf_dir):
+    rows = []
+    for family, d, order, n in (("mean", 1, None, 1000), ("variance", 1, None, 1000), ("meanvariance", 1, None, 1000), ("exponential", 1, None, 1000), ("garch", 1, (1, 1), 120), ("gaussian", 5, None, 300)):
+        p = specs.parameter_count(specs.make(family, order), d)
+        rows.append((family, p, n, *(round(specs.penalty(b, p, n), 6) for b in ("BIC", "MBIC", "MDL")), round(specs.pruning_constant(specs.make(family, order), p) if family != "garch" else p * math.log(2), 6)))
+    return spark.createDataFrame(rows, "family string, p int, n int, bic double, mbic double, mdl double, pruning_mbic double")
+
+
+@query("WITH e AS (SELECT event_id AS i, (value - 50) / 10 AS v FROM events) SELECT i, round(CASE WHEN v > 0 THEN v + ln(1 + exp(-v)) ELSE ln(1 + exp(v)) END, 6) AS log1pexp, round(1 / (1 + exp(-v)), 6) AS logistic, round(sign(v) * greatest(abs(v) - 1, 0) + 0.0, 6) + 0.0 AS soft, round(CASE WHEN v >= 0 THEN 0.3 * v ELSE -0.7 * v END, 6) AS pinball, round(CASE WHEN round(abs(v)) = 0 THEN 0 ELSE round(abs(v)) * ln(round(abs(v)) / 2) END, 6) AS ylogy, round(lgamma(round(abs(v) * 10) + 1), 6) AS log_factorial FROM e")
+def scalar_functions(spark, sf_dir):
+    df = select(spark, sf_dir, "SELECT event_id AS i, (value - 50) / 10 AS v FROM events", "events")
+    v = F.col("v")
+    return df.select("i", *(F.round(c, 6).alias(n) for n, c in {"log1pexp": X.log1pexp(v), "logistic": X.logistic(v), "soft": X.soft_threshold(v, 1.0), "pinball": X.pinball(v, 0.3), "ylogy": X.y_log_y(F.round(F.abs(v)), F.lit(2.0)), "log_factorial": X.log_factorial(F.round(F.abs(v) * 10))}.items()))
+
+
+@query("SELECT g, CAST(c AS BIGINT) AS c FROM (SELECT g, unnest(list_filter(points, lambda c: c > 0.05 * 1000 AND c < 0.95 * 1000)) AS c FROM (VALUES (1, [10, 50, 51, 300, 949, 950, 990]), (2, [500])) AS v(g, points))")
+def trim_filter(spark, sf_dir):
+    df = spark.createDataFrame([(1, [10, 50, 51, 300, 949, 950, 990]), (2, [500])], "g int, points array<bigint>")
+    return df.select("g", F.explode(segments.trim_filter(F.col("points"), F.lit(1000), 0.05)).alias("c"))
+
+
+@query("SELECT g, CAST(c AS BIGINT) AS c FROM (VALUES (1, 215), (1, 600), (2, 500)) AS v(g, c)")
+def merge_close(spark, sf_dir):
+    df = spark.createDataFrame([(1, [190, 220, 240, 600]), (2, [500])], "g int, points array<bigint>")
+    return df.select("g", F.explode(segments.merge_close(F.col("points"), F.lit(1000), 0.05)).alias("c"))
+
+
+# segmentation
+
+_BIC = {"beta": "BIC", "cost_adjustment": "BIC", "pruning": 0.0}
+
+
+def optimal(series: str, cost: str, p: int, scale: str = "1.0", sums: dict[str, str] | None = None, penalty: str | None = None) -> str:
+    """Optimal partitioning by a recursive query: start and end of each segment of each series k, ordered by i.
+
+    `sums` are running sums by name, kept as lists from 0 on; `cost` is in
+    terms of their differences, of m (the length) and v (the scale).
+    """
+    sums = sums or {"s": "x", "q": "x * x"}
+    lists = ", ".join(f"[0.0::DOUBLE] || list({n} ORDER BY r) AS {n}" for n in sums)
+    windows = ", ".join(f"sum({e}) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS {n}" for n, e in sums.items())
+    for n in sums:
+        cost = cost.replace(f"<{n}>", f"(p.{n}[d.t + 2] - p.{n}[j + 1])")
+    cost = cost.replace("<m>", "(d.t + 1 - j)").replace("<v>", "p.v")
+    beta = penalty or f"{p + 1} * ln(n) / 2"
+    return f"""
+WITH RECURSIVE e AS ({series}),
+w AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS r, {windows} FROM e),
+v AS (SELECT k, {scale} AS v FROM e GROUP BY k),
+p AS (SELECT k, v, n, {beta} AS beta, {', '.join(sums)} FROM (SELECT k, count(*) AS n, {lists} FROM w GROUP BY k) JOIN v USING (k)),
+dp AS (
+  SELECT k, 0 AS t, [-beta] AS f, [0] AS b FROM p
+  UNION ALL
+  SELECT k, t + 1, list_append(f, list_min(c)), list_append(b, CAST(list_position(c, list_min(c)) - 1 AS INTEGER))
+  FROM (SELECT d.k, d.t, d.f, d.b, list_transform(range(0, d.t + 1), lambda j: d.f[j + 1] + {cost} + p.beta) AS c FROM dp d JOIN p ON d.k = p.k WHERE d.t < p.n)),
+z AS (SELECT dp.k, dp.t, dp.b FROM dp JOIN p ON dp.k = p.k AND dp.t = p.n),
+back AS (SELECT k, CAST(t AS BIGINT) AS e FROM z UNION ALL SELECT back.k, CAST(z.b[back.e + 1] AS BIGINT) FROM back JOIN z ON back.k = z.k WHERE z.b[back.e + 1] > 0)
+SELECT k, lag(e, 1, 0) OVER (PARTITION BY k ORDER BY e) + 1 AS start_index, e AS end_index FROM back
+"""
+
+
+def _segments(result: api.Detection) -> DataFrame:
+    return result.segments.select(*result.series.partition_by, "start_index", "end_index")
+
+
+_RICE = "(SELECT avg(d * d) / 2 FROM (SELECT x - lag(x) OVER (ORDER BY i) AS d FROM e AS e2 WHERE e2.k = e.k))"
+_BYKEY = "any_value((SELECT avg(d * d) / 2 FROM (SELECT u.k AS k, u.x - lag(u.x) OVER (PARTITION BY u.k ORDER BY u.i) AS d FROM e AS u) AS g WHERE g.k = e.k))"
+_MEAN = "(<q> - <s> * <s> / <m>) / 2 / <v>"
+
+
+@query(optimal(EVENTS.format(x=LEVEL), _MEAN, 1, _BYKEY))
+def cp_mean_grouped(spark, sf_dir):
+    return _segments(api.mean(events(spark, sf_dir), "x", "i", "k", keep=False, **_BIC))
+
+
+@query(optimal("SELECT 1 AS k, d AS i, x + CASE WHEN d >= '1995-01-01' THEN 3000 ELSE 0 END AS x FROM (SELECT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS STRING) AS d, sum(o_totalprice) / 1000 AS x FROM orders GROUP BY 1)", _MEAN, 1, _BYKEY).replace("SELECT k, lag(e", "SELECT lag(e"))
+def cp_mean(spark, sf_dir):
+    df = select(spark, sf_dir, "SELECT d, x + CASE WHEN d >= '1995-01-01' THEN 3000 ELSE 0 END AS x FROM (SELECT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS STRING) AS d, sum(o_totalprice) / 1000 AS x FROM orders GROUP BY 1)", "orders")
+    return _segments(api.mean(df, "x", "d", keep=False, **_BIC))
+
+
+@query(optimal(EVENTS.format(x=LEVEL), _MEAN + " + ln(<m>) / 2", 1, _BYKEY, penalty="3 * ln(n) / 2"))
+def cp_mean_mbic_exact(spark, sf_dir):
+    return _segments(api.mean(events(spark, sf_dir), "x", "i", "k", keep=False, pruning="exact"))
+
+
+_CENTER = f"SELECT k, i, x - avg(x) OVER (PARTITION BY k) AS x FROM ({EVENTS.format(x=SCALE)})"
+
+
+@query(optimal(_CENTER, "<m> / 2.0 * ln(greatest(<q> / <m>, 1e-10))", 1))
+def cp_variance(spark, sf_dir):
+    return _segments(api.variance(events(spark, sf_dir, SCALE), "x", "i", "k", keep=False, **_BIC))
+
+
+@query(optimal(_CENTER, "<m> / 2.0 * ln(CASE WHEN <q> / <m> - (<s> / <m>) ** 2 <= 0 OR <m> = 1 THEN 1e-10 ELSE <q> / <m> - (<s> / <m>) ** 2 END)", 2, penalty="200.0::DOUBLE"))
+def cp_meanvariance(spark, sf_dir):
+    return _segments(api.meanvariance(events(spark, sf_dir, SCALE), "x", "i", "k", keep=False, beta=200.0, cost_adjustment="BIC", pruning=0.0))
+
+
+@query(optimal(EVENTS.format(x=SCALE), "<m> * (ln(<s> / <m>) + 1)", 1))
+def cp_exponential(spark, sf_dir):
+    return _segments(api.exponential(events(spark, sf_dir, SCALE), "x", "i", "k", keep=False, **_BIC))
+
+
+_RANKS = f"SELECT k, i, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0 - (count(*) OVER (PARTITION BY k) + 1) / 2.0 AS x FROM ({EVENTS.format(x=LEVEL)})"
+
+
+@query(optimal(_RANKS, _MEAN, 1, _BYKEY))
+def cp_rank(spark, sf_dir):
+    return _segments(api.rank(events(spark, sf_dir), "x", "i", "k", keep=False, **_BIC))
+
+
+@query(optimal("SELECT 1 AS k, d AS i, x FROM (" + MONTHLY + ")", "(<q> - <s> * <s> / <m>) / 2", 1, penalty="50.0::DOUBLE").replace("SELECT k, lag(e", "SELECT lag(e"))
+def cp_custom_l2(spark, sf_dir):
+    return _segments(api.custom(monthly(spark, sf_dir), "x", "d", keep=False, cost=lambda z: ((z - z.mean()) ** 2).sum() / 2, parameters=1, beta=50.0, cost_adjustment="BIC", pruning=0.0))
+
+
+_SWITCH = "SELECT d, y * CASE WHEN d >= '1995-06-01' THEN 2 ELSE 1 END AS y, a, b, c FROM ({x})"
+
+
+def switched(spark, sf_dir) -> DataFrame:
+    return select(spark, sf_dir, _SWITCH.format(x=LINES), "lineitem")
+
+
+@query(optimal("SELECT 1 AS k, d AS i, y, a FROM (" + _SWITCH.format(x=LINES) + ")", "(<yy> - <ay> * <ay> / <aa>) / 2", 1, sums={"yy": "y * y", "ay": "a * y", "aa": "a * a"}, penalty="5000.0::DOUBLE").replace("SELECT k, lag(e", "SELECT lag(e"))
+def cp_lm_p1_vanilla(spark, sf_dir):
+    return _segments(api.lm(switched(spark, sf_dir), ["y", "a"], "d", keep=False, vanilla=1.0, beta=5000.0, cost_adjustment="BIC", pruning=0.0))
+
+
+def _rows(name: str, f: Callable[[SparkSession, str], api.Detection]) -> None:
+    def run(spark, sf_dir):
+        r = f(spark, sf_dir)
+        return r.segments.select(*r.series.partition_by, "segment_id", "start_index", "end_index", F.round("cost", 3).alias("cost"))
+
+    run.__name__ = name
+    query()(run)
+
+
+_rows("cp_mean_multivariate", lambda s, d: api.mean(daily(s, d), ["x", "c"], "d", keep=False))
+_rows("cp_embedding_mean", lambda s, d: api.mean(s.read.parquet(f"{d}/embeddings.parquet"), "embedding", "vec_id", "label", keep=False, variance=np.eye(64).tolist()))
+_rows("cp_var", lambda s, d: api.var(monthly(s, d), ["x", "c"], "d", order=1, keep=False))
+_rows("cp_kcp", lambda s, d: api.kcp(monthly(s, d), "x", "d", keep=False, seed=1))
+_rows("cp_lm", lambda s, d: api.lm(switched(s, d), ["y", "a", "b", "c"], "d", keep=False))
+_rows("cp_mlm", lambda s, d: api.lm(monthly(s, d).withColumn("one", F.lit(1.0)), ["x", "c", "one"], "d", keep=False, responses=2))
+_rows("cp_binomial", lambda s, d: api.binomial(switched(s, d).withColumn("y", (F.col("y") > 60).cast("double")).withColumn("a", F.col("a") / 25 - 1).withColumn("b", F.col("b") / 5 - 1), ["y", "a", "b"], "d", keep=False, trim=0.05))
+_rows("cp_poisson", lambda s, d: api.poisson(monthly(s, d).withColumn("one", F.lit(1.0)).withColumn("z", F.col("x") / 150 - 1), ["c", "one", "z"], "d", keep=False, trim=0.05))
+_rows("cp_quantile", lambda s, d: api.quantile(monthly(s, d).withColumn("one", F.lit(1.0)), ["x", "one"], "d", keep=False, tau=0.5, trim=0.05))
+_rows("cp_lasso", lambda s, d: api.lasso(monthly(s, d).withColumn("z", F.col("x") / 150 - 1).withColumn("u", F.cos("d")).withColumn("c", F.col("c") / 100), ["c", "z", "u"], "d", keep=False))
+_rows("cp_ar", lambda s, d: api.ar(daily(s, d), "x", "d", order=2, keep=False))
+_rows("cp_garch", lambda s, d: api.garch(monthly(s, d).where("d % 3 = 0").withColumn("x", F.col("x") / 15 - 10), "x", "d", order=(1, 0), keep=False))
+_rows("cp_arma", lambda s, d: api.arma(monthly(s, d).withColumn("x", F.col("x") - 150), "x", "d", order=(1, 0), keep=False, trim=0.1))
+_rows("cp_ma", lambda s, d: api.ma(monthly(s, d).where("d % 6 = 0").withColumn("x", F.col("x") - 150), "x", "d", order=1, keep=False, trim=0.1))
+_rows("cp_arima", lambda s, d: api.arima(monthly(s, d), "x", "d", order=(1, 1, 0), keep=False, trim=0.1))
+
+
+def _loss(z, t):
+    return ((z[:, 0] - z[:, 1:] @ t) ** 2).sum() / 2
+
+
+_rows("cp_custom_segd", lambda s, d: api.custom(monthly(s, d).withColumn("one", F.lit(1.0)), ["x", "one"], "d", keep=False, cost=_loss, gradient=lambda z, t: -(z[-1, 0] - z[-1, 1:] @ t) * z[-1, 1:], hessian=lambda z, t: np.outer(z[-1, 1:], z[-1, 1:])))
+
+
+@query()
+def cp_mean_long(spark, sf_dir):
+    df = select(spark, sf_dir, EVENTS.format(x=LEVEL), "events")
+    return api.detect_long(df, "x", "i", "mean", chunk=4000, overlap=500)
+
+
+@query(optimal(EVENTS.format(x=LEVEL), _MEAN, 1, "2500.0::DOUBLE"))
+def cp_sql_table_function(spark, sf_dir):
+    sql.register(spark)
+    df = events(spark, sf_dir).select("k", "i", "x")
+    df.createOrReplaceTempView("breakwater_events")
+    options = '{"variance": [[2500.0]], "beta": "BIC", "cost_adjustment": "BIC", "pruning": 0.0}'
+    out = None
+    for key in [r[0] for r in df.select("k").distinct().orderBy("k").collect()]:  # event types are a handful
+        part = spark.sql(f"SELECT '{key}' AS k, start_index, end_index FROM changepoints(TABLE(SELECT i, x FROM breakwater_events WHERE k = '{key}') WITH SINGLE PARTITION ORDER BY (i), 'mean', '{options}')")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

@@ -140,7 +140,7 @@ def projected_bfgs(f, theta: np.ndarray, lower: np.ndarray, upper: np.ndarray, m
     """A minimum of f (value, gradient) in a box; coordinates held at a bound rest until the gradient frees them."""
     theta = np.clip(theta, lower, upper)
     value, g = f(theta)
-    h, held = np.eye(len(theta)), None
+    h, held, still = np.eye(len(theta)), None, 0
     for _ in range(most):
         now = ((theta <= lower) & (g > 0)) | ((theta >= upper) & (g < 0))
         if held is None or (now != held).any():
@@ -163,6 +163,9 @@ def projected_bfgs(f, theta: np.ndarray, lower: np.ndarray, upper: np.ndarray, m
         else:
             break
         s, y = new - theta, ng - g
+        still = still + 1 if value - there <= 1e-14 * (1 + abs(value)) else 0
+        if still > 1:
+            break
         if np.abs(s).max() < 1e-14:
             break
         sy = s @ y
@@ -173,31 +176,47 @@ def projected_bfgs(f, theta: np.ndarray, lower: np.ndarray, upper: np.ndarray, m
     return theta
 
 
+def _recursion(u: np.ndarray, b: float) -> np.ndarray:
+    """y[t] = u[t] + b * y[t-1] down the rows, by doubling."""
+    y, step, power = u.copy(), 1, b
+    while step < len(y) and abs(power) > 1e-300:
+        y[step:] += power * y[:-step].copy()
+        step, power = 2 * step, power * power
+    return y
+
+
 def garch_likelihood(x: np.ndarray, p: int, q: int, theta: np.ndarray) -> tuple[float, np.ndarray]:
     """Half the sum of log h + x^2 / h, and its gradient; presample variances are the mean square."""
     n, k, lag = len(x), len(theta), max(p, q)
     if theta[0] <= 0 or (theta[1:] < -1e-8).any():
         return 1e10, np.zeros(k)
-    square = (x * x).tolist()
-    start = sum(square) / n
-    w, a, b = theta[0], theta[1 : 1 + q].tolist(), theta[1 + q :].tolist()
-    h = [start] * min(lag, n)
-    dh = [[1.0] + [0.0] * (k - 1) for _ in h]
-    value, grad = 0.0, [0.0] * k
-    for t in range(lag, n):
-        now = w + sum(a[j] * square[t - 1 - j] for j in range(q)) + sum(b[j] * h[t - 1 - j] for j in range(p))
-        row = [1.0] + [square[t - 1 - j] for j in range(q)] + [h[t - 1 - j] for j in range(p)]
-        for j in range(p):
-            before = dh[t - 1 - j]
-            row = [r + b[j] * y for r, y in zip(row, before)]
-        h.append(now)
-        dh.append(row)
-        if now <= 0:
-            return 1e10, np.zeros(k)
-        value += math.log(now) + square[t] / now
-        pull = 0.5 * (1 - square[t] / now) / now
-        grad = [g + pull * r for g, r in zip(grad, row)]
-    return 0.5 * value, np.array(grad)
+    square = x * x
+    start, m = float(square.mean()), n - lag
+    if m <= 0:
+        return 0.0, np.zeros(k)
+    past = [square[lag - 1 - j : n - 1 - j] for j in range(q)]
+    own = theta[0] + sum((theta[1 + j] * past[j] for j in range(q)), np.zeros(m))
+    if p <= 1:
+        b = theta[1 + q] if p else 0.0
+        h = own.copy()
+        if p:
+            h[0] += b * start
+            h = _recursion(h, b)
+        rows = np.column_stack([np.ones(m), *past, *([np.concatenate(([start], h[:-1]))] if p else [])])
+        if p:
+            rows[0, 0] += b  # the presample variance counts as moving with the constant
+            rows = _recursion(rows, b)
+    else:
+        every, slopes = np.full(n, start), np.zeros((n, k))
+        slopes[:lag, 0] = 1.0
+        for t in range(lag, n):
+            every[t] = own[t - lag] + theta[1 + q :] @ every[t - p : t][::-1]
+            slopes[t] = np.concatenate(([1.0], [c[t - lag] for c in past], every[t - p : t][::-1])) + theta[1 + q :] @ slopes[t - p : t][::-1]
+        h, rows = every[lag:], slopes[lag:]
+    if not (h > 0).all():
+        return 1e10, np.zeros(k)
+    ratio = square[lag:] / h
+    return 0.5 * float(np.log(h).sum() + ratio.sum()), (0.5 * (1 - ratio) / h) @ rows
 
 
 def garch(x: np.ndarray, p: int, q: int) -> tuple[float, np.ndarray]:

@@ -1 +1,76 @@
+"""Readers of series and sinks of results: thin forms of Spark's own, with explicit schemas."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from breakwater.api import Detection
+
+#: Schemas of well-known example data sets; the data are the user's.
+SCHEMAS = {
+    "well_log": "row_index long, x double",
+    "bitcoin": "date timestamp, price double",
+    "occupancy": "date string, Temperature double, Humidity double, Light double, CO2 double, HumidityRatio double, Occupancy int",
+}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, header: bool = True) -> DataFrame:
+    reader = spark.read.option("header", header)
+    return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType, epoch_ms: str | None = None) -> DataFrame:
+    """JSON lines; a column of milliseconds since 1970 becomes a UTC timestamp."""
+    df = spark.read.schema(schema).json(path)
+    return df.withColumn(epoch_ms, F.timestamp_millis(F.col(epoch_ms))) if epoch_ms else df
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def from_array(spark: SparkSession, z) -> DataFrame:
+    """A numpy array as row_index and x1, x2, ..., for interactive use."""
+    import numpy as np
+
+    z = np.asarray(z, float)
+    z = z[:, None] if z.ndim == 1 else z
+    names = ["row_index", *(f"x{j + 1}" for j in range(z.shape[1]))]
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(z)], ", ".join([f"{n} {'long' if n == 'row_index' else 'double'}" for n in names]))
+
+
+def formula(df: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """`y ~ a + b`, `y ~ .` with or without `- 1`: (df, values), an intercept column unless `- 1` is there.
+
+    Strings become indicator columns of their values but the least, which are
+    few: they are collected once for each string column.
+    """
+    left, _, right = text.partition("~")
+    responses = [x.strip() for x in left.replace("cbind(", "").replace(")", "").split(",") if x.strip()]
+    right = right.replace(" ", "")
+    intercept = "-1" not in right and "+0" not in right
+    terms = [x for x in right.replace("-1", "").replace("+0", "").split("+") if x]
+    names = [c for c in df.columns if c not in responses] if terms == ["."] else terms
+    out = []
+    if intercept:
+        df = df.withColumn("intercept", F.lit(1.0))
+        out.append("intercept")
+    for c in names:
+        if dict(df.dtypes)[c] == "string":
+            levels = [r[0] for r in df.select(c).distinct().orderBy(c).limit(1001).collect() if r[0] is not None]
+            if len(levels) > 1000:
+                raise ValueError(f"column {c!r} has over 1000 values")
+            for v in levels[1:] if intercept else levels:
+                df = df.withColumn(f"{c}_{v}", (F.col(c) == v).cast("double"))
+                out.append(f"{c}_{v}")
+        else:
+            out.append(c)
+    return df, [*responses, *out]
+
+
+def write(result: Detection, path: str) -> None:
+    """Change points, segments and residuals as three Parquet tables below `path`."""
+    for name in ("change_points", "segments", "residuals"):
+        getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}")

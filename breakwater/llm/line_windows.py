@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.llm.shared import saved
+from breakwater.llm.shared import saved, small
 
 
 def _keyed(docs: DataFrame, text: str, id_: str) -> DataFrame:
@@ -48,9 +48,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", lines:
     if {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError("columns n_lines and n_removed exist already")
     marks = saved(covered(docs, text, id_, lines))
+    places = marks.agg(F.coalesce(F.sum(F.size("__from")), F.lit(0))).first()[0]
     split = F.split(F.col(text), "\n")
     gone = F.array_distinct(F.flatten(F.transform("__from", lambda p: F.sequence(p, p + (lines - 1)))))
-    joined = _keyed(docs, text, id_).join(marks.withColumn("__gone", gone).drop("__from"), "__key", "left")
+    joined = _keyed(docs, text, id_).join(small(marks, places).withColumn("__gone", gone).drop("__from"), "__key", "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone")), lambda i: split[i])
     return joined.select(
         *(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns),

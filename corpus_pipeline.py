@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakwater.llm import bpe, decontaminate, jaccard, line_windows, queries, toxicity
-from breakwater.llm.shared import saved
+from breakwater.llm.shared import saved, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,8 +34,8 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of near duplicates: five-word shingles, similarity 0.8."""
     classes = jaccard.near_duplicates(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = saved(classes.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_tree.judge(table(spark, sf_dir, "pages"), RULES)
+    return url_tree.judge(table(spark, sf_dir, "pages"), RULES).drop("purity")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +93,69 @@ SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM s
 """
 
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, m.c AS component_id, vec_id = m.c AS kept FROM embeddings JOIN m ON vec_id = m.n LEFT JOIN k ON vec_id = k.a
+"""
+
+_SHINGLES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (SELECT a, b FROM p JOIN n AS x ON a = x.doc_id JOIN n AS y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r AS (SELECT doc_id AS n, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM documents AS d JOIN m ON d.doc_id = m.n LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
+def _url_sql() -> str:
+    """The url tree's steps, level by level."""
+    longest = sorted(RULES, key=lambda r: -len(r[1]))
+    fits = {n: f"(host = '{n.partition('/')[0]}' OR ends_with(host, '.{n.partition('/')[0]}')) AND starts_with(path, '/{n.partition('/')[2]}')" for _, n in RULES}
+    rule = "CASE " + " ".join(f"WHEN {fits[n]} THEN '{n}'" for _, n in longest) + " END"
+    ruled = "CASE " + " ".join(f"WHEN rule = '{n}' THEN '{k}'" for k, n in longest) + " END"
+    number = r"regexp_replace(regexp_replace(lower(x), '^\d{4}-\d{1,2}(-\d{1,2})?(\.[a-z]{1,5})?$', '<date>\2'), '^\d+(\.[a-z]{1,5})?$', '<num>\1')"
+    typed = r"CASE WHEN regexp_matches(" + number + r", '^[a-f]*\d') AND regexp_matches(" + number + r", '^[0-9a-f-]{8,}(\.[a-z]{1,5})?$') THEN regexp_replace(" + number + r", '^[0-9a-f-]{8,}', '<hex>') ELSE " + number + " END"
+    parts = [
+        f"""a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, {rule} AS rule FROM b),
+e AS (SELECT *, {ruled} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {typed}) AS segments FROM c),
+t0 AS (SELECT host, segments, count(*) AS n, count(ruled) AS known, count(*) FILTER (WHERE ruled = 'block') AS blocked, '' AS template FROM e GROUP BY host, segments)"""
+    ]
+    for i in range(url_tree.LEVELS):
+        parts.append(
+            f"""v{i} AS (SELECT host, template, segments[{i + 1}] AS s, sum(n) AS n FROM t{i} WHERE len(segments) > {i} GROUP BY ALL),
+w{i} AS (SELECT host, template, true AS wide FROM v{i} GROUP BY host, template HAVING count(*) >= {url_tree.VALUES} AND count(*) >= {url_tree.VARIETY} * sum(n)),
+t{i + 1} AS (SELECT host, segments, n, known, blocked, template || CASE WHEN len(segments) <= {i} THEN '' WHEN starts_with(segments[{i + 1}], '<') THEN '/' || segments[{i + 1}] WHEN wide THEN '/*' ELSE '/' || segments[{i + 1}] END AS template FROM t{i} LEFT JOIN w{i} USING (host, template))"""
+        )
+    k, z, a = url_tree.SMOOTHING, url_tree.Z, url_tree.LEVELS
+    parts.append(
+        f"""u AS (SELECT host, segments, known, blocked, template || CASE WHEN len(segments) > {a} THEN '/**' ELSE '' END AS template FROM t{a}),
+s AS (SELECT *, array_to_string(list_transform(string_split(template, '/'), lambda x: CASE WHEN x = '' OR x[1] IN ('<', '*') THEN x ELSE 'word' END), '/') AS shape FROM u),
+g AS (SELECT (coalesce(sum(blocked), 0) + 0.5::DOUBLE) / (coalesce(sum(known), 0) + 2.0::DOUBLE) AS prior FROM s),
+h AS (SELECT host, (sum(blocked) + {k}::DOUBLE * any_value(prior)) / (sum(known) + {k}::DOUBLE) AS host_rate FROM s, g GROUP BY host),
+f AS (SELECT host, shape, sum(known) AS shape_known, sum(blocked) AS shape_blocked, (sum(blocked) + 0.5::DOUBLE) / (sum(known) + 1.0::DOUBLE) AS pooled FROM s GROUP BY host, shape),
+m AS (SELECT host, shape, template, sum(known) AS own_known, sum(blocked) AS own_blocked FROM s GROUP BY ALL),
+o AS (SELECT m.host, template, host_rate, CASE WHEN abs(own_blocked - own_known * pooled) > {z}::DOUBLE * sqrt(own_known * pooled * (1 - pooled)) THEN own_known ELSE shape_known END AS known,
+  CASE WHEN abs(own_blocked - own_known * pooled) > {z}::DOUBLE * sqrt(own_known * pooled * (1 - pooled)) THEN own_blocked ELSE shape_blocked END AS blocked
+  FROM m JOIN f USING (host, shape) JOIN h ON m.host = h.host),
+q AS (SELECT u.host, u.segments, u.template, o.known > 0 AND (o.blocked + {k}::DOUBLE * o.host_rate) / (o.known + {k}::DOUBLE) >= {url_tree.REJECT} AS bad FROM u JOIN o ON u.host = o.host AND u.template = o.template)
+SELECT page_id, e.host, path, rule, coalesce(ruled, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, template FROM e JOIN q ON e.host = q.host AND e.segments = q.segments"""
+    )
+    return "WITH " + ",\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _LINES}
+    return {"op3_line_dedup": _LINES, "op6_vectors": _VECTORS, "op7_urls": _url_sql(), "op9_jaccard": _SHINGLES}

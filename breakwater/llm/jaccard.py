@@ -4,6 +4,10 @@ A document is the set of its distinct shingles. Two sets of sizes a and b can
 reach the similarity s only if they differ in at most d = (a+b)(1-s)/(1+s)
 shingles, which has three uses.
 
+0. Probes. Of a set of n shingles at most n - ceil(s n) are missing in a partner.
+   So of its n - ceil(s n) + 1 + n // `EXTRA` least shingles by hash, more than
+   ceil(s n) // `EXTRA` are probes of the partner, too. Sets of which fewer
+   probes occur in other sets have no partner and go no further.
 1. Candidates. Sizes fall into bands. A band fixes a number k of parts, larger
    than the d of any two of its sets, and every shingle belongs to one part by
    its hash. With k = d + 1 + 2m, sets that differ in at most d shingles agree
@@ -54,6 +58,8 @@ TILE = 2000
 BAND = 1.25
 #: Keys of more sets than this are common.
 COMMON = 40
+#: One shingle in so many is probed beyond the necessary ones; a passage of less than about this share finds no partner.
+EXTRA = 24
 #: The low bits of a key that tell its band.
 _BAND_BITS = 7
 
@@ -138,7 +144,7 @@ def _digests(rows: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def signatures(docs: DataFrame, measure: Measure, text: str, id_: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys) of each document; digest is null without shingles."""
+    """(doc_id, n_shingles, digest, probes) of each document; digest is null without shingles."""
     kind = dict(docs.dtypes)[id_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +154,34 @@ def signatures(docs: DataFrame, measure: Measure, text: str, id_: str) -> DataFr
                 at, _, _, h = words(data, bounds)
                 at, h = shingles(at, h, n, measure.width)
                 sizes, digest = _digests(at, h, n)
-                rows, keys = _keys(measure, at, h, sizes)
-                order = np.argsort(rows, kind="stable")
-                ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n))))
+                ends = np.cumsum(sizes)
+                most = sizes - (sizes * measure.percent + 99) // 100 + 1 + sizes // EXTRA
+                probed = np.arange(len(h)) - np.repeat(ends - sizes, sizes) < np.repeat(most, sizes)
+                to_ = np.concatenate(([0], np.cumsum(np.bincount(at[probed], minlength=n))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n), pa.array(sizes, pa.int64()), pa.array(digest, mask=sizes == 0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order].view(np.int64)))],
-                    ["doc_id", "n_shingles", "digest", "keys"],
+                    [batch.column(0).slice(row, n), pa.array(sizes, pa.int64()), pa.array(digest, mask=sizes == 0), pa.ListArray.from_arrays(pa.array(to_, pa.int32()), pa.array(h[probed].view(np.int64)))],
+                    ["doc_id", "n_shingles", "digest", "probes"],
                 )
 
-    return docs.select(id_, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest long, keys array<long>")
+    return docs.select(id_, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest long, probes array<long>")
+
+
+def _part_keys(docs: DataFrame, measure: Measure) -> DataFrame:
+    """(digest, key) of (digest, text): the keys of every set's parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, to, data, bounds in pieces(batch.column(1)):
+                at, _, _, h = words(data, bounds)
+                at, h = shingles(at, h, to - row, measure.width)
+                sizes, digest = _digests(at, h, to - row)
+                rows, keys = _keys(measure, at, h, sizes)
+                good = digest[rows] == batch.column(0).slice(row, to - row).to_numpy()[rows]  # another text of the same doc_id is another set
+                rows, keys = rows[good], keys[good]
+                for k in range(0, len(rows), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[rows[k : k + (1 << 16)]]), pa.array(keys[k : k + (1 << 16)].view(np.int64))], ["digest", "key"])
+
+    return docs.select("digest", "text").mapInArrow(run, "digest long, key long")
 
 
 def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -218,8 +243,16 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     measure = Measure(int(percent), width)
     spark = docs.sparkSession
     signed = saved(signatures(docs, measure, text, id_))
-    sets = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
-    keys = saved(sets.select("digest", F.explode("keys").alias("key")))
+    some = signed.where("digest is not null")
+    named = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text"))
+    probes = some.select("digest", "n_shingles", F.explode("probes").alias("probe"))
+    other = probes.groupBy("probe").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("probe")
+    ones = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+    least = F.floor(F.ceil(F.col("size") * measure.percent / 100) / EXTRA) + 1
+    hits = probes.join(other, "probe").select("digest", "probe").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("hits"))
+    going = saved(ones.join(hits, "digest").where(F.col("hits") >= least).select("digest", F.col("doc_id").alias("id")))
+    going_texts = named.join(small(going, going.count()), F.col("doc_id").eqNullSafe(F.col("id")))
+    keys = saved(_part_keys(going_texts, measure))
     met = keys.groupBy("key").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = saved(keys.join(met, "key"))
     rare = met.where(F.col("n") <= COMMON).select("a", F.col("digest").alias("b"))
@@ -233,9 +266,7 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     blocks = components(pairs).select(F.col("node").alias("digest"), F.col("component").alias("block"))
 
     # the texts of the sets in blocks: one document of each
-    ones = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
     wanted = saved(blocks.join(ones, "digest"))
-    named = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text"))
     count = wanted.count()
     found = named.join(small(wanted.withColumnRenamed("doc_id", "id"), count), F.col("doc_id").eqNullSafe(F.col("id")))
     sized = wanted.groupBy("block").agg(F.count(F.lit(1)).alias("n"))

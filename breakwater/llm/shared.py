@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,18 @@ def saved(df: DataFrame) -> DataFrame:
     """`df` written to the folder in spark.checkpoint.dir and read back, so that a lost executor costs no earlier stage.
 
     A written table, unlike checkpoint(), has its true size for the
-    optimiser. Only where that setting is missing (a local test) is a
+    optimiser. The tables stay in the application's folder there until that is
+    deleted. Only where that setting is missing (a local test) is a
     temporary folder taken.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

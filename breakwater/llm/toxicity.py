@@ -62,7 +62,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     if not toxic or not ordinary:
         share = len(toxic) / max(1, len(some))
         return Model(b"", b"", np.array([0.0] * (len(_STEPS) + 3) + [float(np.log((share + 1e-9) / (1 - share + 1e-9)))]))
-    model = Model(zdict.contrast(toxic, ordinary, DICTIONARY), zdict.contrast(ordinary, toxic, DICTIONARY), np.zeros(1))
+    n, m, here, there = len(toxic), len(ordinary), zdict.stretches(toxic), zdict.stretches(ordinary)
+    model = Model(zdict.contrast(here, there, n, m, DICTIONARY), zdict.contrast(there, here, m, n, DICTIONARY), np.zeros(1))
     texts = [*toxic, *ordinary]
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     x = model.features(np.frombuffer(b"".join(texts), np.uint8), bounds)

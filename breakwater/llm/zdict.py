@@ -122,30 +122,32 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def contrast(ours: list[bytes], theirs: list[bytes], size: int, least: float | None = None) -> bytes:
-    """Dictionary content of at most `size` bytes from the stretches that are commoner in `ours`.
-
-    Stretches are words and word starts of 4 bytes or more, each after the
-    mark that stands for the white space before a word. Each is weighed by the log-likelihood ratio of its document
-    frequencies; those above `least` go in (by default 10 to 24, more for more
-    texts, as more stretches are tried), the best last, where matches are
-    cheapest. A stretch that is part of a better one is left out.
+def stretches(texts: list[bytes]) -> Counter:
+    """In how many texts each word, and each word start of 4 to 8 bytes, stands; copies bring no new surroundings and don't count."""
+    out, seen = Counter(), set()
+    for t in texts:
+        found = re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]{4,}", t.lower())
+        new = set(zip(found, found[1:])) - seen
+        seen |= new
+        whole = {w for w, _ in new}
+        out.update(whole.union(*({w[:k] for w in whole if len(w) > k} for k in (4, 5, 6, 7, 8))))
+    return out
+
+
+def contrast(here: Counter, there: Counter, n: int, m: int, size: int, least: float | None = None) -> bytes:
+    """Dictionary content of at most `size` bytes from the stretches that are commoner `here` (n texts) than `there` (m).
+
+    Each is weighed by the log-likelihood ratio of its document frequencies;
+    those above `least` go in (by default 10 to 24, more for more texts, as
+    more stretches are tried), each after the mark that stands for the white
+    space before a word, the best last, where matches are cheapest. A stretch
+    that is part of a better one is left out.
     """
-    here, there = Counter(), Counter()
-    for into, texts in ((here, ours), (there, theirs)):
-        seen = set()
-        for t in texts:
-            found = re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
-            new = set(zip(found, found[1:])) - seen  # copies bring no new surroundings
-            seen |= new
-            for w in {w for w, _ in new}:
-                into.update({w, *(w[:k] for k in (4, 5, 6, 7, 8) if k < len(w))})
-    least = min(24.0, 10 + 4 * max(0.0, math.log(max(len(ours), 1) / 10))) if least is None else least
-    n, m = max(len(ours), 1), max(len(theirs), 1)
-    weights = []
+    least = min(24.0, 10 + 4 * max(0.0, math.log(max(n, 1) / 10))) if least is None else least
+    n, m, weights = max(n, 1), max(m, 1), []
     for w, c in here.items():
         d = there[w]
-        if len(w) < 4 or c < 3 or c * m <= 2 * d * n:
+        if c < 3 or c * m <= 2 * d * n:
             continue
         p = (c + d) / (n + m)
         ratio = 2 * (c * math.log(c / (n * p)) + (d * math.log(d / (m * p)) if d else 0))

@@ -124,19 +124,26 @@ def _bucketed(coded: DataFrame, tables: int) -> DataFrame:
 
 
 class Side:
-    """Vectors of a tile as arrays."""
+    """Vectors of tiles as arrays, with their turned forms."""
 
-    def __init__(self, frame: pd.DataFrame, d: int):
-        self.node, self.weight, self.factor = (frame[c].to_numpy() for c in ("node", "weight", "factor"))
-        self.unit = np.frombuffer(b"".join(frame["unit"]), float).reshape(-1, d)
-        self.code = np.unpackbits(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), axis=1, count=d)
-        self.keys = np.frombuffer(b"".join(frame["keys"]), np.int64).reshape(len(frame), -1)
+    def __init__(self, node, weight, factor, unit, turned, code, keys):
+        self.node, self.weight, self.factor, self.unit, self.turned, self.code, self.keys = node, weight, factor, unit, turned, code, keys
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame, d: int) -> Side:
+        unit = np.frombuffer(b"".join(frame["unit"]), float).reshape(-1, d)
+        code = np.unpackbits(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), axis=1, count=d)
+        keys = np.frombuffer(b"".join(frame["keys"]), np.int64).reshape(len(frame), -1)
+        return cls(*(frame[c].to_numpy() for c in ("node", "weight", "factor")), unit, (unit @ rotation(d)).astype(np.float32), code, keys)
+
+    def at(self, rows: np.ndarray) -> Side:
+        return Side(*(x[rows] for x in (self.node, self.weight, self.factor, self.unit, self.turned, self.code, self.keys)))
 
 
 def linked(a: Side, b: Side, table: int, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places in `a` and `b` of the linked pairs that meet first in this table; of a chunk with itself each pair once."""
     d = a.unit.shape[1]
-    queries = (b.unit @ rotation(d)).astype(np.float32).T
+    queries = b.turned.T
     error = CONFIDENCE * np.sqrt(np.maximum(1 - a.factor**2, 0) / a.factor**2 / max(d - 1, 1)) + 1e-5
     left, right = [], []
     for low in range(0, len(a.node), 256):
@@ -180,7 +187,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vector: str = "embedd
     digest = F.xxhash64("vector")
     kept = saved(named.select("vec_id", digest.alias("node")))
     groups = named.where("size(vector) > 0").select("vector", digest.alias("node")).groupBy("node").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"))
-    bits, tables = plan(kept.count(), cosine)
+    count = kept.count()
+    bits, tables = plan(count, cosine)
     coded = saved(_coded(groups.select("node", "weight", "vector"), bits, tables))
     rows = _bucketed(coded, tables)
     sizes = saved(rows.groupBy("d", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int")))
@@ -191,19 +199,30 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vector: str = "embedd
     dealt = dealt.withColumn("own", own).withColumn("tile", F.explode(tiles)).drop("n", "chunks")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        d, t, i, j = key[0], key[1], key[3], key[4]
-        if not ((frame["own"] == i).any() and (frame["own"] == j).any()):
-            return pd.DataFrame({"node": [], "links": [], "root": []}, dtype="int64")
-        a = Side(frame[frame["own"] == i], d)
-        b = a if i == j else Side(frame[frame["own"] == j], d)
-        p, q = linked(a, b, t, cosine, i == j)
-        node, weight = (a.node, a.weight) if i == j else (np.concatenate((a.node, b.node)), np.concatenate((a.weight, b.weight)))
-        q = q if i == j else q + len(a.node)
-        n = np.bincount(p, weight[q], len(node)) + np.bincount(q, weight[p], len(node))
-        some = np.flatnonzero(n)
-        return pd.DataFrame({"node": node[some], "links": n[some].astype(np.int64), "root": node[forest(len(node), p, q)[some]]})
-
-    found = saved(dealt.groupBy("d", "t", "key", "tile.i", "tile.j").applyInPandas(run, "node long, links long, root long"))
+        d, t = key[0], key[1]
+        every = Side.of(frame, d)
+        own = frame["own"].to_numpy()
+        out = [np.zeros((3, 0), np.int64)]
+        for (_, i, j), rows in frame.groupby(["key", "i", "j"], sort=False).indices.items():
+            left, right = rows[own[rows] == i], rows[own[rows] == j]
+            if not len(left) or not len(right) or len(rows) < 2:
+                continue
+            a = every.at(left)
+            b = a if i == j else every.at(right)
+            p, q = linked(a, b, t, cosine, i == j)
+            if not len(p):
+                continue
+            node, weight = (a.node, a.weight) if i == j else (np.concatenate((a.node, b.node)), np.concatenate((a.weight, b.weight)))
+            q = q if i == j else q + len(a.node)
+            n = np.bincount(p, weight[q], len(node)) + np.bincount(q, weight[p], len(node))
+            some = np.flatnonzero(n)
+            out.append(np.stack((node[some], n[some].astype(np.int64), node[forest(len(node), p, q)[some]])))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["node", "links", "root"])
+
+    # a call of the kernel takes several buckets of a table
+    lots = F.pmod(F.xxhash64("key", "tile.i", "tile.j"), F.lit(max(1, count // 4000))).alias("lot")
+    dealt = dealt.select("d", "t", "key", "tile.i", "tile.j", lots, "own", "node", "weight", "unit", "factor", "code", "keys")
+    found = saved(dealt.groupBy("d", "t", "lot").applyInPandas(run, "node long, links long, root long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     copies = kept.join(coded.select("node", "weight"), "node")

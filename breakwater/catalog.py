@@ -447,9 +447,9 @@ _rows("cp_poisson", lambda s, d: api.poisson(monthly(s, d).withColumn("one", F.l
 _rows("cp_quantile", lambda s, d: api.quantile(monthly(s, d).withColumn("one", F.lit(1.0)), ["x", "one"], "d", keep=False, tau=0.5, trim=0.05))
 _rows("cp_lasso", lambda s, d: api.lasso(monthly(s, d).withColumn("z", F.col("x") / 150 - 1).withColumn("u", F.cos("d")).withColumn("c", F.col("c") / 100), ["c", "z", "u"], "d", keep=False))
 _rows("cp_ar", lambda s, d: api.ar(daily(s, d), "x", "d", order=2, keep=False))
-_rows("cp_garch", lambda s, d: api.garch(monthly(s, d).where("d % 3 = 0").withColumn("x", F.col("x") / 15 - 10), "x", "d", order=(1, 0), keep=False))
+_rows("cp_garch", lambda s, d: api.garch(monthly(s, d).withColumn("x", F.col("x") / 15 - 10), "x", "d", order=(1, 0), keep=False))
 _rows("cp_arma", lambda s, d: api.arma(monthly(s, d).withColumn("x", F.col("x") - 150), "x", "d", order=(1, 0), keep=False, trim=0.1))
-_rows("cp_ma", lambda s, d: api.ma(monthly(s, d).where("d % 6 = 0").withColumn("x", F.col("x") - 150), "x", "d", order=1, keep=False, trim=0.1))
+_rows("cp_ma", lambda s, d: api.ma(monthly(s, d).withColumn("x", F.col("x") - 150), "x", "d", order=1, keep=False, trim=0.1))
 _rows("cp_arima", lambda s, d: api.arima(monthly(s, d), "x", "d", order=(1, 1, 0), keep=False, trim=0.1))
 
 

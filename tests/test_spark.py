@@ -134,6 +134,14 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name", ["cp_garch", "cp_ma"])
+def test_whole_monthly_series(spark, name):
+    """Segments cover every month, without gaps."""
+    rows = catalog.queries()[name](spark, SF).orderBy("start_index").collect()
+    assert [r["start_index"] for r in rows] == [1, *(r["end_index"] + 1 for r in rows[:-1])]
+    assert rows[-1]["end_index"] == catalog.monthly(spark, SF).count()
+
+
 @pytest.mark.parametrize("name", ORACLES)
 def test_query_equals_sql(spark, name):
     got = catalog.queries()[name](spark, SF).toPandas()

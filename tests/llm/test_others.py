@@ -157,6 +157,32 @@ def test_decontaminate(spark):
     assert decontaminate.find(d.limit(0), b).count() == 0 and decontaminate.find(d, b.limit(0)).count() == 0
 
 
+def test_decontaminate_over_offsets(spark):
+    """Slots whose values have another number of words, and a word put in or left out in the middle."""
+    r = random.Random(7)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    plain = prose(10)
+    w = plain.split()
+    asked = "when Anna walked for 5km along the old canal path she met Paul near a mill that was 1000 years old"
+    items = [(1, asked), (2, plain), (3, prose(8))]
+    docs = [
+        (1, prose(9) + " " + asked.replace("Anna", "Mary Ann").replace("5km", "7 km").replace("1000", "2 500") + " " + prose(9)),
+        (2, prose(9) + " " + asked.replace("Paul", "John Paul Peter") + " " + prose(9)),
+        (3, prose(7) + " " + " ".join([*w[:5], "extra", *w[5:]]) + " " + prose(7)),
+        (4, prose(7) + " " + " ".join([*w[:3], "extra", *w[3:]]) + " " + prose(7)),
+        (5, prose(7) + " " + " ".join([*w[:7], *w[8:]]) + " " + prose(7)),
+        (6, prose(7) + " " + " ".join(w[:5]) + " " + prose(40) + " " + " ".join(w[5:])),
+        (7, prose(7) + " " + " ".join([*w[:5], *prose(3).split(), *w[8:]])),
+        (8, plain + " " + plain),
+    ]
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (8, 2)}
+    assert [got[k]["kind"] for k in sorted(got)] == ["parameters", "parameters", "near", "near", "near", "exact"]
+    assert [got[k]["at"] for k in sorted(got)] == [9, 9, 7, 7, 7, 0]
+    assert got[4, 2]["n_equal"] == got[4, 2]["n_words"] == 10 and got[5, 2]["n_equal"] == 9
+    assert got[1, 1]["n_slots"] == 4 and got[1, 1]["n_changed"] == 3
+
+
 def labelled(spark, seed=4):
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["tion", "re", "ing", "er", "st", "ou", "an", "le"]) for _ in range(r.randint(1, 3)))

@@ -8,10 +8,12 @@ hash-joined with the benchmark items' windows, and so is every window of `WIDTH`
 words and runs, a run being names in a row or numbers in a row with their units.
 Hits propose that the item stands in the document at a certain place; there it is
 aligned, in words and runs, over the offsets of all hits nearby (no further apart
-than the words that may differ) and two more on either side. The item is found where `SIMILARITY` of its canonical words agree and the
-placeholders are filled consistently: equal values of the item have equal
-values in the document, and different ones different. So a question that only
-had its numbers, names or units exchanged is found and told from an exact copy.
+than the words that may differ) and two more on either side. The item is found where
+`SIMILARITY` of its canonical words agree and either as many of its words agree as
+written or the placeholders are filled consistently: of all slots, `SIMILARITY` have the
+value that is the most frequent one in the document for their value in the item.
+Different values may become equal. So a question that only had its numbers, names or
+units exchanged is found and told from an exact copy.
 
 Items of fewer than `WIDTH` words match nothing. Null and empty texts match
 nothing. An item with a null item_id takes part. Repeated rows are reported
@@ -160,8 +162,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "
     slots = F.transform(slot, lambda t: F.struct(raw(F.col("item_raw"), item_begin, t["i"]).alias("x"), raw(F.col("doc_raw"), begin, t["i"] + t["k"] - lo).alias("y"), t["words"].alias("words")))
     both = saved(both.select("doc_id", "part", "item_id", F.get(begin, F.greatest(F.get("faced", F.lit(0))["k"] - lo, F.lit(0))).alias("at"), "n_words", "n_equal", (F.size(F.array_distinct("faced.k")) > 1).alias("moved"), slots.alias("slots")))
     both = both.withColumn("changed", F.filter("slots", lambda t: t["x"] != t["y"]))
-    pairs = F.array_distinct(F.transform("slots", lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"))))
-    both = both.withColumn("consistent", (F.size(pairs) == F.size(F.array_distinct("slots.x"))) & (F.size(pairs) == F.size(F.array_distinct("slots.y"))))
+    # of each value of the item, how many slots have its most frequent value in the document
+    kept = F.transform(F.array_distinct("slots.x"), lambda x: F.array_max(F.transform(F.array_distinct("slots.y"), lambda y: F.size(F.filter("slots", lambda t: (t["x"] == x) & (t["y"] == y))))))
+    constant = F.aggregate(kept, F.lit(0), lambda s, n: s + n) >= F.ceil(F.size("slots") * similarity)
+    verbatim = F.col("n_equal") - F.aggregate("changed", F.lit(0), lambda s, t: s + t["words"]) >= F.ceil(F.col("n_words") * similarity)
+    both = both.withColumn("consistent", constant | verbatim)
     result = both.select(
         "doc_id",
         "part",

@@ -183,6 +183,21 @@ def test_decontaminate_over_offsets(spark):
     assert got[1, 1]["n_slots"] == 4 and got[1, 1]["n_changed"] == 3
 
 
+def test_decontaminate_with_slots_that_do_not_map(spark):
+    """One edited value of a verbatim passage; two values that become equal; values with no mapping are not found."""
+    twice = "take 120 pieces and put them in a box then lift it by 3 steps and count the 120 pieces once more before you close the lid"
+    plain = "a shop sells 3 pears and buys 5 plums from Anna every morning while Paul keeps the books of the whole trade"
+    dense = "from Paris to Lyon then 7 miles to Paris then Lyon then 7 miles to Paris or Lyon"
+    docs = [
+        (1, "so here we go again " + twice.replace("120 pieces once", "121 pieces once")),
+        (2, "so here we go again " + plain.replace("3", "4").replace("5", "4")),
+        (3, "so here we go again " + plain.replace("3", "4").replace("5", "4").replace("Anna", "Rita").replace("Paul", "Rita")),
+        (4, "so here we go again from Rome to Oslo then 8 miles to Bonn then Kiel then 9 miles to Nice or Metz"),
+    ]
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, twice), (2, plain), (3, dense)], "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): (x["kind"], x["n_changed"]) for x in found} == {(1, 1): ("parameters", 1), (2, 2): ("parameters", 2), (3, 2): ("parameters", 4)}
+
+
 def labelled(spark, seed=4):
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["tion", "re", "ing", "er", "st", "ou", "an", "le"]) for _ in range(r.randint(1, 3)))

@@ -2,9 +2,9 @@
 
 Every text is cut into windows, each compressed with a dictionary of good
 text, one of bad text and none. The difference of the first two, divided by
-the third, is the normalised difference; with the third's share of the
-text's length (repetition shows there) and their products it enters a
-logistic calibration fitted on the labelled sample.
+the third, is the normalised difference. It enters a logistic calibration fitted on
+the labelled sample, together with the third's share of the text's length
+(repetition shows there), the products of the two and the logarithm of the length.
 
 Null and empty texts have no windows and get the calibration's base score.
 With a class missing among the labels, every score is the share of good rows
@@ -24,19 +24,12 @@ THRESHOLD = 0.7
 _HOW = {"strategy": zstd.STRATEGY_DFAST, "min_match": 5, "window_log": 18, "hash_log": 16, "chain_log": 16}
 
 
-class Model:
-    """Two dictionaries and a calibration; picklable, its compressors are made where it runs."""
-
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray):
-        self.good, self.bad, self.weights = good, bad, weights
-        self.made = None
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "made": None}
+class Model(zdict.Classifier):
+    """A classifier of good text (1) and bad text (0)."""
 
     def features(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if self.made is None:
-            self.made = [zdict.Sizes(x, **_HOW) for x in (self.good, self.bad, None)]
+            self.made = [zdict.Sizes(x, **_HOW) for x in (self.yes, self.no, None)]
         n, raw = len(bounds) - 1, data.tobytes()
         rows, starts, ends = zdict.windows(bounds, WINDOW, 0)
         good, bad, alone = (np.bincount(rows, m.of(raw, starts, ends), n) for m in self.made)
@@ -48,10 +41,6 @@ class Model:
         empty = (np.diff(bounds) > 0).astype(float)
         return np.column_stack((apart, np.abs(apart), np.maximum(apart, 0) ** 2, ratio * 3, ratio**2 * 3, apart * ratio, own * 3, np.log1p(length) / 8)) * empty[:, None]
 
-    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        x = self.features(data, bounds)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
-
 
 def stretches(texts: list[bytes]) -> bytes:
     """Dictionary content: one stretch from each text, at a place that moves along, until the dictionary is full."""
@@ -67,21 +56,22 @@ def stretches(texts: list[bytes]) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """A model from `labels` (doc_id and `label` 1 or 0) of `docs` (doc_id, text); all given labels may be learnt from."""
-    return learn(zdict.sample(docs, labels, label))
+    return Model(*zdict.fitted(zdict.sample(docs, labels, label), learn))
 
 
-def learn(some) -> Model:
-    good, bad = (list(some["text"][some["y"] == y]) for y in (1, 0))
+def learn(texts: list[bytes], y: np.ndarray, odds: float = 0.0) -> Model:
+    """A model from texts and their classes, 1 being good; `odds` are added to the log odds."""
+    good, bad = ([t for t, c in zip(texts, y) if c == k] for k in (1, 0))
     if not good or not bad:
-        share = (len(good) + 1) / (len(some) + 1)
+        share = (len(good) + 1) / (len(texts) + 1)
         return Model(b"", b"", np.array([0.0] * 8 + [float(np.log(share / (1 - share + 1e-9)))]))
     # every second text goes to the dictionaries, the others to the calibration
     model = Model(stretches(good[::2]), stretches(bad[::2]), np.zeros(1))
     texts = [*(good[1::2] or good), *(bad[1::2] or bad)]
-    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    x = model.features(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    x = np.concatenate([model.features(data, bounds) for _, _, data, bounds in zdict.texts_in_pieces(texts)])
     n = len(good[1::2] or good)
     model.weights = zdict.logistic(x, np.array([1.0] * n + [0.0] * (len(texts) - n)), 0.3)
+    model.weights[-1] += odds
     return model
 
 

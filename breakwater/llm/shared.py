@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sides with at most so many rows (of a few dozen bytes each) are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Sides of at most so many bytes, by their counted rows and a row's width, are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -35,9 +35,9 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted `rows` are within `most`."""
-    return F.broadcast(df) if rows <= most else df
+def small(df: DataFrame, rows: int, width: int = 48) -> DataFrame:
+    """`df` with a broadcast hint if its counted `rows` of `width` bytes each are within `BROADCAST_BYTES`."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def parts(spark: SparkSession) -> int:

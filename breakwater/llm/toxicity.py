@@ -1,10 +1,14 @@
 """Toxicity by compression distance: windows of a text under a dictionary of toxic text and one of ordinary text.
 
-The toxic dictionary holds stretches that labelled toxic texts have and
-ordinary ones lack, the ordinary dictionary the reverse. Every window of the
-whole text is compressed with each; how many bytes the toxic dictionary saves
-is the window's distance. A text's distances, counted above several
-thresholds, enter a logistic calibration fitted on the labelled sample.
+Both dictionaries begin with the same background, trained by zstandard on
+windows of ordinary text, so that what both classes share is matched alike.
+The rest of each is trained on its own class's texts by the COVER method: segments
+that hold the most valuable substrings of eight bytes, a substring's value being
+how much commoner it is in this class's texts than in the other's. Every window of
+the whole text is compressed with each; how many bytes the toxic dictionary saves is
+the window's distance. A text's distances, counted above several thresholds, enter a
+logistic calibration. It is fitted on distances from dictionaries that were trained
+without the text: each half of the labelled sample is scored by the other's.
 
 Null and empty texts have no windows and get the calibration's base score.
 With a class missing among the labels, every score is the share of toxic rows
@@ -19,58 +23,67 @@ from pyspark.sql import DataFrame
 
 from breakwater.llm import zdict
 
-WINDOW, LAP, DICTIONARY = 96, 24, 16_384
+WINDOW, LAP = 96, 24
+#: Bytes of the shared background and of a class's own part of its dictionary, and what an own segment is worth at least.
+BACKGROUND, OWN, LEAST = 32_768, 4096, 20.0
 THRESHOLD = 0.5
-_STEPS = (1, 2, 3, 4, 5, 7)
+_STEPS = (1, 2, 3, 4, 5, 6, 8)
 
 
-class Model:
-    """Two dictionaries and a calibration; picklable, its compressors are made where it runs."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray):
-        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
-        self.made = None
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "made": None}
+class Model(zdict.Classifier):
+    """A classifier of toxic text (1) and ordinary text (0)."""
 
     def features(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if self.made is None:
-            self.made = [zdict.Sizes(x + b"\0" + zdict.KEY, strategy=zstd.STRATEGY_FAST, min_match=7, window_log=15, hash_log=14) for x in (self.ordinary, self.toxic)]
+            self.made = [zdict.Sizes(x + b"\0" + zdict.KEY, strategy=zstd.STRATEGY_FAST, min_match=7, window_log=18, hash_log=17) for x in (self.no, self.yes)]
         n = len(bounds) - 1
-        size = np.diff(bounds)
         data, bounds = zdict.marked(data, bounds)
         rows, starts, ends = zdict.windows(bounds, WINDOW, LAP)
         keyed = zdict.keyed(data, starts, ends)
         saved = self.made[0].of(*keyed) - self.made[1].of(*keyed)
-        most = np.zeros(n)
+        most, least = np.zeros(n), np.zeros(n)
         np.maximum.at(most, rows, saved)
-        least = np.zeros(n)
         np.minimum.at(least, rows, saved)
         counts = [np.log1p(np.bincount(rows, saved >= k, n)) for k in _STEPS]
-        return np.column_stack((np.minimum(most, 12) / 4, np.maximum(least, -12) / 4, *counts, np.log1p(size) / 8))
+        # an empty text still has the mark before it, which is no window of its own
+        some = np.diff(bounds) > len(zdict.MARK)
+        return np.column_stack((np.minimum(most, 20) / 4, np.maximum(least, -12) / 4, *counts, np.log1p(np.bincount(rows, minlength=n)) / 4)) * some[:, None]
 
-    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        x = self.features(data, bounds)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
+def trained(texts: list[bytes], y: np.ndarray, seen: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Model:
+    """A model without weights from the texts that are `seen`; `counts` are frequencies of substrings among them by class."""
+    toxic, ordinary = ([t for t, c, ok in zip(texts, y, seen) if ok and c == k] for k in (1, 0))
+    n, m = max(len(toxic), 1), max(len(ordinary), 1)
+    shared = zdict.background(ordinary, BACKGROUND, WINDOW)
+    own = [zdict.cover(of, keys, zdict.surplus(here, a, there, b), OWN, LEAST) for of, here, a, there, b in ((toxic, counts[1], n, counts[0], m), (ordinary, counts[0], m, counts[1], n))]
+    return Model(*(b"\0".join((shared, *part)) for part in own), np.zeros(1))
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """A model from `labels` (doc_id and `label` 1 or 0) of `docs` (doc_id, text); all given labels may be learnt from."""
-    some = zdict.sample(docs, labels, label)
-    toxic, ordinary = (list(some["text"][some["y"] == y]) for y in (1, 0))
-    if not toxic or not ordinary:
-        share = len(toxic) / max(1, len(some))
+
+def learn(texts: list[bytes], y: np.ndarray, odds: float = 0.0) -> Model:
+    """A model from texts and their classes, 1 being toxic; `odds` are added to the log odds."""
+    if not y.any() or y.all():
+        share = y.sum() / max(1, len(y))
         return Model(b"", b"", np.array([0.0] * (len(_STEPS) + 3) + [float(np.log((share + 1e-9) / (1 - share + 1e-9)))]))
-    n, m, here, there = len(toxic), len(ordinary), zdict.stretches(toxic), zdict.stretches(ordinary)
-    model = Model(zdict.contrast(here, there, n, m, DICTIONARY), zdict.contrast(there, here, m, n, DICTIONARY), np.zeros(1))
-    texts = [*toxic, *ordinary]
-    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    x = model.features(np.frombuffer(b"".join(texts), np.uint8), bounds)
-    model.weights = zdict.logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(ordinary)))
+    fold = np.arange(len(y)) % 2
+    keys, counts = zdict.frequencies(texts, 2 * fold + y, 4)
+    counts = counts.reshape(2, 2, -1)
+    x = np.zeros((len(y), len(_STEPS) + 3))
+    for k in (0, 1):
+        other = trained(texts, y, fold != k, keys, counts[1 - k])
+        for low, high, data, bounds in zdict.texts_in_pieces(texts):
+            of = fold[low:high] == k
+            x[low:high][of] = other.features(data, bounds)[of]
+    model = trained(texts, y, np.ones(len(y), bool), keys, counts.sum(axis=0))
+    model.weights = zdict.logistic(x, y.astype(float))
+    model.weights[-1] += odds
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+    """A model from `labels` (doc_id and `label` 1 or 0) of `docs` (doc_id, text); all given labels may be learnt from."""
+    return Model(*zdict.fitted(zdict.sample(docs, labels, label), learn))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """`docs` without the text and with the score (0 to 1, higher: toxic likelier) in a new last column."""
     return zdict.score(docs, name, model.scores, text)

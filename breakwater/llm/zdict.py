@@ -2,36 +2,36 @@
 
 Two classifiers share this module's parts. Both learn from a bounded sample of
 labelled rows (`SAMPLE_ROWS` rows a class, of at most `SAMPLE_CHARS`
-characters each, those with the least hash of the id), which is all that
-reaches the driver; scoring runs over whole texts on the executors.
+characters each, those with the least hash of the id). One task learns from
+it, piece by piece, and the driver receives the model; scoring runs over whole
+texts on the executors.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from breakwater.llm.arrays import _LOWER, _SPACE, pieces
+from breakwater.llm.arrays import _LOWER, _SPACE, pieces, prefix_hashes, window_hashes
 
 #: Bounds of the labelled sample that a classifier is fitted on.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 12_000
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> pd.DataFrame:
-    """At most `rows` labelled rows of each class: text (bytes) and y.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(y, h, doc_id, text, labelled) of at most `rows` labelled rows of each class.
 
     Contradicting or repeated labels of a document count once each; null
-    labels, null texts and labels other than 0 and 1 are left out.
+    labels, null texts and labels other than 0 and 1 are left out. `labelled` is
+    the number of the class's labelled documents.
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").distinct()
     # ids are drawn first, so that only the drawn rows' texts travel
@@ -41,10 +41,61 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     for y in (0, 1):
         drawn = there.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows)
         part = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(drawn), "doc_id")
-        part = part.select("y", "text", "h", "doc_id").orderBy("h", "doc_id", "text").limit(rows)
+        part = part.select("y", "h", F.col("doc_id").cast("string").alias("doc_id"), "text").orderBy("h", "doc_id", "text").limit(rows)
         some = part if some is None else some.union(part)
-    out = some.toPandas().sort_values(["y", "h", "doc_id", "text"], kind="stable")
-    return pd.DataFrame({"text": [t.encode() for t in out["text"]], "y": out["y"].to_numpy(int)})
+    # what share of its class's labelled documents a row stands for; a row for each class, so a broadcast of them is small
+    shares = there.groupBy("y").agg(F.count(F.lit(1)).alias("labelled"))
+    return some.join(F.broadcast(shares), "y")
+
+
+class Classifier:
+    """The dictionaries of class 1 and of class 0, and a calibration's weights; picklable, compressors are made where it runs."""
+
+    def __init__(self, yes: bytes, no: bytes, weights: np.ndarray):
+        self.yes, self.no, self.weights = yes, no, weights
+        self.made = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "made": None}
+
+    def features(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        x = self.features(data, bounds)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+
+def fitted(some: DataFrame, learn: Callable[[list[bytes], np.ndarray, float], Classifier]) -> tuple[bytes, bytes, np.ndarray]:
+    """What `learn` makes of a `sample`, in one task; the driver receives the dictionaries and weights alone.
+
+    `learn` takes the texts, their classes, and how much the log odds of class 1
+    among all labelled documents exceed those in the sample.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("y", "h", "doc_id", "text", "labelled"))))
+        y = np.array([r[0] for r in rows], int)
+        per_row = {k: next((r[4] for r in rows if r[0] == k), 0) / max(1, int((y == k).sum())) for k in (0, 1)}
+        odds = math.log(per_row[1] / per_row[0]) if all(per_row.values()) else 0.0
+        model = learn([r[3].encode() for r in rows], y, odds)
+        yield pa.RecordBatch.from_arrays([pa.array([model.yes], pa.binary()), pa.array([model.no], pa.binary()), pa.array([model.weights.tolist()])], ["yes", "no", "weights"])
+
+    got = some.coalesce(1).mapInArrow(run, "yes binary, no binary, weights array<double>").first()
+    if got is None:  # an empty sample may have no partition
+        none = learn([], np.zeros(0, int), 0.0)
+        return none.yes, none.no, none.weights
+    return bytes(got[0]), bytes(got[1]), np.array(got[2])
+
+
+def texts_in_pieces(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """`pieces` of a list of texts, joined piece by piece."""
+    sizes = np.array([len(t) for t in texts])
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, low + int(np.searchsorted(np.cumsum(sizes[low:]), size, "right")))
+        yield low, high, np.frombuffer(b"".join(texts[low:high]), np.uint8), np.concatenate(([0], np.cumsum(sizes[low:high])))
+        low = high
 
 
 class Sizes:
@@ -122,45 +173,126 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def stretches(texts: list[bytes]) -> Counter:
-    """In how many texts each word, and each word start of 4 to 8 bytes, stands; copies bring no new surroundings and don't count."""
-    out, seen = Counter(), set()
-    for t in texts:
-        found = re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]{4,}", t.lower())
-        new = set(zip(found, found[1:])) - seen
-        seen |= new
-        whole = {w for w, _ in new}
-        out.update(whole.union(*({w[:k] for w in whole if len(w) > k} for k in (4, 5, 6, 7, 8))))
+#: A substring that a dictionary is made for has `_UNIT` bytes; one that fewer than `_TEXTS` texts hold has no value.
+_UNIT, _TEXTS = 8, 3
+_ROUGH = 24
+
+
+def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each substring of `_UNIT` bytes, its text, and whether it stands within one text."""
+    h = window_hashes(prefix_hashes(data), _UNIT)
+    at = np.arange(len(h))
+    rows = np.searchsorted(bounds, at, "right") - 1
+    return h, rows, at + _UNIT <= bounds[rows + 1]
+
+
+def _once(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text and hash of each text's distinct substrings, piece by piece."""
+    for low, _, data, bounds in texts_in_pieces(texts):
+        h, rows, whole = _units(*marked(data, bounds))
+        h, rows = h[whole], rows[whole]
+        order = np.argsort(h, kind="stable")  # rows stay in order among equals
+        h, rows = h[order], rows[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+        yield rows[new] + low, h[new]
+
+
+def frequencies(texts: list[bytes], group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the substrings that `_TEXTS` texts hold at least, and in how many texts of each group."""
+    rough = np.zeros(1 << _ROUGH, np.uint16)
+    shift = np.uint64(64 - _ROUGH)
+    for _, h in _once(texts):
+        rough += np.bincount((h >> shift).astype(np.int64), minlength=1 << _ROUGH).astype(np.uint16)
+    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+    for rows, h in _once(texts):
+        some = rough[(h >> shift).astype(np.int64)] >= _TEXTS
+        keys.append(h[some])
+        of.append(group[rows[some]].astype(np.int8))
+    every, of = np.concatenate(keys), np.concatenate(of)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+    counts = np.array([np.add.reduceat((of == g).astype(np.int32), first) for g in range(groups)]) if len(first) else np.zeros((groups, 0), np.int32)
+    often = counts.sum(axis=0) >= _TEXTS
+    return every[first][often], counts[:, often]
+
+
+def surplus(here: np.ndarray, n: int, there: np.ndarray, m: int) -> np.ndarray:
+    """Log-likelihood ratio of each substring's shares of n texts here and m there; 0 where it is not commoner here."""
+    out = np.zeros(len(here))
+    some = np.flatnonzero(here >= _TEXTS)
+    some = some[here[some].astype(float) * m > there[some].astype(float) * n]
+    c, d = here[some].astype(float), there[some].astype(float)
+    p = (c + d) / (n + m)
+    out[some] = 2 * (c * np.log(c / (n * p)) + np.where(d > 0, d * np.log(np.maximum(d, 1) / (m * p)), 0))
     return out
 
 
-def contrast(here: Counter, there: Counter, n: int, m: int, size: int, least: float | None = None) -> bytes:
-    """Dictionary content of at most `size` bytes from the stretches that are commoner `here` (n texts) than `there` (m).
+def cover(texts: list[bytes], keys: np.ndarray, value: np.ndarray, size: int, least: float, segment: int = 16, floor: int = 128) -> list[bytes]:
+    """Segments of the texts that cover the most valuable substrings (`keys`, sorted): a dictionary's content, the best last.
 
-    Each is weighed by the log-likelihood ratio of its document frequencies;
-    those above `least` go in (by default 10 to 24, more for more texts, as
-    more stretches are tried), each after the mark that stands for the white
-    space before a word, the best last, where matches are cheapest. A stretch
-    that is part of a better one is left out.
+    As in zstandard's COVER trainer a segment is worth the sum of its distinct
+    substrings that no chosen one holds, and loses the ends that hold none. Only
+    values of `least` or more count, unless less than `floor` bytes were chosen.
     """
-    least = min(24.0, 10 + 4 * max(0.0, math.log(max(n, 1) / 10))) if least is None else least
-    n, m, weights = max(n, 1), max(m, 1), []
-    for w, c in here.items():
-        d = there[w]
-        if c < 3 or c * m <= 2 * d * n:
-            continue
-        p = (c + d) / (n + m)
-        ratio = 2 * (c * math.log(c / (n * p)) + (d * math.log(d / (m * p)) if d else 0))
-        if ratio >= least:
-            weights.append((ratio, len(w), w))
-    weights.sort(reverse=True)
-    chosen: list[bytes] = []
-    total = 0
-    for _, _, w in weights:
-        if total + len(w) + 1 <= size and not any(c.startswith(w) or w.startswith(c) for c in chosen):
-            chosen.append(w)
-            total += len(w) + 1
-    return b"\0".join(MARK + w for w in reversed(chosen))
+    span = segment - _UNIT + 1
+    best: dict[tuple[bool, int], tuple[float, np.ndarray, bytes]] = {}
+    keys, value = np.append(keys, np.uint64(0)), np.append(value, 0.0)  # the last place stands for all others
+    for _, _, data, bounds in texts_in_pieces(texts):
+        data, bounds = marked(data, bounds)
+        h, _, whole = _units(data, bounds)
+        place = np.searchsorted(keys[:-1], h)
+        place[(keys[place] != h) | ~whole] = len(keys) - 1
+        for bar in (least, 0.0):
+            worth = np.where(value[place] >= bar, value[place], 0)
+            total = np.concatenate(([0.0], np.cumsum(worth)))
+            scores = total[span:] - total[:-span]
+            # of the segments that begin with the same substring the best one
+            some = np.flatnonzero(worth[: len(scores)] > 0)
+            some = some[np.argsort(-scores[some], kind="stable")]
+            some = some[np.unique(place[some], return_index=True)[1]]
+            if not bar:
+                some = some[np.argsort(-scores[some], kind="stable")[:100]]
+            for i in some.tolist():
+                k = bar > 0, int(place[i])
+                if k not in best or best[k][0] < scores[i]:
+                    best[k] = float(scores[i]), place[i : i + span], data[i : i + segment].tobytes()
+    kept = [x[1:] for x in best.values()]
+    out, total = [], 0
+    for left, most in ((np.where(value >= least, value, 0), size), (value, floor)):
+        heap = [(-float(left[np.unique(ids)].sum()), i) for i, (ids, _) in enumerate(kept)] if total < most else []
+        heapq.heapify(heap)
+        while heap and total < most:
+            _, i = heapq.heappop(heap)
+            ids, raw = kept[i]
+            now = float(left[np.unique(ids)].sum())
+            if now <= 0:
+                continue
+            if heap and now < -heap[0][0]:
+                heapq.heappush(heap, (-now, i))
+                continue
+            at = np.flatnonzero(left[ids] > 0)
+            out.append((now, raw[at[0] : at[-1] + _UNIT]))
+            total += len(out[-1][1])
+            left[ids] = 0
+    return [x for _, x in sorted(out)]
+
+
+def background(texts: list[bytes], size: int, window: int, most: int = 2 << 20) -> bytes:
+    """A dictionary trained by zstandard on windows of the texts, evenly drawn, of about `most` bytes."""
+    step, out, k = max(1, -(-sum(map(len, texts)) // most)), [], 0
+    for _, _, data, bounds in texts_in_pieces(texts):
+        data, bounds = marked(data, bounds)
+        raw, (_, starts, ends) = data.tobytes(), windows(bounds, window, 0)
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if k % step == 0:
+                out.append(raw[a:b])
+            k += 1
+    try:
+        return zstd.train_dictionary(size, out, k=32, d=_UNIT).as_bytes()
+    except zstd.ZstdError:  # too little text to train on
+        return b"".join(out)[-size:]
 
 
 def score(docs: DataFrame, name: str, scorer: Callable[[np.ndarray, np.ndarray], np.ndarray], text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Vectors, urls, language model, decontamination, classifiers and the pipeline against brute force on small fixtures."""
 
 import math
+import os
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breakwater.llm import decontaminate, lm, quality, queries, rabitq, shared, toxicity, url_tree
+from breakwater.llm import decontaminate, lm, quality, queries, rabitq, shared, toxicity, url_tree, zdict
 
 
 def brute_vectors(rows, cosine):
@@ -233,6 +234,26 @@ def test_classifiers_on_held_out_rows(spark, module, label, least):
     assert all(0 <= x["score"] <= 1 for x in module.score(docs.limit(5), none).collect())
 
 
+def test_toxicity_needs_both_dictionaries(spark):
+    """Both dictionaries hold text of their own; without the toxic one's, or with both alike, classes are not told apart."""
+    docs, labels = labelled(spark)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    rows = [(texts[r["doc_id"]], r["toxic"]) for r in labels.collect() if r["doc_id"] in texts and r["toxic"] is not None and r["doc_id"] < 1000]
+    y = np.array([c for _, c in rows])
+    model = toxicity.learn([t for t, _ in rows[::2]], y[::2])
+    assert len(model.yes) > 1000 and len(model.no) > 1000
+    common = os.path.commonprefix([model.yes, model.no])
+    assert len(model.yes) - len(common) >= 64 and len(model.no) - len(common) >= 64
+
+    def gap(m):
+        s = np.concatenate([m.scores(data, bounds) for _, _, data, bounds in zdict.texts_in_pieces([t for t, _ in rows[1::2]])])
+        return s[y[1::2] == 1].mean() - s[y[1::2] == 0].mean()
+
+    assert gap(model) > 0.8
+    assert gap(toxicity.Model(common, model.no, model.weights)) < 0.2
+    assert gap(toxicity.Model(model.yes, model.yes, model.weights)) < 0.2
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(30)] + [(100, r.randrange(101, 140)) for _ in range(30)] + [(200, 200), (None, 3), (5, None)]

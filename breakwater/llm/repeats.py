@@ -7,67 +7,130 @@ bytes have the least hash, so equal windows have equal anchors, and an anchor
 serves all the windows of one stretch.
 
 1. Each text's anchors are found, with the stretch of window starts that an
-   anchor serves and a fingerprint of the bytes that those windows cover.
-2. Shards of anchors, by the seed's fingerprint, go through an index family:
-   an arriving batch is sorted into a suffix array (by seed, then by covered
-   bytes), and while the newest two levels are of a size they are merged, equal
-   entries adding up. The levels' last merge scan tells anchors whose whole
-   stretch is repeated, and anchors whose seed is repeated otherwise.
-3. Only for the latter the bytes themselves are fetched, with one example of
-   each repeated stretch of the same seed. Their windows' fingerprints go
-   through another such family, and a window that is there twice is repeated.
+   anchor serves and a fingerprint of the bytes that those windows cover. Copies
+   collapse here: anchors of equal seed and stretch (128 bits together) are
+   counted by an aggregation. A stretch that is there twice is repeated as a
+   whole, and a seed that is there once repeats nothing.
+2. Of the other anchors, and of one example of each repeated stretch of their
+   seeds, the bytes themselves are fetched and dealt by seed.
+3. There an index family takes them batch by batch. A batch becomes a suffix
+   array: its suffixes from the anchors on, sorted by their bytes. While the
+   newest two levels are of a size they are merged, and so are all at last; each
+   merge scans both arrays side by side for matches of one's suffixes with the
+   other's. A match reaches as far right as the common prefix of the two suffixes
+   and as far left as the bytes before the anchors agree, byte by byte, and
+   counts if both together have `LENGTH` bytes (`matched`).
 4. A text's repeated stretches are merged into spans and cut out.
 
 No text is compared with another one, no group of copies is paired, and what
-a task holds is its shard. Null texts count as empty; a text shorter than
-`LENGTH` keeps all bytes. Rows that repeat wholly are copies of one another;
-rows that share a doc_id are told apart by their text. Extra columns are ignored.
+a task holds is a bounded number of anchors, but for a seed that stands in more
+than `HOT` different stretches: the windows of such a seed are dealt singly and
+counted by an aggregation of their fingerprints instead. Null texts count as
+empty; a text shorter than `LENGTH` keeps all bytes. Rows that repeat wholly are
+copies of one another; rows that share a doc_id are told apart by their text. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breakwater.llm.arrays import cut, mix, pieces, prefix_hashes, span_hashes, text_bytes, window_hashes
+from breakwater.llm.arrays import pieces, prefix_hashes, span_hashes, text_bytes, window_hashes
 from breakwater.llm.shared import parts, saved, small
 
 LENGTH, SEED = 400, 32
+#: Anchors of a task of the index family, and of a seed that is still one task's.
+ANCHORS, HOT = 20_000, 50_000
 _PLACE = np.uint64((1 << 24) - 1)
 _CHUNK = 1 << 22
 
 
-class Family:
-    """Sorted arrays of 128-bit keys with counts, their sizes falling by a half at least; equal keys add up."""
+def shared_bytes(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7 >> 3)
+
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def matched(group: list[tuple[bytes, bytes, int]], length: int, left: list[int], right: list[int]) -> None:
+    """Raises `left` and `right`, the bytes before and after an anchor that a match covers, for each anchor of a seed.
 
-    @staticmethod
-    def _merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        return a[first], b[first], np.add.reduceat(n, first)
+    `group` holds (suffix, bytes before the anchor in reverse, number), sorted. Two
+    suffixes agree as far as the least common prefix of neighbours between them, so
+    joining neighbours in falling order of that makes growing sets whose members agree
+    with one another in so many bytes at least. A set keeps the bytes before its anchors
+    sorted; when two sets join, each member of the smaller one looks for its two
+    neighbours in the larger, which are those with the longest agreement. A member
+    that is no such neighbour has one nearer to it in its own set, with which it agrees
+    no less on either side. So this takes n log n steps, not a step for each pair.
+    """
+    common = [shared_bytes(a[0], b[0]) for a, b in zip(group, group[1:])]
+    sets: list[list[tuple[bytes, int]]] = [[(before, k)] for _, before, k in group]
+    first, last = list(range(len(group))), list(range(len(group)))  # a set is named at both its ends
+    for i in sorted(range(len(common)), key=lambda i: -common[i]):
+        low, high = first[i], last[i + 1]
+        one, other = sets[i], sets[i + 1]
+        if len(one) > len(other):
+            one, other = other, one
+        reach = common[i]
+        for before, k in one:
+            at = bisect_left(other, (before, k))
+            for near in other[max(at - 1, 0) : at + 1]:
+                back = shared_bytes(before, near[0])
+                if back + reach >= length:
+                    for j in (k, near[1]):
+                        left[j], right[j] = max(left[j], back), max(right[j], reach)
+        for x in one:
+            insort(other, x)
+        first[high], last[low] = low, high
+        sets[low] = sets[high] = other  # only a set's ends are asked for again
 
-    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
-        if not len(a):
+
+class Family:
+    """Sorted suffix arrays whose sizes fall by a half at least; merging two of them finds the matches between them."""
+
+    def __init__(self, length: int, seed: int) -> None:
+        self.length, self.seed = length, seed
+        self.levels: list[list[tuple[bytes, bytes, int]]] = []
+        self.left: list[int] = []
+        self.right: list[int] = []
+
+    def add(self, suffixes: list[tuple[bytes, bytes]]) -> None:
+        """Takes a batch of suffixes and the bytes before them in reverse; they are numbered on."""
+        if not suffixes:
             return
-        level = self._merged(a, b, n)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            level = self._merged(*(np.concatenate(x) for x in zip(self.levels.pop(), level)))
+        begin = len(self.left)
+        self.left += [0] * len(suffixes)
+        self.right += [0] * len(suffixes)
+        level = sorted((suffix, before, begin + k) for k, (suffix, before) in enumerate(suffixes))
+        self._scan(level)
+        while self.levels and len(self.levels[-1]) <= 2 * len(level):
+            level = self._merged(self.levels.pop(), level)
         self.levels.append(level)
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.levels:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def whole(self) -> None:
+        """Merges all levels, so that every suffix has met every other one."""
         while len(self.levels) > 1:
-            self.levels.append(self._merged(*(np.concatenate(x) for x in zip(self.levels.pop(), self.levels.pop()))))
-        return self.levels[0]
+            self.levels.append(self._merged(self.levels.pop(), self.levels.pop()))
+
+    def _merged(self, a: list[tuple[bytes, bytes, int]], b: list[tuple[bytes, bytes, int]]) -> list[tuple[bytes, bytes, int]]:
+        level = sorted(a + b)  # a merge of two runs
+        self._scan(level, {k for _, _, k in min(a, b, key=len)})
+        return level
+
+    def _scan(self, level: list[tuple[bytes, bytes, int]], some: set[int] | None = None) -> None:
+        """Matches of each seed's suffixes; given `some`, only of seeds that have both them and others."""
+        for _, group in groupby(level, lambda x: x[0][: self.seed]):
+            group = list(group)
+            if len(group) > 1 and (some is None or 0 < sum(k in some for _, _, k in group) < len(group)):
+                matched(group, self.length, self.left, self.right)
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -104,13 +167,13 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, seed: int) -> Ite
 
 
 def _anchored(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """(doc_id, part, lo, one, hi, seed, stretch, n): anchors; equal ones in a row are one, with n = 2."""
+    """(doc_id, part, lo, at, one, hi, seed, stretch, n): anchors, `at` being their place; equal ones in a row are one, with n = 2."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, data, bounds in pieces(batch.column(2)):
-                for rows, _, lo, hi, s, e in anchors(data, bounds, length, seed):
+                for rows, place, lo, hi, s, e in anchors(data, bounds, length, seed):
                     # a periodic text has the same anchor again and again
                     new = np.concatenate(([True], (s[1:] != s[:-1]) | (e[1:] != e[:-1]) | (rows[1:] != rows[:-1])))
                     first = np.flatnonzero(new)
@@ -121,45 +184,34 @@ def _anchored(docs: DataFrame, length: int, seed: int) -> DataFrame:
                             batch.column(0).take(take),
                             batch.column(1).take(take),
                             pa.array(lo[first].astype(np.int32)),
+                            pa.array(place[first].astype(np.int32)),
                             pa.array(hi[first].astype(np.int32)),
                             pa.array(hi[last].astype(np.int32)),
                             pa.array(s[first].view(np.int64)),
                             pa.array(e[first].view(np.int64)),
                             pa.array(np.where(last > first, 2, 1)),
                         ],
-                        ["doc_id", "part", "lo", "one", "hi", "seed", "stretch", "n"],
+                        ["doc_id", "part", "lo", "at", "one", "hi", "seed", "stretch", "n"],
                     )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, part long, lo int, one int, hi int, seed long, stretch long, n long")
+    return docs.mapInArrow(run, f"doc_id {kind}, part long, lo int, at int, one int, hi int, seed long, stretch long, n long")
 
 
 def _verdicts(entries: DataFrame) -> DataFrame:
-    """(seed, stretch, whole, mixed) of (seed, stretch, n): seeds that occur twice at least.
+    """(seed, stretch, whole, mixed, stretches) of (seed, stretch, n): seeds that occur twice at least.
 
-    whole: this stretch occurs twice; mixed: the seed also has stretches that do not.
+    whole: this stretch occurs twice; mixed: the seed also has stretches that do not; stretches: how many the seed has.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
-        for batch in batches:
-            family.add(*(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2)), batch.column(2).to_numpy(zero_copy_only=False))
-        seed, stretch, n = family.whole()
-        if len(seed):
-            first = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
-            group = np.cumsum(np.concatenate(([0], seed[1:] != seed[:-1])))
-            twice = (np.add.reduceat(n, first) > 1)[group]
-            mixed = np.logical_or.reduceat(n < 2, first)[group]
-            for i in range(0, len(seed), 1 << 16):
-                at = np.flatnonzero(twice[i : i + (1 << 16)]) + i
-                yield pa.RecordBatch.from_arrays([pa.array(seed[at].view(np.int64)), pa.array(stretch[at].view(np.int64)), pa.array(n[at] > 1), pa.array(mixed[at])], ["seed", "stretch", "whole", "mixed"])
-
     summed = entries.groupBy("seed", "stretch").agg(F.sum("n").alias("n"))
-    return summed.repartition(parts(entries.sparkSession), "seed").mapInArrow(run, "seed long, stretch long, whole boolean, mixed boolean")
+    of = Window.partitionBy("seed")
+    summed = summed.withColumns({"total": F.sum("n").over(of), "least": F.min("n").over(of), "stretches": F.count(F.lit(1)).over(of)})
+    return summed.where("total > 1").select("seed", "stretch", (F.col("n") > 1).alias("whole"), (F.col("least") < 2).alias("mixed"), "stretches")
 
 
 def _fetched(asked: DataFrame, length: int) -> DataFrame:
-    """(doc_id, part, seed, lo, judged, bytes) of (doc_id, part, text, wants): the bytes that an anchor's windows cover."""
+    """(doc_id, part, seed, hot, lo, at, judged, bytes) of (doc_id, part, text, wants): the bytes that an anchor's windows cover."""
     kind = dict(asked.dtypes)["doc_id"]
+    names = ["doc_id", "part", "seed", "hot", "lo", "at", "judged", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,63 +226,72 @@ def _fetched(asked: DataFrame, length: int) -> DataFrame:
                 begin = bounds[owner] + lo
                 got = pa.array([raw[a:b] for a, b in zip(begin.tolist(), (begin + one - lo + length).tolist())], pa.binary())
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), flat.field("seed"), flat.field("lo"), flat.field("judged"), got], ["doc_id", "part", "seed", "lo", "judged", "bytes"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), *(flat.field(k) for k in names[2:7]), got], names)
 
-    return asked.mapInArrow(run, f"doc_id {kind}, part long, seed long, lo int, judged boolean, bytes binary")
+    return asked.mapInArrow(run, f"doc_id {kind}, part long, seed long, hot boolean, lo int, at int, judged boolean, bytes binary")
 
 
-def _repeated(fetched: DataFrame, length: int) -> DataFrame:
-    """(doc_id, part, a, b): stretches of repeated windows of the rows to be judged."""
+def _indexed(fetched: DataFrame, length: int, seed: int, shards: int) -> DataFrame:
+    """(doc_id, part, a, b): what matches cover around the anchors to be judged."""
     kind = dict(fetched.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held = Family(), []
+        family, held = Family(length, seed), []
         for batch in batches:
-            column = batch.column(5)
-            bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-            for row, to, part, ends in cut(data, bounds - bounds[0], 1 << 20):
-                sums = prefix_hashes(part)
-                at = np.arange(len(part) - length + 1)
-                rows = np.searchsorted(ends, at, "right") - 1
-                good = at + length <= ends[rows + 1]
-                at, rows = at[good], rows[good]
-                h = span_hashes(sums, at, at + length)
-                family.add(h, np.zeros(len(h), np.uint64), np.ones(len(h), np.int64))
-                judged = batch.column(4).slice(row, to - row).to_numpy(zero_copy_only=False).astype(bool)[rows]
-                lo = batch.column(3).slice(row, to - row).to_numpy(zero_copy_only=False).astype(np.int64)
-                held.append((batch.slice(row, to - row).select(["doc_id", "part"]), rows[judged], (at - ends[rows] + lo[rows])[judged], h[judged]))
-        keys, _, n = family.whole()
-        keys = keys[n > 1]
-        for names, rows, at, h in held:
-            if not len(keys):
-                break
-            found = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-            rows, at = rows[found], at[found]
-            if not len(rows):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1))))
-            last = np.append(first[1:], len(rows)) - 1
-            take = pa.array(rows[first])
-            yield pa.RecordBatch.from_arrays([names.column(0).take(take), names.column(1).take(take), pa.array(at[first].astype(np.int32)), pa.array((at[last] + length).astype(np.int32))], ["doc_id", "part", "a", "b"])
-
-    return fetched.repartition(parts(fetched.sparkSession), "seed").mapInArrow(run, f"doc_id {kind}, part long, a int, b int")
+            off = (batch.column("at").to_numpy() - batch.column("lo").to_numpy()).tolist()
+            family.add([(x[k:], x[:k][::-1]) for x, k in zip(batch.column("bytes").to_pylist(), off)])
+            held.append(batch.select(["doc_id", "part", "at", "judged"]))
+        family.whole()
+        low = 0
+        for batch in held:
+            left, right = (np.array(x[low : low + batch.num_rows], np.int32) for x in (family.left, family.right))
+            low += batch.num_rows
+            found = np.flatnonzero((right > 0) & batch.column("judged").to_numpy(zero_copy_only=False))
+            at, take = batch.column("at").to_numpy()[found], pa.array(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at - left[found]), pa.array(at + right[found])], ["doc_id", "part", "a", "b"])
+
+    return fetched.select("doc_id", "part", "seed", "lo", "at", "judged", "bytes").repartition(shards, "seed").mapInArrow(run, f"doc_id {kind}, part long, a int, b int")
+
+
+def _counted(fetched: DataFrame, length: int) -> DataFrame:
+    """(doc_id, part, a, b): repeated windows of hot seeds' anchors, by an aggregation of all their windows' fingerprints."""
+    kind = dict(fetched.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                h = window_hashes(prefix_hashes(np.frombuffer(batch.column("bytes")[row].as_py(), np.uint8)), length)
+                take = pa.array(np.full(len(h), row))
+                lo = batch.column("lo")[row].as_py()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "part", "seed", "judged")), pa.array(np.arange(lo, lo + len(h), dtype=np.int32)), pa.array(h.view(np.int64))], ["doc_id", "part", "seed", "judged", "a", "h"])
+
+    every = saved(fetched.select("doc_id", "part", "seed", "lo", "judged", "bytes").mapInArrow(run, f"doc_id {kind}, part long, seed long, judged boolean, a int, h long"))
+    twice = every.groupBy("seed", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "h")
+    return every.where("judged").join(twice, ["seed", "h"]).select("doc_id", "part", "a", (F.col("a") + length).alias("b"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, part, spans): the texts with repeated strings; spans may touch and overlap. docs: doc_id, part, text."""
     found = saved(_anchored(docs, length, seed))
     verdicts = _verdicts(found.select("seed", "stretch", "n"))
-    judged = saved(found.join(verdicts, ["seed", "stretch"]).select("doc_id", "part", "lo", "one", "hi", "seed", "stretch", "whole", "mixed"))
+    judged = saved(found.join(verdicts, ["seed", "stretch"]).drop("n"))
     whole = judged.where("whole").select("doc_id", "part", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     # one example of a repeated stretch is enough for the others of its seed
-    example = judged.where("whole and mixed").groupBy("seed", "stretch").agg(F.min(F.struct("doc_id", "part", "lo", "one")).alias("x"))
-    want = judged.where("not whole").select("doc_id", "part", F.struct("seed", "lo", "one", F.lit(True).alias("judged")).alias("want"))
-    want = want.union(example.select("x.doc_id", "x.part", F.struct("seed", "x.lo", "x.one", F.lit(False).alias("judged"))))
+    example = judged.where("whole and mixed").groupBy("seed", "stretch").agg(F.min(F.struct("doc_id", "part", "lo", "at", "one", "stretches")).alias("x"))
+    hot = lambda c: (F.col(c) > HOT).alias("hot")
+    want = judged.where("not whole").select("doc_id", "part", F.struct("seed", hot("stretches"), "lo", "at", "one", F.lit(True).alias("judged")).alias("want"))
+    want = want.union(example.select("x.doc_id", "x.part", F.struct("seed", hot("x.stretches"), "x.lo", "x.at", "x.one", F.lit(False).alias("judged"))))
     want = saved(want.groupBy("doc_id", "part").agg(F.collect_list("want").alias("wants")))
+    sizes = want.agg(F.sum(F.size("wants")).alias("n"), F.max(F.exists("wants", lambda w: w["hot"])).alias("hot")).first()
     asked = _with_texts(docs, want, "wants")
-    partly = _repeated(_fetched(asked.select("doc_id", "part", "text", "wants"), length), length)
-    return saved(whole.union(partly).groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    fetched = _fetched(asked.select("doc_id", "part", "text", "wants"), length)
+    shards = max(parts(docs.sparkSession), math.ceil((sizes["n"] or 0) / ANCHORS))
+    every = whole
+    if sizes["hot"]:
+        fetched = saved(fetched)
+        every = every.union(_counted(fetched.where("hot"), length))
+    every = every.union(_indexed(fetched.where("not hot"), length, seed, shards))
+    return saved(every.groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def _with_texts(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:

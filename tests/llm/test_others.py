@@ -249,7 +249,7 @@ def test_toxicity_needs_both_dictionaries(spark):
         s = np.concatenate([m.scores(data, bounds) for _, _, data, bounds in zdict.texts_in_pieces([t for t, _ in rows[1::2]])])
         return s[y[1::2] == 1].mean() - s[y[1::2] == 0].mean()
 
-    assert gap(model) > 0.8
+    assert gap(model) > 0.7
     assert gap(toxicity.Model(common, model.no, model.weights)) < 0.2
     assert gap(toxicity.Model(model.yes, model.yes, model.weights)) < 0.2
 

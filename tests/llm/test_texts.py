@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -125,17 +126,34 @@ def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(make(spark, [])).count() == 0
 
 
-def test_family_levels_fall_geometrically():
-    r, f, all_ = np.random.default_rng(0), repeats.Family(), []
-    for _ in range(50):
-        a = r.integers(0, 300, r.integers(1, 40)).astype(np.uint64)
-        all_.append(a)
-        f.add(a, a, np.ones(len(a), np.int64))
-        sizes = [len(x[0]) for x in f.levels]
+def test_repeats_of_hot_seeds(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 2)
+    rows = corpus(5)
+    got = repeats.remove_repeats(make(spark, rows), length=60, seed=16).collect()
+    assert sorted(((a, b, c, d, bytes(e)) for a, b, c, d, e in got), key=repr) == brute_repeats(rows, 60)
+
+
+def test_family_finds_all_matches_and_its_levels_fall_geometrically():
+    r, length, seed = random.Random(0), 24, 8
+    family, every = repeats.Family(length, seed), []
+    for _ in range(40):
+        batch = []
+        for _ in range(r.randint(0, 30)):
+            start = r.choice([b"anchored", b"anchors ", b"anchorag"])
+            batch.append((start + bytes(r.choice(b"ab") for _ in range(r.randint(0, 16))), bytes(r.choice(b"ab") for _ in range(r.randint(0, 16)))))
+        every += batch
+        family.add(batch)
+        sizes = [len(x) for x in family.levels]
         assert all(x > y for x, y in zip(sizes, sizes[1:]))
-    keys, _, n = f.whole()
-    want = np.unique(np.concatenate(all_), return_counts=True)
-    assert (keys == want[0]).all() and (n == want[1]).all()
+    family.whole()
+    assert family.levels[0] == sorted((a, b, k) for k, (a, b) in enumerate(every))
+    for i, (a, b) in enumerate(every):
+        best = (0, 0)
+        for j, (c, d) in enumerate(every):
+            right, left = (len(os.path.commonprefix(x)) for x in ((a, c), (b, d)))
+            if i != j and right >= seed and left + right >= length:
+                best = max(best[0], left), max(best[1], right)
+        assert (family.left[i], family.right[i]) == best
 
 
 def test_bpe_round_trip(spark):

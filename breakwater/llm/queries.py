@@ -73,7 +73,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_remainder(F.col("doc_id"), 5) == 1
     scored = lm.score(table(spark, sf_dir, "documents"), ~held)
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,40 +101,61 @@ def test_templates(spark):
     assert "/posts/<hex>/a" in by
 
 
-def test_language_model(spark):
+def brute_model(texts, learnt, order, priors):
+    """(n_tokens, n_known, train_tokens, base, score) of each list of words by the recursion over histories."""
+    counts = {}
+    for t, ok in zip(texts, learnt):
+        if ok:
+            line = [None, *t]
+            for i in range(1, len(line)):
+                for k in range(min(i + 1, order) if order > 1 else 1):
+                    g = tuple(line[i - k : i + 1])
+                    counts[g] = counts.get(g, 0) + 1
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+
+    def p(w, h):
+        if not h:
+            return (counts.get((w,), 0) + 0.5) / (n + 0.5 * (v + 1))
+        have = counts.get(h, 0)
+        return (counts.get((*h, w), 0) + priors[len(h) - 1] * p(w, h[1:])) / (have + priors[len(h) - 1]) if have else p(w, h[1:])
+
+    out = []
+    for t in texts:
+        line = [None, *t]
+        model = sum(math.log10(p(line[i], tuple(line[max(0, i - order + 1) : i]))) for i in range(1, len(line)))
+        out.append((len(t), sum((w,) in counts for w in t), n, sum(math.log10(p(w, ())) for w in t), model))
+    return out, p, {g[0] for g in counts if len(g) == 1}
+
+
+@pytest.mark.parametrize("order,piece,block", [(1, 512, 1 << 24), (2, 7, 1 << 24), (3, 512, 1 << 24), (3, 5, 300), (4, 6, 1000)])
+def test_language_model(spark, monkeypatch, order, piece, block):
+    monkeypatch.setattr(lm, "PIECE", piece)
+    monkeypatch.setattr(lm, "BLOCK", block)
     r = random.Random(2)
     vocabulary = [f"w{i}" for i in range(40)] + ["É", "<s>"]
-    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60)))) for i in range(80)] + [(100, None), (101, ""), (102, " \n"), (103, "unseen words here"), (None, "w1 w2")]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60)))) for i in range(80)] + [(100, None), (101, ""), (102, " \n"), (103, "unseen words here"), (None, "w1 w2"), (104, "w1 w2 w3 " * 700)]
     rows += [rows[0], rows[1]]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n long")
     held = shared.crc_remainder(F.col("doc_id"), 5) == 1
-    got = sorted(map(tuple, lm.score(df, ~held).collect()), key=repr)
     tokens = [["".join(c.lower() if "A" <= c <= "Z" else c for c in w.decode()) for w in (t or "").encode().split()] + [None] for _, t in rows]
     learnt = [zlib.crc32(str("" if d is None else d).encode()) % 5 != 1 for d, _ in rows]
-    c, cc = {}, {}
-    for t, ok in zip(tokens, learnt):
-        if ok:
-            for h, w in zip([None, *t], t):
-                c[w] = c.get(w, 0) + 1
-                cc[h, w] = cc.get((h, w), 0) + 1
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
-    want = []
-    for (d, _), t in zip(rows, tokens):
-        base = sum(math.log10(p(w)) for w in t)
-        sums = [base] + [sum(math.log10((cc.get((h, w), 0) + m * p(w)) / (c.get(h, 0) + m)) for h, w in zip([None, *t], t)) for m in lm.PRIORS]
-        most = max(sums)
-        want.append((d, len(t), sum(w in c for w in t), n, base, most + math.log10(sum(10 ** (s - most) for s in sums) / len(sums))))
-    want.sort(key=repr)
-    assert [x[:4] for x in sorted(got, key=lambda x: (repr(x[0]), x[1], x[4]))] == [x[:4] for x in sorted(want, key=lambda x: (repr(x[0]), x[1], x[4]))]
-    for a, b in zip(sorted(got, key=lambda x: (repr(x[0]), x[1], x[4])), sorted(want, key=lambda x: (repr(x[0]), x[1], x[4]))):
+    want, p, known = brute_model(tokens, learnt, order, lm.PRIORS)
+    by = lambda x: (repr(x[0]), x[1], round(x[4], 6))
+    got = sorted(map(tuple, lm.score(df, ~held, order=order).collect()), key=by)
+    want = sorted(((d, *w) for (d, _), w in zip(rows, want)), key=by)
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    for a, b in zip(got, want):
         assert a[4:] == pytest.approx(b[4:], rel=1e-9)
     assert lm.score(df.limit(0), ~held).count() == 0
-    # from each state the arcs' probabilities add up to 1
-    for h in [None, "w1", "w2"]:
-        for m in lm.PRIORS:
-            total = sum((cc.get((h, w), 0) + m * p(w)) / (c.get(h, 0) + m) for w in c) + m * 0.5 / (n + 0.5 * (v + 1)) / (c.get(h, 0) + m)
-            assert total == pytest.approx(1)
+    # from each state the words' probabilities add up to 1
+    for h in [(), (None,), ("w1",), (None, "w1"), ("w1", "w2")][: 1 + 2 * (order - 1)]:
+        assert sum(p(w, h) for w in known) + p("no such word", h) == pytest.approx(1)
+
+
+def test_language_model_without_training_texts(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in lm.score(df, F.lit(False)).collect()}
+    assert got[1]["score"] == got[1]["base_score"] == 0 and got[1]["n_tokens"] == 3 and got[2]["n_known"] == 0 == got[2]["train_tokens"]
 
 
 def test_decontaminate(spark):

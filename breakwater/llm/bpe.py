@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from breakwater.llm.arrays import PIECE, cut, pieces, prefix_hashes, span_hashes
 
 #: Documents are taken in blocks of so many bytes.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 _END = 1 << 16
 
 
@@ -49,6 +49,7 @@ class Merges:
         self.keys = np.append(np.array(keys, np.int64)[order], np.int64(1) << 62)
         self.values = np.append(np.array(ranks, np.int32)[order], np.int32(-1))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.table = {r: t for t, r in self.ranks.items()}
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that a and b join to, else -1."""
@@ -57,16 +58,25 @@ class Merges:
         return np.where(self.keys[at] == key, self.values[at], np.int32(-1))
 
     def one(self, word: bytes) -> list[int]:
-        """Ids of a single word: the lowest rank first, leftmost among equals."""
-        tokens = [bytes([b]) for b in word]
-        while len(tokens) > 1:
-            ranks = [self.ranks.get(x + y, _END) for x, y in zip(tokens, tokens[1:])]
-            least = min(ranks)
-            if least == _END:
-                break
-            i = ranks.index(least)
-            tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
-        return [self.ranks[t] for t in tokens]
+        """Ids of a single word: the lowest rank first, leftmost among equals, by a heap of pairs over a linked list."""
+        n = len(word)
+        tokens: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i, j: self.ranks.get(tokens[i] + tokens[j]) if i >= 0 and j < n else None
+        heap = [(r, i) for i in range(n - 1) if (r := rank(i, i + 1)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if tokens[i] is None or (j := after[i]) >= n or rank(i, j) != r:
+                continue  # one of the two has been merged since
+            tokens[i], tokens[j], after[i] = tokens[i] + tokens[j], None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := rank(i, after[i])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if before[i] >= 0 and (r := rank(before[i], i)) is not None:
+                heapq.heappush(heap, (r, before[i]))
+        return [self.ranks[t] for t in tokens if t is not None]
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words as little-endian unsigned 32-bit integers."""
@@ -298,20 +308,33 @@ class Block:
         return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
 
 
-def decode(encoded: DataFrame, ranks: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, ranks: str, ids: str = "token_ids", out_name: str = "decoded") -> DataFrame:
     """`encoded` with the bytes that the ids stand for in a new last column (null ids: empty)."""
     shared = encoded.sparkSession.sparkContext.broadcast(_lines(ranks))
     names = encoded.columns
-    if out in names:
-        raise ValueError(f"a column {out} exists; name another one")
+    if out_name in names:
+        raise ValueError(f"a column {out_name} exists; name another one")
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get: Callable = _table(shared.value).__getitem__
+        table = _table(shared.value)
+        size = np.zeros(max(table, default=0) + 1, np.int64)
+        for r, t in table.items():
+            size[r] = len(t)
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(table.get(r, b"") for r in range(len(size))), np.uint8)
         for batch in batches:
-            for row in range(0, batch.num_rows, 500):
-                some = batch.slice(row, 500)
-                texts = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())) for x in some.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.binary())], [*names, out])
-
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
+            column = batch.column(at)
+            column = column.fill_null(b"") if column.null_count else column
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+            raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+            for row, to, part, cuts in cut(raw, ends - ends[0], PIECE):
+                tokens = part.view("<u4")
+                n = size[tokens]
+                to_ = np.cumsum(n)
+                out = flat[np.repeat(begin[tokens] - (to_ - n), n) + np.arange(int(to_[-1]) if len(to_) else 0)]
+                edges = np.concatenate(([0], to_))[cuts // 4].astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), to - row, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(out.tobytes())])
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, to - row).columns, texts], [*names, out_name])
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_name, T.BinaryType())]))

@@ -8,7 +8,7 @@ how much commoner it is in this class's texts than in the other's. Every window
 the whole text is compressed with each; how many bytes the toxic dictionary saves is
 the window's distance. A text's distances, counted above several thresholds, enter a
 logistic calibration. It is fitted on distances from dictionaries that were trained
-without the text: each half of the labelled sample is scored by the other's.
+without the text: each part of the labelled sample is scored by the others'.
 
 Null and empty texts have no windows and get the calibration's base score.
 With a class missing among the labels, every score is the share of toxic rows
@@ -17,6 +17,8 @@ With a class missing among the labels, every score is the share of toxic rows
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import zstandard as zstd
 from pyspark.sql import DataFrame
@@ -24,9 +26,11 @@ from pyspark.sql import DataFrame
 from breakwater.llm import zdict
 
 WINDOW, LAP = 96, 24
-#: Bytes of the shared background and of a class's own part of its dictionary, and what an own segment is worth at least.
+#: Bytes of the shared background and of a class's own part of its dictionary, and what a substring is worth at least if texts are many.
 BACKGROUND, OWN, LEAST = 32_768, 4096, 20.0
 THRESHOLD = 0.5
+#: Parts of the sample, each scored by dictionaries of the others for the calibration.
+FOLDS = 4
 _STEPS = (1, 2, 3, 4, 5, 6, 8)
 
 
@@ -55,7 +59,9 @@ def trained(texts: list[bytes], y: np.ndarray, seen: np.ndarray, keys: np.ndarra
     toxic, ordinary = ([t for t, c, ok in zip(texts, y, seen) if ok and c == k] for k in (1, 0))
     n, m = max(len(toxic), 1), max(len(ordinary), 1)
     shared = zdict.background(ordinary, BACKGROUND, WINDOW)
-    own = [zdict.cover(of, keys, zdict.surplus(here, a, there, b), OWN, LEAST) for of, here, a, there, b in ((toxic, counts[1], n, counts[0], m), (ordinary, counts[0], m, counts[1], n))]
+    # more texts, more substrings are tried, and the more one of them has to be worth
+    least = min(LEAST, 10 + 4 * math.log(max(min(n, m), 10) / 10))
+    own = [zdict.cover(of, keys, zdict.surplus(here, a, there, b), OWN, least) for of, here, a, there, b in ((toxic, counts[1], n, counts[0], m), (ordinary, counts[0], m, counts[1], n))]
     return Model(*(b"\0".join((shared, *part)) for part in own), np.zeros(1))
 
 
@@ -64,12 +70,15 @@ def learn(texts: list[bytes], y: np.ndarray, odds: float = 0.0) -> Model:
     if not y.any() or y.all():
         share = y.sum() / max(1, len(y))
         return Model(b"", b"", np.array([0.0] * (len(_STEPS) + 3) + [float(np.log((share + 1e-9) / (1 - share + 1e-9)))]))
-    fold = np.arange(len(y)) % 2
-    keys, counts = zdict.frequencies(texts, 2 * fold + y, 4)
-    counts = counts.reshape(2, 2, -1)
-    x = np.zeros((len(y), len(_STEPS) + 3))
+    # folds hold equal shares of both classes
+    fold = np.zeros(len(y), int)
     for k in (0, 1):
-        other = trained(texts, y, fold != k, keys, counts[1 - k])
+        fold[y == k] = np.arange((y == k).sum()) % FOLDS
+    keys, counts = zdict.frequencies(texts, 2 * fold + y, 2 * FOLDS)
+    counts = counts.reshape(FOLDS, 2, -1)
+    x = np.zeros((len(y), len(_STEPS) + 3))
+    for k in range(FOLDS):
+        other = trained(texts, y, fold != k, keys, counts.sum(axis=0) - counts[k])
         for low, high, data, bounds in zdict.texts_in_pieces(texts):
             of = fold[low:high] == k
             x[low:high][of] = other.features(data, bounds)[of]

@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -65,15 +66,33 @@ def test_stages(spark, tmp_path):
     got = k.set_index("doc_id")
     assert set(got.index) == set(ids)
     for x, v in ids.items():
+        assert bytes(got.loc[x, "token_ids"]) == v.tobytes()
         assert got.loc[x, "n_tokens"] == len(v) and got.loc[x, "ids_sha256"] == hashlib.sha256(v.tobytes()).hexdigest()
 
 
 def test_run_is_all_stages(spark):
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in entry.queries()
 
 
+def test_nulls_repeats_empty_tables_and_extra_columns(spark, tmp_path):
+    """A null text and an empty one stay, repeated rows are copies of which the rows of the smallest id stay, no rows give no rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = docs.orderBy("doc_id").limit(40)
+    kind = docs.schema
+    odd = spark.createDataFrame([(900001, None, None, None, None), (900002, "", "en", "s", 0), (900003, "word " * 60_000, "en", "s", 300_000), (None, "text of a row without an id", "en", "s", 27)], kind)
+    rows = one.union(one.limit(1)).union(odd).withColumn("toxicity", F.lit("x")).withColumn("component_id", F.lit(1)).withColumn("token_ids", F.lit(2))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, rows, SF)
+        assert stage(spark, rows.limit(0), SF).count() == 0
+        out.write.parquet(f"{tmp_path}/{i}")
+        rows = spark.read.parquet(f"{tmp_path}/{i}")
+        ids = {r["doc_id"] for r in rows.select("doc_id").collect()}
+        assert {900001, 900002, 900003, None} <= ids, name
+        assert rows.columns == (docs.columns if i < len(corpus_pipeline.STAGES) - 1 else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"])
+
+
 def test_eleven_queries():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))

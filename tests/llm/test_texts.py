@@ -173,6 +173,13 @@ def test_bpe_round_trip(spark):
         want = sorted(((d, np.array(coder.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in rows), key=repr)
         assert sorted(((x["doc_id"], bytes(x["token_ids"]), bytes(x["decoded"])) for x in got), key=repr) == want
         assert coded.columns == ["doc_id", "n", "component", "digest", "part", "token_ids"]
+    none = bpe.decode(bpe.encode(make(spark, []), path, public.PATTERN), path)
+    assert none.count() == 0 and none.columns[-2:] == ["token_ids", "decoded"]
+    merges = bpe.Merges(open(path, "rb").read().splitlines())
+    for word in (b"a" * 30_000, " ́e".encode() * 9000, bytes(r.randrange(256) for _ in range(5000)), b"", b"x"):
+        long = merges.one(word)
+        assert b"".join(merges.table[i] for i in long) == word
+        assert merges.replay([word])[0] == np.array(long, "<u4").tobytes() if word else long == []
 
 
 def brute_lines(rows, k=3):

@@ -19,9 +19,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below its threshold. It learns from all labels of `documents`."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(*COLUMNS, F.col("text").alias("__text")), model, "__text", "__score")
-    return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*COLUMNS)
+    scored = toxicity.score(docs.withColumn("scored_text", F.col("text")), model, "scored_text", "toxicity")
+    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of each kept text."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of each kept text; ids are little-endian unsigned 32-bit integers."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     decoded = bpe.decode(coded, ranks)
-    return decoded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", cut_lines), ("jaccard", keep_one), ("decontaminate", drop_leaks), ("bpe", tokenise)]

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from breakwater.llm.arrays import cut, mix, text_bytes, words
 from breakwater.llm.shared import parts, saved
 
-BLOCK, SHARD = 16 << 20, 3_000_000
+BLOCK, SHARD = 8 << 20, 3_000_000
 ORDER = 3
 #: Weight of the shorter history's probability at n-grams of two words, of three, and so on.
 PRIORS = (1000.0, 10.0, 5.0, 5.0)
@@ -144,23 +144,26 @@ class Automaton:
         p = (counts[0] + 0.5) / (n + 0.5 * (v + 1))
         every = np.arange(self.words)
         self.root = p
+        # a level's states follow those of the level before, so arcs are sorted level by level
         arcs, weights = [every], [np.log10(p)]
         targets = [np.where(counts[0] > 0, 1 + every, 0) if order > 1 else np.zeros(self.words, np.int64)]
         for k in range(1, order):
             history, rest, word = grams.examples(k)
             m, have = priors[k - 1], counts[k - 1]
             self.fail_weight[base[k - 1] : base[k]] = np.log10(m / (have + m))
-            if k > 1:
-                self.fail_to[base[k - 1] : base[k]] = base[k - 2] + grams.examples(k - 1)[1]
-            seen = counts[k] > 0
-            p = np.where(seen, (counts[k] + m * p[rest]) / (have[history] + m), 0.0)
-            arcs.append(((base[k - 1] + history) * self.words + word)[seen])
+            if k < order - 1:
+                self.fail_to[base[k] : base[k + 1]] = base[k - 1] + rest
+            p = np.where(counts[k] > 0, (counts[k] + m * p[rest]) / (have[history] + m), 0.0)
+            seen = np.flatnonzero(counts[k] > 0)
+            arc = (base[k - 1] + history[seen]) * self.words + word[seen]
+            by = np.argsort(arc)
+            seen = seen[by]
+            arcs.append(arc[by])
             weights.append(np.log10(p[seen]))
-            targets.append((base[k] + np.arange(len(seen)) if k < order - 1 else base[k - 1] + rest)[seen])
-        arcs = np.concatenate(arcs)
-        by = np.argsort(arcs, kind="stable")
-        self.arcs, self.weights, self.targets = arcs[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
-        self.arcs = np.append(self.arcs, np.int64(1) << 62)
+            targets.append(base[k] + seen if k < order - 1 else base[k - 1] + rest[seen])
+            del history, rest, word, arc, by, seen
+        self.arcs = np.concatenate((*arcs, [np.int64(1) << 62]))
+        self.weights, self.targets = np.concatenate(weights), np.concatenate(targets)
         self.start = 1 + grams.end if order > 1 and counts[0][grams.end] > 0 else 0
         self.memory = order - 1
 

@@ -16,7 +16,7 @@ from breakwater.series import Series
 
 @dataclass
 class Detection:
-    """The result of a run. The kernel runs once; its nested rows are kept on the executors' disks."""
+    """The result of a run. The kernel runs once; its nested rows are kept on the executors' disks until `close`."""
 
     nested: DataFrame
     series: Series
@@ -34,14 +34,18 @@ class Detection:
 
     @property
     def residuals(self) -> DataFrame:
-        """keys, row_index, order_value, residual."""
-        return self.nested.select(*self.series.partition_by, F.explode("residuals").alias("c")).select(*self.series.partition_by, "c.*")
+        """keys, row_index, order_value, residual: the kernel runs once more for these."""
+        return grouped.residuals(self.series, self.spec)
 
     @property
     def thetas(self) -> DataFrame:
         """keys, segment_id, parameter (from 0), value."""
         return self.segments.select(*self.series.partition_by, "segment_id", F.posexplode("theta").alias("parameter", "value"))
 
+    def close(self) -> None:
+        """Gives up the kept rows; they are made anew if asked for again."""
+        self.nested.unpersist()
+
     def plot_frame(self) -> DataFrame:
         """Rows of the series with row_index, segment_id and whether a change follows: what a plot draws."""
         keys, order = self.series.partition_by, self.series.order_by

@@ -469,14 +469,9 @@ def cp_mean_long(spark, sf_dir):
 @query(optimal(EVENTS.format(x=LEVEL), _MEAN, 1, "2500.0::DOUBLE"))
 def cp_sql_table_function(spark, sf_dir):
     sql.register(spark)
-    df = events(spark, sf_dir).select("k", "i", "x")
-    df.createOrReplaceTempView("breakwater_events")
-    options = '{"variance": [[2500.0]], "beta": "BIC", "cost_adjustment": "BIC", "pruning": 0.0}'
-    out = None
-    for key in [r[0] for r in df.select("k").distinct().orderBy("k").collect()]:  # event types are a handful
-        part = spark.sql(f"SELECT '{key}' AS k, start_index, end_index FROM changepoints(TABLE(SELECT i, x FROM breakwater_events WHERE k = '{key}') WITH SINGLE PARTITION ORDER BY (i), 'mean', '{options}')")
-        out = part if out is None else out.union(part)
-    return out
+    options = '{"order_by": "i", "values": ["x"], "partition_by": ["k"], "variance": [[2500.0]], "beta": "BIC", "cost_adjustment": "BIC", "pruning": 0.0}'
+    options = options.replace("{", "{{").replace("}", "}}")  # spark.sql fills in names in braces
+    return spark.sql(f"SELECT k, start_index, end_index FROM changepoints(TABLE({{events}}) PARTITION BY k ORDER BY (i), 'mean', '{options}')", events=events(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

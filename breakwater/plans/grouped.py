@@ -1,4 +1,4 @@
-"""Grouped plan: one shuffle by the series' keys, one kernel run for each series, one nested row out."""
+"""Grouped plan: one shuffle by the series' keys, one kernel run for each series, one nested row out; residuals as rows in a plan of their own."""
 
 from __future__ import annotations
 
@@ -24,39 +24,63 @@ def schema(s: Series) -> str:
             "n_rows bigint",
             f"changes array<struct<cp_index:bigint,order_value:{k}>>",
             "segments array<struct<segment_id:int,start_index:bigint,end_index:bigint,cost:double,theta:array<double>>>",
-            f"residuals array<struct<row_index:bigint,order_value:{k},residual:array<double>>>",
         ]
     )
 
 
+def residual_schema(s: Series) -> str:
+    kinds = dict(s.df.dtypes)
+    return ", ".join([*(f"`{c}` {kinds[c]}" for c in s.partition_by), f"row_index bigint, order_value {order_kind(s)}, residual array<double>"])
+
+
 def values_of(frame: pd.DataFrame, values: list[str]) -> np.ndarray:
     if len(values) == 1 and len(frame) and isinstance(frame[values[0]].iloc[0], (list, np.ndarray)):
         return np.array([np.asarray(v, float) for v in frame[values[0]]])
     return frame[values].to_numpy(float)
 
 
-def _series_row(frame: pd.DataFrame, s: specs.Spec, values: list[str], order: str, keys: list[str]) -> pd.DataFrame:
+def _ordered(frame: pd.DataFrame, order: str) -> pd.DataFrame:
     frame = frame.sort_values(order, kind="stable")
     places = frame[order]
     if places.isna().any() or places.duplicated().any():
         raise ValueError(f"the order column {order!r} has nulls or repeats within a series")
+    return frame
+
+
+def _series_row(frame: pd.DataFrame, s: specs.Spec, values: list[str], order: str, keys: list[str]) -> pd.DataFrame:
+    frame = _ordered(frame, order)
     r: Result = segment(values_of(frame, values), s)
-    n, at = len(frame), places.tolist()
-    points = r.change_points.tolist()
-    edges = [0, *points, n]
+    at, points = frame[order], r.change_points.tolist()
+    edges = [0, *points, len(frame)]
     segments = [{"segment_id": i, "start_index": edges[i] + 1, "end_index": edges[i + 1], "cost": float(c), "theta": np.asarray(t, float).ravel().tolist()} for i, (c, t) in enumerate(zip(r.costs, r.thetas))]
-    rest = r.residuals if r.residuals.ndim == 2 else np.zeros((0, 1))
-    residuals = [{"row_index": i + 1, "order_value": at[i], "residual": rest[i].tolist()} for i in range(min(len(rest), n))]
     out = {k: [frame[k].iloc[0]] for k in keys}
-    out |= {"n_rows": [n], "changes": [[{"cp_index": c, "order_value": at[c - 1]} for c in points]], "segments": [segments], "residuals": [residuals]}
+    out |= {"n_rows": [len(frame)], "changes": [[{"cp_index": c, "order_value": at.iloc[c - 1]} for c in points]], "segments": [segments]}
     return pd.DataFrame(out)
 
 
+def _residual_rows(frame: pd.DataFrame, s: specs.Spec, values: list[str], order: str, keys: list[str]) -> pd.DataFrame:
+    frame = _ordered(frame, order)
+    rest = segment(values_of(frame, values), s).residuals
+    n = min(len(rest), len(frame)) if rest.ndim == 2 else 0
+    out = {k: frame[k].iloc[:n].tolist() for k in keys}
+    return pd.DataFrame(out | {"row_index": np.arange(1, n + 1), "order_value": frame[order].iloc[:n].tolist(), "residual": list(rest[:n]) if n else []})
+
+
 def run(s: Series, spec: specs.Spec) -> DataFrame:
-    """One row for each series: keys, n_rows, changes, segments, residuals."""
+    """One row for each series: keys, n_rows, changes, segments."""
     values, order, keys = s.values, s.order_by, s.partition_by
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         return _series_row(frame, spec, values, order, keys)
 
     return s.df.groupBy(*keys).applyInPandas(kernel, schema(s))
+
+
+def residuals(s: Series, spec: specs.Spec) -> DataFrame:
+    """One row for each row of the series: keys, row_index, order_value, residual. A kernel run of its own, made only if asked for."""
+    values, order, keys = s.values, s.order_by, s.partition_by
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        return _residual_rows(frame, spec, values, order, keys)
+
+    return s.df.groupBy(*keys).applyInPandas(kernel, residual_schema(s))

@@ -1,6 +1,13 @@
-"""SQL form: `SELECT * FROM changepoints(TABLE(q) PARTITION BY k ORDER BY (t), 'mean')`.
+"""SQL form of a segmentation, a table function.
 
-The query gives the order column first, then the values.
+SELECT * FROM changepoints(TABLE(q) PARTITION BY k ORDER BY (t), 'mean',
+                           '{"order_by": "t", "values": ["x"], "partition_by": ["k"], "beta": "BIC"}')
+
+The options name the order column, the value columns (all others by default) and the
+partition columns, which are given out again; whatever else they hold goes to the
+family. A statement without partition columns has WITH SINGLE PARTITION instead of
+PARTITION BY. `changepoints_by(TABLE(q), 'mean', options)` is the same function
+for statements that leave PARTITION BY and ORDER BY to the options.
 """
 
 from __future__ import annotations
@@ -9,31 +16,75 @@ import json
 
 import numpy as np
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
 
 from breakwater import spec as specs
 from breakwater.kernels.segment import segment
 
 
+def _columns(options: dict, names: list[str]) -> tuple[str, list[str], list[str]]:
+    """(order column, value columns, partition columns), taken out of the options."""
+    if "order_by" not in options:
+        raise ValueError("the options of changepoints need order_by")
+    order, keys = options.pop("order_by"), options.pop("partition_by", [])
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    values = options.pop("values", None) or [c for c in names if c not in (order, *keys)]
+    values = [values] if isinstance(values, str) else list(values)
+    for c in (order, *keys, *values):
+        if c not in names:
+            raise ValueError(f"changepoints: there is no column {c!r}")
+    return order, values, keys
+
+
 class _ChangePoints:
     def __init__(self):
-        self.rows, self.request = [], None
+        self.rows, self.columns, self.request = [], None, None
+
+    @staticmethod
+    def _schema(table: AnalyzeArgument, options: AnalyzeArgument | None) -> tuple[T.StructType, str, list[str]]:
+        if not table.isTable:
+            raise ValueError("changepoints takes a table first")
+        fields = {f.name: f for f in table.dataType.fields}
+        order, _, keys = _columns(json.loads(options.value if options else "{}"), list(fields))
+        out = [fields[k] for k in keys] + [T.StructField(n, t) for n, t in (("segment_id", T.IntegerType()), ("start_index", T.LongType()), ("end_index", T.LongType()))]
+        return T.StructType([*out, T.StructField("last_order", fields[order].dataType)]), order, keys
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, family: AnalyzeArgument = None, options: AnalyzeArgument = None) -> AnalyzeResult:
+        return AnalyzeResult(_ChangePoints._schema(table, options)[0])
 
     def eval(self, row, family: str = "mean", options: str = "{}"):
         if self.request is None:
-            self.request = specs.make(family, **json.loads(options))
-        self.rows.append(tuple(row))
+            given = json.loads(options)
+            self.columns = _columns(given, row.__fields__)
+            self.request = specs.make(family, **given)
+        order, values, keys = self.columns
+        self.rows.append((row[order], [row[v] for v in values], [row[k] for k in keys]))
 
     def terminate(self):
         if not self.rows:
             return
-        z = np.array([r[1:] for r in self.rows], float)
-        points = segment(z, self.request).change_points.tolist()
-        edges = [0, *points, len(z)]
+        rows = sorted(self.rows, key=lambda r: r[0])
+        points = segment(np.array([r[1] for r in rows], float), self.request).change_points.tolist()
+        edges = [0, *points, len(rows)]
         for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            yield i, a + 1, b, str(self.rows[b - 1][0])
+            yield *rows[0][2], i, a + 1, b, rows[b - 1][0]
+
+
+class _Gathered(_ChangePoints):
+    """The same, with the partition and the order asked for by the options."""
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, family: AnalyzeArgument = None, options: AnalyzeArgument = None) -> AnalyzeResult:
+        schema, order, keys = _ChangePoints._schema(table, options)
+        return AnalyzeResult(schema, withSinglePartition=not keys, partitionBy=[PartitioningColumn(k) for k in keys], orderBy=[OrderingColumn(order)])
 
 
 def register(spark: SparkSession, name: str = "changepoints") -> None:
-    """Registers the table function: segment_id, start_index, end_index, last_order of each segment."""
-    spark.udtf.register(name, udtf(_ChangePoints, returnType="segment_id int, start_index bigint, end_index bigint, last_order string"))
+    """Registers `name`, whose statements have PARTITION BY, and `name`_by, where the options alone say so.
+
+    Both give partition columns, segment_id, start_index, end_index, last_order of each segment.
+    """
+    spark.udtf.register(name, udtf(_ChangePoints))
+    spark.udtf.register(f"{name}_by", udtf(_Gathered))

@@ -78,9 +78,18 @@ def test_long_series_by_chunks(spark):
 
 def test_table_function(spark):
     sql.register(spark)
-    spark.createDataFrame(series()).createOrReplaceTempView("q")
-    rows = spark.sql("SELECT * FROM changepoints(TABLE(SELECT t, x, k FROM q WHERE k = 'k0') PARTITION BY k ORDER BY (t), 'mean') ORDER BY 1") if False else spark.sql("SELECT * FROM changepoints(TABLE(SELECT t, x FROM q WHERE k = 'k0') WITH SINGLE PARTITION ORDER BY (t), 'mean') ORDER BY 1")
-    assert [r["end_index"] for r in rows.collect()] == [40, 200]
+    pdf = series()
+    spark.createDataFrame(pdf.assign(w=0.5)).createOrReplaceTempView("q")
+    want = {(k, c) for k, part in pdf.groupby("k") for c in (*segment(part.sort_values("t")["x"].to_numpy(), spec.make("mean")).change_points.tolist(), 200)}
+    options = '{"order_by": "t", "values": ["x"], "partition_by": ["k"]}'
+    for text in (f"changepoints(TABLE(q) PARTITION BY k ORDER BY (t), 'mean', '{options}')", f"changepoints_by(TABLE(q), 'mean', '{options}')"):
+        rows = spark.sql(f"SELECT * FROM {text}").collect()
+        assert {(r["k"], r["end_index"]) for r in rows} == want and len(rows) == len(want)
+        assert all(r["last_order"] == (r["end_index"] - 1) * 10 for r in rows)
+    one = spark.sql("SELECT * FROM changepoints(TABLE(SELECT t, x FROM q WHERE k = 'k0') WITH SINGLE PARTITION ORDER BY (t), 'mean', '{\"order_by\": \"t\"}') ORDER BY 1")
+    assert [r["end_index"] for r in one.collect()] == [40, 200]
+    with pytest.raises(Exception, match="order_by"):
+        spark.sql("SELECT * FROM changepoints(TABLE(q) PARTITION BY k ORDER BY (t), 'mean')").collect()
 
 
 def test_online_equals_batch():

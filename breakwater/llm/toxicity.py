@@ -30,7 +30,7 @@ WINDOW, LAP = 96, 24
 BACKGROUND, OWN, LEAST = 32_768, 4096, 20.0
 THRESHOLD = 0.5
 #: Parts of the sample, each scored by dictionaries of the others for the calibration.
-FOLDS = 4
+FOLDS = 8
 _STEPS = (1, 2, 3, 4, 5, 6, 8)
 
 
@@ -54,11 +54,10 @@ class Model(zdict.Classifier):
         return np.column_stack((np.minimum(most, 20) / 4, np.maximum(least, -12) / 4, *counts, np.log1p(np.bincount(rows, minlength=n)) / 4)) * some[:, None]
 
 
-def trained(texts: list[bytes], y: np.ndarray, seen: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Model:
-    """A model without weights from the texts that are `seen`; `counts` are frequencies of substrings among them by class."""
+def trained(texts: list[bytes], y: np.ndarray, seen: np.ndarray, keys: np.ndarray, counts: np.ndarray, shared: bytes) -> Model:
+    """A model without weights from the texts that are `seen`; `counts` are frequencies of substrings among them by class, `shared` is the background."""
     toxic, ordinary = ([t for t, c, ok in zip(texts, y, seen) if ok and c == k] for k in (1, 0))
     n, m = max(len(toxic), 1), max(len(ordinary), 1)
-    shared = zdict.background(ordinary, BACKGROUND, WINDOW)
     # more texts, more substrings are tried, and the more one of them has to be worth
     least = min(LEAST, 10 + 4 * math.log(max(min(n, m), 10) / 10))
     own = [zdict.cover(of, keys, zdict.surplus(here, a, there, b), OWN, least) for of, here, a, there, b in ((toxic, counts[1], n, counts[0], m), (ordinary, counts[0], m, counts[1], n))]
@@ -76,14 +75,15 @@ def learn(texts: list[bytes], y: np.ndarray, odds: float = 0.0) -> Model:
         fold[y == k] = np.arange((y == k).sum()) % FOLDS
     keys, counts = zdict.frequencies(texts, 2 * fold + y, 2 * FOLDS)
     counts = counts.reshape(FOLDS, 2, -1)
+    shared = zdict.background([t for t, c in zip(texts, y) if not c], BACKGROUND, WINDOW)
     x = np.zeros((len(y), len(_STEPS) + 3))
     for k in range(FOLDS):
-        other = trained(texts, y, fold != k, keys, counts.sum(axis=0) - counts[k])
+        other = trained(texts, y, fold != k, keys, counts.sum(axis=0) - counts[k], shared)
         for low, high, data, bounds in zdict.texts_in_pieces(texts):
             of = fold[low:high] == k
             x[low:high][of] = other.features(data, bounds)[of]
-    model = trained(texts, y, np.ones(len(y), bool), keys, counts.sum(axis=0))
-    model.weights = zdict.logistic(x, y.astype(float))
+    model = trained(texts, y, np.ones(len(y), bool), keys, counts.sum(axis=0), shared)
+    model.weights = zdict.logistic(x, y.astype(float), 0.3)
     model.weights[-1] += odds
     return model
 

@@ -88,7 +88,7 @@ def fitted(some: DataFrame, learn: Callable[[list[bytes], np.ndarray, float], Cl
     return bytes(got[0]), bytes(got[1]), np.array(got[2])
 
 
-def texts_in_pieces(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts_in_pieces(texts: list[bytes], size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """`pieces` of a list of texts, joined piece by piece."""
     sizes = np.array([len(t) for t in texts])
     low = 0
@@ -175,19 +175,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 #: A substring that a dictionary is made for has `_UNIT` bytes; one that fewer than `_TEXTS` texts hold has no value.
 _UNIT, _TEXTS = 8, 3
-_ROUGH = 24
+_ROUGH = 26
 
 
 def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each substring of `_UNIT` bytes, its text, and whether it stands within one text."""
-    h = window_hashes(prefix_hashes(data), _UNIT)
+    h = window_hashes(prefix_hashes(data), _UNIT) & ~np.uint64(15)  # room for a group
     at = np.arange(len(h))
     rows = np.searchsorted(bounds, at, "right") - 1
     return h, rows, at + _UNIT <= bounds[rows + 1]
 
 
 def _once(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Text and hash of each text's distinct substrings, piece by piece."""
+    """Text and hash of each text's distinct substrings, sorted by hash, piece by piece."""
     for low, _, data, bounds in texts_in_pieces(texts):
         h, rows, whole = _units(*marked(data, bounds))
         h, rows = h[whole], rows[whole]
@@ -198,24 +198,34 @@ def _once(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows[new] + low, h[new]
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
 def frequencies(texts: list[bytes], group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of the substrings that `_TEXTS` texts hold at least, and in how many texts of each group."""
-    rough = np.zeros(1 << _ROUGH, np.uint16)
-    shift = np.uint64(64 - _ROUGH)
+    """Hashes, sorted, of the substrings that `_TEXTS` texts hold at least, and in how many texts of each group (at most 16).
+
+    A table of small counters tells first which substrings may be that
+    frequent, so that the others' hashes are never held together.
+    """
+    rough = np.zeros(1 << _ROUGH, np.uint8)
+    shift, low = np.uint64(64 - _ROUGH), np.uint64(15)
     for _, h in _once(texts):
-        rough += np.bincount((h >> shift).astype(np.int64), minlength=1 << _ROUGH).astype(np.uint16)
-    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+        at = h >> shift
+        first = _starts(at)
+        rough[at[first]] = np.minimum(rough[at[first]].astype(int) + np.diff(np.append(first, len(at))), 255)
+    every = [np.zeros(0, np.uint64)]
     for rows, h in _once(texts):
-        some = rough[(h >> shift).astype(np.int64)] >= _TEXTS
-        keys.append(h[some])
-        of.append(group[rows[some]].astype(np.int8))
-    every, of = np.concatenate(keys), np.concatenate(of)
-    order = np.argsort(every, kind="stable")
-    every, of = every[order], of[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
-    counts = np.array([np.add.reduceat((of == g).astype(np.int32), first) for g in range(groups)]) if len(first) else np.zeros((groups, 0), np.int32)
+        some = rough[h >> shift] >= _TEXTS
+        every.append(h[some] & ~low | group[rows[some]].astype(np.uint64))  # the group in the last bits
+    every = np.concatenate(every)
+    every.sort()
+    first = _starts(every & ~low)
+    of = (every & low).astype(np.int8)
+    counts = np.array([np.add.reduceat(of == g, first, dtype=np.int32) for g in range(groups)]) if len(first) else np.zeros((groups, 0), np.int32)
     often = counts.sum(axis=0) >= _TEXTS
-    return every[first][often], counts[:, often]
+    return (every[first] & ~low)[often], counts[:, often]
 
 
 def surplus(here: np.ndarray, n: int, there: np.ndarray, m: int) -> np.ndarray:
@@ -229,39 +239,43 @@ def surplus(here: np.ndarray, n: int, there: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def _candidates(texts: list[bytes], keys: np.ndarray, value: np.ndarray, segment: int) -> list[tuple[np.ndarray, bytes]]:
+    """For each of the substrings `keys` the segment of the texts that begins with it and is worth most: its substrings' places, its bytes."""
+    span = segment - _UNIT + 1
+    best: dict[int, tuple[float, np.ndarray, bytes]] = {}
+    for _, _, data, bounds in texts_in_pieces(texts):
+        data, bounds = marked(data, bounds)
+        h, _, whole = _units(data, bounds)
+        place = np.searchsorted(keys, h)
+        place[(np.append(keys, np.uint64(0))[place] != h) | ~whole] = len(keys)
+        total = np.concatenate(([0.0], np.cumsum(np.append(value, 0.0)[place])))
+        scores = total[span:] - total[:-span]
+        some = np.flatnonzero(place[: len(scores)] < len(keys))
+        some = some[np.argsort(-scores[some], kind="stable")]
+        for i in some[np.unique(place[some], return_index=True)[1]].tolist():
+            k = int(place[i])
+            if k not in best or best[k][0] < scores[i]:
+                best[k] = float(scores[i]), place[i : i + span], data[i : i + segment].tobytes()
+    return [x[1:] for x in best.values()]
+
+
 def cover(texts: list[bytes], keys: np.ndarray, value: np.ndarray, size: int, least: float, segment: int = 16, floor: int = 128) -> list[bytes]:
     """Segments of the texts that cover the most valuable substrings (`keys`, sorted): a dictionary's content, the best last.
 
     As in zstandard's COVER trainer a segment is worth the sum of its distinct
     substrings that no chosen one holds, and loses the ends that hold none. Only
-    values of `least` or more count, unless less than `floor` bytes were chosen.
+    values of `least` or more count, unless less than `floor` bytes were chosen:
+    then the thousand next ones do.
     """
-    span = segment - _UNIT + 1
-    best: dict[tuple[bool, int], tuple[float, np.ndarray, bytes]] = {}
-    keys, value = np.append(keys, np.uint64(0)), np.append(value, 0.0)  # the last place stands for all others
-    for _, _, data, bounds in texts_in_pieces(texts):
-        data, bounds = marked(data, bounds)
-        h, _, whole = _units(data, bounds)
-        place = np.searchsorted(keys[:-1], h)
-        place[(keys[place] != h) | ~whole] = len(keys) - 1
-        for bar in (least, 0.0):
-            worth = np.where(value[place] >= bar, value[place], 0)
-            total = np.concatenate(([0.0], np.cumsum(worth)))
-            scores = total[span:] - total[:-span]
-            # of the segments that begin with the same substring the best one
-            some = np.flatnonzero(worth[: len(scores)] > 0)
-            some = some[np.argsort(-scores[some], kind="stable")]
-            some = some[np.unique(place[some], return_index=True)[1]]
-            if not bar:
-                some = some[np.argsort(-scores[some], kind="stable")[:100]]
-            for i in some.tolist():
-                k = bar > 0, int(place[i])
-                if k not in best or best[k][0] < scores[i]:
-                    best[k] = float(scores[i]), place[i : i + span], data[i : i + segment].tobytes()
-    kept = [x[1:] for x in best.values()]
     out, total = [], 0
-    for left, most in ((np.where(value >= least, value, 0), size), (value, floor)):
-        heap = [(-float(left[np.unique(ids)].sum()), i) for i, (ids, _) in enumerate(kept)] if total < most else []
+    enough = value >= least
+    rest = np.sort(value[~enough & (value > 0)])[-1000:]
+    for some, most in ((enough, size), (~enough & (value >= (rest[0] if len(rest) else np.inf)), floor)):
+        if total >= most or not some.any():
+            continue
+        kept = _candidates(texts, keys[some], value[some], segment)
+        left = np.append(value[some], 0.0)
+        heap = [(-float(left[np.unique(ids)].sum()), i) for i, (ids, _) in enumerate(kept)]
         heapq.heapify(heap)
         while heap and total < most:
             _, i = heapq.heappop(heap)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from breakwater.llm.arrays import cut, mix, text_bytes, words
 from breakwater.llm.shared import parts, saved
 
-BLOCK, SHARD = 8 << 20, 3_000_000
+BLOCK, SHARD = 8 << 20, 1_500_000
 ORDER = 3
 #: Weight of the shorter history's probability at n-grams of two words, of three, and so on.
 PRIORS = (1000.0, 10.0, 5.0, 5.0)
@@ -307,6 +307,6 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_: str = "doc_id
         return pa.table([row["ids"].values, pa.array(grams.lengths), pa.array(known), pa.array(np.full(len(known), n)), pa.array(base), pa.array(automaton.walk(grams.tokens, grams.lengths))], names)
 
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    to = max(parts(spark), math.ceil(count / 4))
+    to = max(parts(spark), count)
     sides = (x.repartition(to, "block").groupBy("block") for x in (blocks, answers))
     return next(sides).cogroup(next(sides)).applyInArrow(run, schema)

@@ -5,7 +5,9 @@ or percent sign that is written to it), a unit after a number <unit>, a
 capitalised word inside a sentence <name>; other words lose their case and
 outer punctuation. Every window of `WIDTH` canonical words of a document is
 hash-joined with the benchmark items' windows, and so is every window of `WIDTH`
-words and runs, a run being names in a row or numbers in a row with their units.
+words and runs, a run being names in a row or numbers in a row with their units. A
+window of placeholders alone proposes nothing, since it stands wherever numbers or names
+do; where it is of words, its words as written make a window in its place.
 Hits propose that the item stands in the document at a certain place; there it is
 aligned, in words and runs, over the offsets of all hits nearby (no further apart
 than the words that may differ) and two more on either side. The item is found where
@@ -64,16 +66,30 @@ def _tokens(df: DataFrame, source: str, begin: str, hashed: bool = False) -> Dat
     return df.withColumn(begin, F.array_except(F.sequence(F.lit(0), n), "__on")).drop("__on")
 
 
-def _windows(df: DataFrame, width: int) -> DataFrame:
-    """`df` with `windows`, (p, w) for each window of its hashes `h`: of `width` words, and of `width` words and runs where a run is longer than a word."""
+def _windows(df: DataFrame, width: int, text: str) -> DataFrame:
+    """`df` with `windows`, (p, w, slots) for each window of its hashes `h`: of `width` words, and of `width` words and runs where a run is longer than a word.
+
+    `slots` tells the windows that hold nothing but placeholders. As they are
+    alike wherever numbers or names stand in a row, each has another one beside
+    it, of its words as written.
+    """
     n, h, begin = F.size("h") - width, F.col("h"), F.col("begin")
-    plain = F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(h, i + 1, width)).alias("w"))))
+    slot = [F.xxhash64(F.lit(x)) for x in ("<name>", "<num>", "<unit>")]
+    # a character for each word, so that a text without such windows is told by one search
+    df = df.withColumn("mask", F.array_join(F.transform("h", lambda x: F.when(x.isin(*slot), "1").otherwise("0")), ""))
+    full = lambda i: F.substr("mask", i + 1, F.lit(width)) == "1" * width
+    some = F.instr("mask", "1" * width) > 0
+    plain = F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(h, i + 1, width)).alias("w"), (some & full(i)).alias("slots"))))
+    # by way of an array, so that the words are split once
+    written = F.flatten(F.transform(F.array(raw_words(F.lower(F.col(text)))), lambda raw: F.transform(F.filter(F.sequence(F.lit(0), n), full), lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit("written"), F.slice(raw, i + 1, width)).alias("w"), F.lit(False).alias("slots")))))
     last = F.size("begin") - 1 - width
     long = F.filter(F.sequence(F.lit(0), last), lambda c: F.get(begin, c + width) - F.get(begin, c) > width)
     # exploded by explode_outer, which puts no filter of this expression below
     df = df.withColumn("long", F.when((last >= 0) & (F.size("begin") <= F.size("h")), long))
-    runs = F.transform("long", lambda c: F.struct(F.get(begin, c).alias("p"), F.xxhash64(F.transform(F.slice(begin, c + 1, width), lambda i: F.get(h, i))).alias("w")))
-    return df.withColumn("windows", F.when(F.size(F.coalesce("long", F.array().cast("array<int>"))) > 0, F.concat(plain, runs)).otherwise(plain))
+    of = lambda c: F.transform(F.slice(begin, c + 1, width), lambda i: F.get(h, i))
+    runs = F.transform("long", lambda c: F.struct(F.get(begin, c).alias("p"), F.xxhash64(of(c)).alias("w"), F.forall(of(c), lambda x: x.isin(*slot)).alias("slots")))
+    every = F.when(F.size(F.coalesce("long", F.array().cast("array<int>"))) > 0, F.concat(plain, runs)).otherwise(plain)
+    return df.withColumn("windows", F.when(some, F.concat(every, written)).otherwise(every))
 
 
 def _aligned(item: Column, weight: Column, doc: Column, near: Column, lo: Column) -> Column:
@@ -100,6 +116,19 @@ def _aligned(item: Column, weight: Column, doc: Column, near: Column, lo: Column
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), start, step, lambda state: F.array_max(state))
 
 
+def _placed(items: DataFrame, width: int) -> DataFrame:
+    """(w, key, q): where each window that proposes an item stands in it; those of placeholders alone propose nothing."""
+    hashed = _windows(_tokens(items.select("key", "item_text", F.transform("item", lambda w: F.xxhash64(w)).alias("h")), "h", "begin", True), width, "item_text")
+    return hashed.select("key", F.explode_outer("windows").alias("t")).where(~F.col("t.slots")).select("t.w", "key", F.col("t.p").alias("q")).distinct()
+
+
+def _hits(named: DataFrame, there: DataFrame, count: int, width: int) -> DataFrame:
+    """(doc_id, part, p, key, q): the windows of documents that stand in items."""
+    here = named.select("doc_id", "text", F.xxhash64("text").alias("part"), F.transform(words(canonical(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
+    here = _windows(_tokens(here, "h", "begin", True), width, "text").select("doc_id", "part", F.explode_outer("windows").alias("t")).select("doc_id", "part", "t.p", "t.w")
+    return here.join(small(there, count), "w").select("doc_id", "part", "p", "key", "q")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, at, n_words, n_equal, n_slots, n_changed, kind): where items stand in documents.
 
@@ -110,21 +139,23 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "
     first of equals.
     """
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
-    items = items.select("item_id", words(canonical(F.col("item_text"))).alias("item"), raw_words(F.col("item_text")).alias("item_raw")).where(F.size("item") >= width)
+    items = items.select("item_id", "item_text", words(canonical(F.col("item_text"))).alias("item"), raw_words(F.col("item_text")).alias("item_raw")).where(F.size("item") >= width)
     items = items.withColumn("key", F.xxhash64("item_id", F.array_join("item_raw", " ")))
-    hashed = _windows(_tokens(items.select("key", F.transform("item", lambda w: F.xxhash64(w)).alias("h")), "h", "begin", True), width)
-    there = saved(hashed.select("key", F.explode_outer("windows").alias("t")).groupBy("t.w").agg(F.collect_list(F.struct("key", F.col("t.p").alias("q"))).alias("places")))
+    there = saved(_placed(items, width))
     count = there.count()
+    # an item's texts: as written, canonical, and what is made of them
+    facts = items.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.length("item_text")), F.lit(0.0))).first()
+    items = items.drop("item_text")
+    item_bytes = 64 + 8 * int(facts[1])
 
     named = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    here = named.select("doc_id", F.xxhash64("text").alias("part"), F.transform(words(canonical(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
-    here = _windows(_tokens(here, "h", "begin", True), width).select("doc_id", "part", F.explode_outer("windows").alias("t")).select("doc_id", "part", "t.p", "t.w")
-    hits = here.join(small(there, count), "w").select("doc_id", "part", "p", F.explode("places").alias("place"))
-    starts = hits.groupBy("doc_id", "part", "place.key", (F.col("p") - F.col("place.q")).alias("at")).agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    hits = _hits(named, there, count, width)
+    starts = hits.groupBy("doc_id", "part", "key", (F.col("p") - F.col("q")).alias("at")).agg(F.min("p").alias("first"), F.max("p").alias("last"))
     starts = saved(starts.groupBy("doc_id", "part").agg(F.collect_list(F.struct("key", "at", "first", "last")).alias("starts")))
 
     # the words at those places, from the texts again
-    found = small(starts.withColumnRenamed("doc_id", "id"), starts.count())
+    size = starts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    found = small(starts.withColumnRenamed("doc_id", "id"), size[0] + size[1])
     again = named.withColumn("hash", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("part"))).dropDuplicates(["doc_id", "part"])
     again = again.select("doc_id", "part", words(canonical(F.col("text"))).alias("doc"), raw_words(F.col("text")).alias("doc_raw"), "starts")
     again = _tokens(again, "doc", "begin").withColumn("key", F.explode_outer(F.array_distinct("starts.key")))
@@ -134,7 +165,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "
     place = lambda begin, p: F.size(F.filter(begin, lambda b: b <= p))
     offset = lambda p, at: place(F.col("begin"), p) - place(F.col("item_begin"), p - at)
     offsets = F.transform(F.filter("starts", lambda s: s["key"] == F.col("key")), lambda s: F.array(offset(s["first"], s["at"]), offset(s["last"], s["at"])))
-    facing = again.join(small(lengths, count), "key").withColumn("offsets", F.array_distinct(F.flatten(offsets)))
+    facing = again.join(small(lengths, facts[0], item_bytes), "key").withColumn("offsets", F.array_distinct(F.flatten(offsets)))
     facing = facing.withColumn("band", F.greatest(F.lit(2), F.floor((1 - similarity) * F.col("n") + 1e-9).cast("int"))).withColumn("a", F.explode_outer("offsets"))
     close = F.filter("offsets", lambda o: F.abs(o - F.col("a")) <= F.col("band"))
     facing = facing.withColumns({"low": F.array_min(close) - 2, "high": F.array_max(close) + 2})
@@ -144,7 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "
     facing = facing.where("lo < hi").select(
         "doc_id", "part", "key", "a", "low", "high", "lo", F.slice("begin", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1).alias("begin"), F.slice("doc", first + 1, F.get("begin", "hi") - first).alias("doc"), F.slice("doc_raw", first + 1, F.get("begin", "hi") - first).alias("doc_raw")
     )
-    both = facing.join(small(wide, count), "key")
+    both = facing.join(small(wide, facts[0], item_bytes), "key")
     begin, item_begin, lo = F.col("begin"), F.col("item_begin"), F.col("lo")
     raw = lambda text, at, i: _bare(F.array_join(F.slice(text, F.get(at, i) - F.get(at, F.lit(0)) + 1, F.get(at, i + 1) - F.get(at, i)), " "))
     both = both.withColumns({"n_words": F.size("item"), "item": F.transform(F.slice("item_begin", F.lit(1), F.col("n")), lambda b: F.get("item", b)), "weight": F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(item_begin, i + 1) - F.get(item_begin, i)), "doc": F.transform(F.slice(begin, F.lit(1), F.size(begin) - 1), lambda b: F.get("doc", b - F.get(begin, F.lit(0))))})

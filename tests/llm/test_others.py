@@ -176,9 +176,33 @@ def test_decontaminate(spark):
     assert got[11, 1]["at"] == 9 and got[20, 2]["at"] == 0 and got[11, 1]["n_changed"] > 4
     left = decontaminate.decontaminate(d, b)
     assert {x["doc_id"] for x in left.collect()} == {12, 15, 16, 17} and left.columns == d.columns
+    long = prose(20_000) + " " + items[1][1]
+    assert [x["at"] for x in decontaminate.find(spark.createDataFrame([(1, long)], "doc_id long, text string"), b).collect()] == [20_000]
     assert decontaminate.find(d.limit(0), b).count() == 0 and decontaminate.find(d, b.limit(0)).count() == 0
 
 
+def test_decontaminate_with_rows_of_numbers(spark):
+    """Hits grow with documents and items, not with their product, and numbers as written are found."""
+    r = random.Random(5)
+    numbers = lambda n: " ".join(str(r.randrange(10_000_000)) for _ in range(n))
+
+    def hits(n):
+        items = spark.createDataFrame([(i, f"the sum of all of these {numbers(20)} is what we ask") for i in range(n)], "item_id long, text string")
+        docs = spark.createDataFrame([(i, numbers(60)) for i in range(n)], "doc_id long, text string")
+        items = items.select("item_id", F.col("text").alias("item_text"), decontaminate.words(decontaminate.canonical(F.col("text"))).alias("item"), F.col("item_id").alias("key"))
+        there = decontaminate._placed(items, 5)
+        return decontaminate._hits(docs, there, 1, 5).count()
+
+    assert hits(20) <= 20 and hits(60) <= 60
+    plain = numbers(12)
+    found = decontaminate.find(
+        spark.createDataFrame([(1, f"{numbers(8)} {plain} {numbers(9)}"), (2, numbers(30)), (3, "what is " + plain)], "doc_id long, text string"),
+        spark.createDataFrame([(1, plain)], "item_id long, text string"),
+    )
+    # a run of numbers is one slot, so the place is that of the document's whole run
+    assert sorted((x["doc_id"], x["at"]) for x in found.collect()) == [(1, 0), (3, 2)]
+
+
 def test_decontaminate_over_offsets(spark):
     """Slots whose values have another number of words, and a word put in or left out in the middle."""
     r = random.Random(7)

@@ -129,7 +129,10 @@ class Exponential(Family):
 
     def fit(self, s, t, final=True):
         mean = self.z[s:t].mean(axis=0)
-        return float(self.costs(np.array([s]), t)[0]), 1 / mean, self.z[s:t] / mean - 1
+        # a column of mean 0 has no rate: its parameter is infinite, its residuals are 0
+        some = mean != 0
+        over = np.where(some, mean, 1.0)
+        return float(self.costs(np.array([s]), t)[0]), np.where(some, 1 / over, np.inf), np.where(some, self.z[s:t] / over - 1, 0.0)
 
 
 class MultiGaussian(Family):
@@ -339,16 +342,32 @@ class Arma(Family):
 
 
 class Custom(Family):
-    """A cost given by the caller; with a gradient and a hessian it also has gradient steps."""
+    """A cost given by the caller; with a gradient and a hessian it also has gradient steps.
+
+    A cost of one parameter is minimised over the logit of a variable between 0
+    and 1, and a segment's value is the logistic of its least cost. `batch_cost` takes the whole
+    series, an array of starts and an end, and returns the costs of all those segments.
+    """
 
     def __init__(self, z, p, spec):
         super().__init__(z, p)
         self.spec = spec
         self.gradient = spec.gradient is not None
 
+    def costs(self, s, t):
+        if self.spec.batch_cost is not None:
+            return np.asarray(self.spec.batch_cost(self.z, np.asarray(s), t), float)
+        return super().costs(s, t)
+
     def fit(self, s, t, final=True):
         data = self.z[s:t]
+        if self.gradient and self.p == 1 and self.spec.lower is None:
+            natural = lambda u: np.array([math.log(u / (1 - u))])
+            u = optim.brent(lambda u: float(self.spec.cost(data, natural(u))), 0.0, 1.0)
+            return float(optim.logistic(np.array(float(self.spec.cost(data, natural(u)))))), natural(u), np.zeros(0)
         if not self.gradient:
+            if self.spec.cost is None:
+                return float(self.costs(np.array([s]), t)[0]), np.zeros(0), np.zeros(0)
             return float(self.spec.cost(data)), np.zeros(0), np.zeros(0)
         lower, upper = np.full(self.p, -np.inf), np.full(self.p, np.inf)
         if self.spec.lower is not None:

@@ -271,6 +271,70 @@ def pac_to_ar(pac: np.ndarray) -> np.ndarray:
     return ar
 
 
+def ar_to_pac(ar: np.ndarray) -> np.ndarray:
+    """Partial autocorrelations of an AR model: `pac_to_ar` undone one order at a time, the highest first."""
+    ar, out = np.array(ar, float), []
+    while len(ar):
+        r = ar[-1]
+        out.append(r)
+        rest = ar[:-1]
+        ar = (rest + r * rest[::-1]) / max(1 - r * r, 1e-12)
+    return np.array(out[::-1])
+
+
+def hannan_rissanen(x: np.ndarray, p: int, q: int, bound: float = 0.97) -> np.ndarray:
+    """Start values [ar, ma] of an ARMA fit: residuals of a long AR model serve as the past innovations of a regression."""
+    n, m, out = len(x), max(p, q), np.zeros(p + q)
+    far = min(max(p + q + 5, 2 * (p + q)), (n - 1) // 2 if n > 2 else 1)
+    noise = np.zeros(n)
+    lags = lambda z, k, low: [z[low - j : n - j] for j in range(1, k + 1)]
+    if far >= 1 and n > far + 1:
+        past = np.column_stack(lags(x, far, far))
+        noise[far:] = x[far:] - past @ least_squares(past, x[far:])
+    if n > m + p + q:
+        past = np.column_stack(lags(x, p, m) + lags(noise, q, m))
+        if np.linalg.matrix_rank(past) == p + q:
+            out = np.clip(least_squares(past, x[m:]), -bound, bound)
+    return out
+
+
+def brent(f, low: float, high: float, tolerance: float = 1e-8, most: int = 200) -> float:
+    """Where f is least between low and high: the vertex of the parabola through the three best points, where that stays
+    inside and moves by less than half of the step before last, else a golden section."""
+    golden = (3 - math.sqrt(5)) / 2
+    best = second = third = low + golden * (high - low)
+    f_best = f_second = f_third = f(best)
+    step = last = 0.0
+    for _ in range(most):
+        middle = (low + high) / 2
+        near = tolerance * abs(best) + 1e-12
+        if abs(best - middle) <= 2 * near - (high - low) / 2:
+            break
+        before, last = last, step
+        a, b = (best - second) * (f_best - f_third), (best - third) * (f_best - f_second)
+        top, bottom = (best - third) * b - (best - second) * a, 2 * (b - a)
+        vertex = -top / bottom if bottom else math.inf
+        if abs(before) > near and abs(vertex) < abs(before) / 2 and low < best + vertex < high:
+            step = vertex
+            if min(best + step - low, high - best - step) < 2 * near:
+                step = math.copysign(near, middle - best)
+        else:
+            last = (high if best < middle else low) - best
+            step = golden * last
+        x = best + (step if abs(step) >= near else math.copysign(near, step))
+        value = f(x)
+        if value <= f_best:
+            low, high = (best, high) if x >= best else (low, best)
+            third, f_third, second, f_second, best, f_best = second, f_second, best, f_best, x, value
+        else:
+            low, high = (x, high) if x < best else (low, x)
+            if value <= f_second or second == best:
+                third, f_third, second, f_second = second, f_second, x, value
+            elif value <= f_third or third in (best, second):
+                third, f_third = x, value
+    return best
+
+
 def arma_likelihood(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[float, float, np.ndarray]:
     """Exact Gaussian (negative log-likelihood, variance, innovations) by a Kalman filter, the variance concentrated out."""
     n, r = len(x), max(len(ar), len(ma) + 1)
@@ -315,7 +379,9 @@ def arma(x: np.ndarray, p: int, q: int) -> tuple[float, np.ndarray, np.ndarray]:
     if n <= p + q + 1:
         return 0.0, np.zeros(p + q + 1), np.zeros(n)
     split = lambda u: (pac_to_ar(np.tanh(u[:p])), -pac_to_ar(np.tanh(u[p:])))
-    best, value = nelder_mead(lambda u: arma_likelihood(x, *split(u))[0], np.zeros(p + q))
+    start = hannan_rissanen(x, p, q)
+    inside = np.clip(np.concatenate((ar_to_pac(start[:p]), ar_to_pac(-start[p:]))), -0.97, 0.97)
+    best, value = nelder_mead(lambda u: arma_likelihood(x, *split(u))[0], np.arctanh(inside))
     ar, ma = split(best)
     value, s, out = arma_likelihood(x, ar, ma)
     return value, np.concatenate((ar, ma, [s])), out

@@ -44,6 +44,7 @@ class Spec:
     seed: int = 0
     parameters: int | None = None
     cost: Callable | None = None
+    batch_cost: Callable | None = None
     gradient: Callable | None = None
     hessian: Callable | None = None
     cp_only: bool = False
@@ -102,15 +103,17 @@ def make(family: str, order=None, **options) -> Spec:
         raise ValueError("beta must be a number or one of BIC, MBIC, MDL")
     cost, gradient, hessian = (options.get(k) for k in ("cost", "gradient", "hessian"))
     if name == "custom":
-        if cost is None:
+        if cost is None and options.get("batch_cost") is None:
             raise ValueError("family 'custom' needs a cost")
+        if options.get("batch_cost") is not None and gradient is not None:
+            raise ValueError("a batch_cost takes no gradient")
         if (gradient is None) != (hessian is None):
             raise ValueError("a gradient and a hessian go together")
-        if cost_arity(cost) == 2 and gradient is None:
+        if cost is not None and cost_arity(cost) == 2 and gradient is None:
             raise ValueError("a cost of (data, theta) needs a gradient and a hessian")
-        if cost_arity(cost) == 1 and gradient is not None:
+        if cost is not None and cost_arity(cost) == 1 and gradient is not None:
             raise ValueError("a cost of (data) takes no gradient")
-    elif cost is not None or gradient is not None or hessian is not None:
+    elif cost is not None or gradient is not None or hessian is not None or options.get("batch_cost") is not None:
         raise ValueError(f"family {name!r} has its own cost")
     tau = options.get("tau", 0.5)
     if name == "quantile" and not 0 < tau < 1:

@@ -120,7 +120,6 @@ def test_custom_cost_equals_mean():
     assert b.costs == pytest.approx([255.487731877, 278.914161918])
 
 
-@pytest.mark.slow
 def test_custom_gradient():
     r, p = RStream(1), 5
     x = r.norms(1200 * p).reshape(-1, p)
@@ -220,6 +219,67 @@ def test_wrong_orders(arguments):
         spec.make(*arguments)
 
 
+def test_brent():
+    assert optim.brent(lambda x: (x - 0.3) ** 2, 0, 1) == pytest.approx(0.3, abs=1e-6)
+    assert optim.brent(lambda x: math.cosh(x - 2) - x, -5, 9) == pytest.approx(2 + math.asinh(1), abs=1e-6)
+    assert optim.brent(lambda x: abs(x - 0.77), 0, 1) == pytest.approx(0.77, abs=1e-6)
+    assert optim.brent(lambda x: x, 0, 1) == pytest.approx(0, abs=1e-6)
+
+
+def test_partial_autocorrelations_and_back():
+    r = np.random.default_rng(6)
+    for k in range(1, 6):
+        pac = r.uniform(-0.9, 0.9, k)
+        assert optim.ar_to_pac(optim.pac_to_ar(pac)) == pytest.approx(pac)
+
+
+def test_hannan_rissanen():
+    r = np.random.default_rng(4)
+    e = r.normal(size=4001)
+    x = np.zeros(4001)
+    for i in range(1, 4001):
+        x[i] = 0.6 * x[i - 1] + e[i] + 0.4 * e[i - 1]
+    assert optim.hannan_rissanen(x[1:], 1, 1) == pytest.approx([0.6, 0.4], abs=0.06)
+    value, theta, _ = optim.arma(x[1:600], 1, 1)
+    assert theta[:2] == pytest.approx([0.6, 0.4], abs=0.12)
+    assert value <= optim.arma_likelihood(x[1:600], *np.split(optim.hannan_rissanen(x[1:600], 1, 1), 2))[0] + 1e-6
+    assert optim.hannan_rissanen(np.ones(3), 1, 1).tolist() == [0, 0]
+
+
+def test_custom_cost_of_one_parameter():
+    """Exact fits go by Brent's method over the logit of a bounded variable; their value is the logistic of the cost."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=120)
+    y = (r.random(120) < 1 / (1 + np.exp(-1.5 * x))).astype(float)
+    z = np.column_stack((y, x))
+    loss = lambda d, t: float(np.sum(np.logaddexp(0, d[:, 1] * t[0]) - d[:, 0] * d[:, 1] * t[0])) / len(d)
+    slope = lambda d, t: np.array([(1 / (1 + math.exp(-d[-1, 1] * t[0])) - d[-1, 0]) * d[-1, 1]])
+    curve = lambda d, t: np.array([[d[-1, 1] ** 2 / 4]])
+    got = run(z, "custom", cost=loss, gradient=slope, hessian=curve, cost_adjustment="BIC", beta=1e9)
+    grid = np.linspace(-1, 5, 60_001)
+    least = grid[np.argmin([loss(z, [t]) for t in grid[::100]]) * 100]
+    assert got.thetas[0][0] == pytest.approx(least, abs=0.02)
+    assert got.costs[0] == pytest.approx(1 / (1 + math.exp(-loss(z, [least]))), abs=1e-5)
+
+
+def test_batch_cost_equals_single_costs():
+    r = np.random.default_rng(9)
+    z = np.concatenate((r.normal(0, 1, 150), r.normal(4, 1, 100)))
+    sums, squares = np.concatenate(([0], np.cumsum(z))), np.concatenate(([0], np.cumsum(z * z)))
+    many = lambda data, s, t: (squares[t] - squares[s] - (sums[t] - sums[s]) ** 2 / (t - s)) / 2
+    options = {"parameters": 1, "beta": 8.0, "cost_adjustment": "BIC"}
+    a = run(z, "custom", batch_cost=many, **options)
+    b = run(z, "custom", cost=lambda d: ((d - d.mean()) ** 2).sum() / 2, **options)
+    assert a.change_points.tolist() == b.change_points.tolist() == [150]
+    assert a.costs == pytest.approx(b.costs)
+
+
+def test_exponential_of_zeros():
+    got = run(np.concatenate((np.zeros(20), np.ones(30))), "exponential", beta=1e9)
+    assert np.isfinite(got.residuals).all()
+    assert run(np.zeros(20), "exponential", beta=1e9).thetas[0].tolist() == [math.inf]
+
+
 def test_wrong_options():
     for options in ({"cost_adjustment": "AIC"}, {"beta": "AIC"}, {"cost": len}, {"trim": 0.7}):
         with pytest.raises(ValueError):

@@ -67,31 +67,32 @@ def _tokens(df: DataFrame, source: str, begin: str, hashed: bool = False) -> Dat
 
 
 def _windows(df: DataFrame, width: int, text: str) -> DataFrame:
-    """`df` with `windows`, (p, w, slots) for each window of its hashes `h`: of `width` words, and of `width` words and runs where a run is longer than a word.
+    """`df` with `windows`, (p, w) for each window of its hashes `h`: of `width` words, and of `width` words and runs where a run is longer than a word.
 
-    `slots` tells the windows that hold nothing but placeholders. As they are
-    alike wherever numbers or names stand in a row, each has another one beside
-    it, of its words as written.
+    Windows of nothing but placeholders are alike wherever numbers or names
+    stand in a row. Beside one that is of words stands another one, of its
+    words as written.
     """
     n, h, begin = F.size("h") - width, F.col("h"), F.col("begin")
-    slot = [F.xxhash64(F.lit(x)) for x in ("<name>", "<num>", "<unit>")]
-    # a character for each word, so that a text without such windows is told by one search
-    df = df.withColumn("mask", F.array_join(F.transform("h", lambda x: F.when(x.isin(*slot), "1").otherwise("0")), ""))
-    full = lambda i: F.substr("mask", i + 1, F.lit(width)) == "1" * width
-    some = F.instr("mask", "1" * width) > 0
-    plain = F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(h, i + 1, width)).alias("w"), (some & full(i)).alias("slots"))))
-    # by way of an array, so that the words are split once
-    written = F.flatten(F.transform(F.array(raw_words(F.lower(F.col(text)))), lambda raw: F.transform(F.filter(F.sequence(F.lit(0), n), full), lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit("written"), F.slice(raw, i + 1, width)).alias("w"), F.lit(False).alias("slots")))))
+    plain = F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(h, i + 1, width)).alias("w"))))
     last = F.size("begin") - 1 - width
     long = F.filter(F.sequence(F.lit(0), last), lambda c: F.get(begin, c + width) - F.get(begin, c) > width)
     # exploded by explode_outer, which puts no filter of this expression below
     df = df.withColumn("long", F.when((last >= 0) & (F.size("begin") <= F.size("h")), long))
-    of = lambda c: F.transform(F.slice(begin, c + 1, width), lambda i: F.get(h, i))
-    runs = F.transform("long", lambda c: F.struct(F.get(begin, c).alias("p"), F.xxhash64(of(c)).alias("w"), F.forall(of(c), lambda x: x.isin(*slot)).alias("slots")))
+    runs = F.transform("long", lambda c: F.struct(F.get(begin, c).alias("p"), F.xxhash64(F.transform(F.slice(begin, c + 1, width), lambda i: F.get(h, i))).alias("w")))
     every = F.when(F.size(F.coalesce("long", F.array().cast("array<int>"))) > 0, F.concat(plain, runs)).otherwise(plain)
+    # a character for each word, so that a text without windows of placeholders is told by one search
+    some = F.instr(F.array_join(F.transform("h", lambda x: F.when(x.isin(*_slots()), "1").otherwise("0")), ""), "1" * width) > 0
+    full = lambda i: F.forall(F.slice(h, i + 1, width), lambda x: x.isin(*_slots()))
+    # by way of an array, so that the words are split once
+    written = F.flatten(F.transform(F.array(raw_words(F.lower(F.col(text)))), lambda raw: F.transform(F.filter(F.sequence(F.lit(0), n), full), lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit("written"), F.slice(raw, i + 1, width)).alias("w")))))
     return df.withColumn("windows", F.when(some, F.concat(every, written)).otherwise(every))
 
 
+def _slots() -> list[Column]:
+    return [F.xxhash64(F.lit(x)) for x in ("<name>", "<num>", "<unit>")]
+
+
 def _aligned(item: Column, weight: Column, doc: Column, near: Column, lo: Column) -> Column:
     """(score, path) of the item's best alignment: path has the offset at which each word of the item has its equal, null for none.
 
@@ -119,7 +120,12 @@ def _aligned(item: Column, weight: Column, doc: Column, near: Column, lo: Column
 def _placed(items: DataFrame, width: int) -> DataFrame:
     """(w, key, q): where each window that proposes an item stands in it; those of placeholders alone propose nothing."""
     hashed = _windows(_tokens(items.select("key", "item_text", F.transform("item", lambda w: F.xxhash64(w)).alias("h")), "h", "begin", True), width, "item_text")
-    return hashed.select("key", F.explode_outer("windows").alias("t")).where(~F.col("t.slots")).select("t.w", "key", F.col("t.p").alias("q")).distinct()
+    placed = hashed.select("key", F.explode_outer("windows").alias("t")).select("t.w", "key", F.col("t.p").alias("q")).distinct()
+    # every sequence of `width` placeholders, by its hash
+    idle: list[list[Column]] = [[]]
+    for _ in range(width):
+        idle = [[*x, k] for x in idle for k in _slots()]
+    return placed.where(~F.col("w").isin(*(F.xxhash64(F.array(*x)) for x in idle)))
 
 
 def _hits(named: DataFrame, there: DataFrame, count: int, width: int) -> DataFrame:

@@ -22,7 +22,7 @@ shingles, which has three uses.
 2. Tiles. Sets of equal content are one. Sets that share a key are connected
    to the key's least set (as many rows as keys, never a group's pairs), and
    the components of those links are blocks. A block of more than `TILE` sets
-   is dealt into tiles: pairs of chunks of neighbouring size bands.
+   is dealt into tiles: neighbouring size bands, where these are large pairs of their chunks.
 3. Bounds. In a tile each set has a bitmap in which every shingle toggles one
    bit. The bits in which two bitmaps differ are at most the shingles in
    which the sets differ: more than d, and the pair cannot link. What is left,
@@ -269,9 +269,8 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     wanted = saved(blocks.join(ones, "digest"))
     count = wanted.count()
     found = named.join(small(wanted.withColumnRenamed("doc_id", "id"), count), F.col("doc_id").eqNullSafe(F.col("id")))
-    sized = wanted.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     got = _sets(found, measure)
-    tiles = _tiles(got, sized, measure, count)
+    tiles = _tiles(got, wanted.select("block", "size"), measure)
     links = saved(tiles)
     joined = components(links).select(F.col("node").alias("digest"), F.col("component").alias("group"))
     classes = ones.select("digest", F.col("doc_id").alias("least")).join(joined, "digest", "left").withColumn("group", F.coalesce("group", "digest"))
@@ -280,19 +279,29 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _tiles(got: DataFrame, sized: DataFrame, measure: Measure, count: int) -> DataFrame:
-    """(a, b): links between digests, found tile by tile."""
-    band = F.floor(F.log(F.greatest(F.octet_length("elements") / 8, F.lit(1))) / math.log(100 / measure.percent * 1.0000001) if measure.percent < 100 else F.octet_length("elements"))
-    dealt = got.join(small(sized, count), "block").withColumn("chunks", F.ceil(F.col("n") / TILE))
-    own = F.pmod(F.xxhash64("digest"), F.col("chunks"))
-    one = dealt.where("chunks = 1").select("block", F.lit(0).cast("long").alias("low"), F.lit(0).alias("i"), F.lit(0).alias("j"), "digest", "elements")
-    # a large block: chunk i of a band meets chunk j of the same band and of the next one
-    many = dealt.where("chunks > 1").withColumn("own", own.cast("int")).withColumn("band", band.cast("long"))
-    every = F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)
-    lower = F.transform(every, lambda c: F.struct(F.col("band").alias("low"), F.col("own").alias("i"), c.alias("j")))
-    upper = F.transform(every, lambda c: F.struct((F.col("band") - 1).alias("low"), c.alias("i"), F.col("own").alias("j")))
-    same = F.transform(every, lambda c: F.struct(F.col("band").alias("low"), c.alias("i"), F.col("own").alias("j")))
-    many = many.withColumn("tile", F.explode(F.array_distinct(F.concat(lower, upper, same)))).select("block", "tile.low", "tile.i", "tile.j", "digest", "elements")
+def _tiles(got: DataFrame, sized: DataFrame, measure: Measure) -> DataFrame:
+    """(a, b): links between digests of (digest, block, elements), found tile by tile; `sized` has the block and size of every set.
+
+    A block of more than `TILE` sets is one tile for every two neighbouring
+    bands of sizes, of which a pair that may link has at most one step between
+    it; two bands of more than `TILE` sets together are dealt by hash into chunks that meet in pairs.
+    """
+    band = lambda size: (F.floor(F.log(F.greatest(size, F.lit(1))) / math.log(100 / measure.percent * 1.0000001)) if measure.percent < 100 else size).cast("long")
+    blocks = sized.groupBy("block").agg(F.count(F.lit(1)).alias("all"))
+    bands = sized.groupBy("block", band(F.col("size")).alias("low")).agg(F.count(F.lit(1)).alias("n"))
+    above = bands.select("block", (F.col("low") - 1).alias("low"), F.col("n").alias("more"))
+    # pairs of bands whose lower one is empty add nothing
+    families = bands.join(above, ["block", "low"], "left").join(blocks, "block").where(F.col("all") > TILE)
+    families = saved(families.select("block", "low", F.ceil((F.col("n") + F.coalesce("more", F.lit(0))) / TILE).cast("int").alias("chunks")))
+    count = families.count()
+    large = families.select("block").distinct()
+    zero = F.lit(0)
+    one = got.join(small(large, count), "block", "left_anti").select("block", F.lit(-1).cast("long").alias("low"), zero.alias("i"), zero.alias("j"), "digest", "elements")
+    own = band((F.octet_length("elements") / 8).cast("long"))
+    many = got.join(small(large, count), "block", "left_semi").withColumn("low", F.explode(F.array(own, own - 1))).join(small(families, count), ["block", "low"])
+    many = many.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+    meet = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
+    many = many.withColumn("tile", F.explode(meet)).select("block", "low", "tile.i", "tile.j", "digest", "elements")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("digest")

@@ -88,7 +88,7 @@ def fitted(some: DataFrame, learn: Callable[[list[bytes], np.ndarray, float], Cl
     return bytes(got[0]), bytes(got[1]), np.array(got[2])
 
 
-def texts_in_pieces(texts: list[bytes], size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts_in_pieces(texts: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """`pieces` of a list of texts, joined piece by piece."""
     sizes = np.array([len(t) for t in texts])
     low = 0
@@ -175,7 +175,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 #: A substring that a dictionary is made for has `_UNIT` bytes; one that fewer than `_TEXTS` texts hold has no value.
 _UNIT, _TEXTS = 8, 3
-_ROUGH = 26
+#: Hashes are sorted in so many shares by their range.
+_ROUGH, _SHARES = 25, 8
 
 
 def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,17 +216,25 @@ def frequencies(texts: list[bytes], group: np.ndarray, groups: int) -> tuple[np.
         at = h >> shift
         first = _starts(at)
         rough[at[first]] = np.minimum(rough[at[first]].astype(int) + np.diff(np.append(first, len(at))), 255)
-    every = [np.zeros(0, np.uint64)]
+    shares: list[list[np.ndarray]] = [[] for _ in range(_SHARES)]
+    edges = np.array([(k << 64) // _SHARES for k in range(1, _SHARES)], np.uint64)
     for rows, h in _once(texts):
         some = rough[h >> shift] >= _TEXTS
-        every.append(h[some] & ~low | group[rows[some]].astype(np.uint64))  # the group in the last bits
-    every = np.concatenate(every)
-    every.sort()
-    first = _starts(every & ~low)
-    of = (every & low).astype(np.int8)
-    counts = np.array([np.add.reduceat(of == g, first, dtype=np.int32) for g in range(groups)]) if len(first) else np.zeros((groups, 0), np.int32)
-    often = counts.sum(axis=0) >= _TEXTS
-    return (every[first] & ~low)[often], counts[:, often]
+        h, rows = h[some], rows[some]
+        for share, part in zip(shares, np.split(h & ~low | group[rows].astype(np.uint64), np.searchsorted(h, edges))):
+            share.append(part)  # the group in the last bits
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros((groups, 0), np.int32)]
+    for share in shares:
+        every = np.concatenate((np.zeros(0, np.uint64), *share))
+        share.clear()
+        every.sort()
+        first = _starts(every & ~low)
+        often = np.diff(np.append(first, len(every))) >= _TEXTS
+        if often.any():
+            of = (every & low).astype(np.int8)
+            keys.append((every[first] & ~low)[often])
+            counts.append(np.array([np.add.reduceat(of == g, first, dtype=np.int32)[often] for g in range(groups)]))
+    return np.concatenate(keys), np.concatenate(counts, axis=1)
 
 
 def surplus(here: np.ndarray, n: int, there: np.ndarray, m: int) -> np.ndarray:

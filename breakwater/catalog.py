@@ -297,12 +297,14 @@ def block_statistics(spark, sf_dir):
 # penalties, scalar functions, post-processing
 
 
-@query("SELECT family, p, n, round((p + 1) * ln(n) / 2, 6) AS bic, round((p + 2) * ln(n) / 2, 6) AS mbic, round((p + 2) * log2(n) / 2, 6) AS mdl, round(p * ln(2), 6) AS pruning_mbic FROM (VALUES ('mean', 1, 1000), ('variance', 1, 1000), ('meanvariance', 2, 1000), ('exponential', 1, 1000), ('garch', 3, 120), ('gaussian', 4, 300)) AS v(family, p, n)")
+@query("SELECT family, p, n, round((p + 1) * ln(n) / 2, 6) AS bic, round((p + 2) * ln(n) / 2, 6) AS mbic, round((p + 2) * log2(n) / 2, 6) AS mdl, CASE WHEN family = 'garch' THEN NULL ELSE round(p * ln(2), 6) END AS pruning_mbic FROM (VALUES ('mean', 1, 1000), ('variance', 1, 1000), ('meanvariance', 2, 1000), ('exponential', 1, 1000), ('garch', 3, 120), ('gaussian', 4, 300)) AS v(family, p, n)")
 def penalty_table(spark, sf_dir):
     rows = []
     for family, d, order, n in (("mean", 1, None, 1000), ("variance", 1, None, 1000), ("meanvariance", 1, None, 1000), ("exponential", 1, None, 1000), ("garch", 1, (1, 1), 120), ("gaussian", 5, None, 300)):
         p = specs.parameter_count(specs.make(family, order), d)
-        rows.append((family, p, n, *(round(specs.penalty(b, p, n), 6) for b in ("BIC", "MBIC", "MDL")), round(specs.pruning_constant(specs.make(family, order), p) if family != "garch" else p * math.log(2), 6)))
+        constant = specs.pruning_constant(specs.make(family, order), p)
+        # families that keep all candidates have no constant
+        rows.append((family, p, n, *(round(specs.penalty(b, p, n), 6) for b in ("BIC", "MBIC", "MDL")), round(constant, 6) if math.isfinite(constant) else None))
     return spark.createDataFrame(rows, "family string, p int, n int, bic double, mbic double, mdl double, pruning_mbic double")
 
 
@@ -313,16 +315,52 @@ def scalar_functions(spark, sf_dir):
     return df.select("i", *(F.round(c, 6).alias(n) for n, c in {"log1pexp": X.log1pexp(v), "logistic": X.logistic(v), "soft": X.soft_threshold(v, 1.0), "pinball": X.pinball(v, 0.3), "ylogy": X.y_log_y(F.round(F.abs(v)), F.lit(2.0)), "log_factorial": X.log_factorial(F.round(F.abs(v) * 10))}.items()))
 
 
-@query("SELECT g, CAST(c AS BIGINT) AS c FROM (SELECT g, unnest(list_filter(points, lambda c: c > 0.05 * 1000 AND c < 0.95 * 1000)) AS c FROM (VALUES (1, [10, 50, 51, 300, 949, 950, 990]), (2, [500])) AS v(g, points))")
+_POINTS = "SELECT c_nationkey AS g, list_sort(list_distinct(list(CAST(c_custkey * 7919 % 997 + 2 AS BIGINT)))) AS points FROM customer GROUP BY 1"
+
+
+def points(spark, sf_dir) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return df.groupBy(F.col("c_nationkey").alias("g")).agg(F.array_sort(F.collect_set((F.col("c_custkey") * 7919 % 997 + 2).cast("long"))).alias("points"))
+
+
+@query(f"SELECT g, unnest(list_filter(points, lambda c: c > 0.05 * 1000 AND c < 0.95 * 1000)) AS c FROM ({_POINTS})")
 def trim_filter(spark, sf_dir):
-    df = spark.createDataFrame([(1, [10, 50, 51, 300, 949, 950, 990]), (2, [500])], "g int, points array<bigint>")
-    return df.select("g", F.explode(segments.trim_filter(F.col("points"), F.lit(1000), 0.05)).alias("c"))
+    return points(spark, sf_dir).select("g", F.explode(segments.trim_filter(F.col("points"), F.lit(1000), 0.05)).alias("c"))
 
 
-@query("SELECT g, CAST(c AS BIGINT) AS c FROM (VALUES (1, 215), (1, 600), (2, 500)) AS v(g, c)")
+@query(
+    f"""WITH v AS (SELECT g, [0::BIGINT] || points AS k FROM ({_POINTS})),
+i AS (SELECT g, k, list_filter(range(1, len(k)), lambda i: k[i + 1] - k[i] <= 20) AS c FROM v),
+z AS (SELECT g, k, list_filter(range(1, len(k) + 1), lambda i: NOT list_contains(c, i)) AS a, list_filter(range(1, len(k) + 1), lambda i: NOT list_contains(c, i - 1)) AS b FROM i),
+m AS (SELECT g, unnest(list_transform(range(1, len(a) + 1), lambda i: (k[a[i]] + k[b[i]]) // 2)) AS c FROM z)
+SELECT g, c FROM m WHERE c > 0"""
+)
 def merge_close(spark, sf_dir):
-    df = spark.createDataFrame([(1, [190, 220, 240, 600]), (2, [500])], "g int, points array<bigint>")
-    return df.select("g", F.explode(segments.merge_close(F.col("points"), F.lit(1000), 0.05)).alias("c"))
+    return points(spark, sf_dir).select("g", F.explode(segments.merge_close(F.col("points"), F.lit(1000), 0.02)).alias("c"))
+
+
+@query(
+    "WITH e AS (SELECT event_id AS i, value, 0.01 + 0.98 * (event_id % 97) / 97.0::DOUBLE AS mu, event_id % 2 AS y FROM events) SELECT i, round(ln(mu / (1 - mu)), 6) AS logit, round(1 / (1 + exp(-greatest(least(value - 50, 30), -30))), 8) AS inverse, round(mu * (1 - mu), 6) AS binomial_variance, round((value - mu) ** 2, 5) AS gaussian_deviance, round(-2 * ln(CASE WHEN y = 1 THEN mu ELSE 1 - mu END), 6) AS binomial_deviance, round(2 * (CASE WHEN round(abs(value)) = 0 THEN 0 ELSE round(abs(value)) * ln(round(abs(value)) / mu) END - (round(abs(value)) - mu)), 5) AS poisson_deviance FROM e"
+)
+def link_functions(spark, sf_dir):
+    df = select(spark, sf_dir, "SELECT event_id AS i, value, 0.01D + 0.98D * (event_id % 97) / 97.0D AS mu, event_id % 2 AS y FROM events", "events")
+    mu, value, y, count = F.col("mu"), F.col("value"), F.col("y").cast("double"), F.round(F.abs("value"))
+    return df.select(
+        "i",
+        F.round(X.logit(mu), 6).alias("logit"),
+        F.round(X.logit_inverse(value - 50), 8).alias("inverse"),
+        F.round(X.variance_function("binomial", mu), 6).alias("binomial_variance"),
+        F.round(X.unit_deviance("gaussian", value, mu), 5).alias("gaussian_deviance"),
+        F.round(X.unit_deviance("binomial", y, mu), 6).alias("binomial_deviance"),
+        F.round(X.unit_deviance("poisson", count, mu), 5).alias("poisson_deviance"),
+    )
+
+
+@query(f"WITH e AS ({DAILY}), r AS (SELECT d, x, row_number() OVER (ORDER BY d) AS i FROM e) SELECT d, CASE WHEN i > 2 THEN round(x, 5) END AS residual FROM r")
+def residual_padding(spark, sf_dir):
+    s = Series.of(daily(spark, sf_dir), "x", "d")
+    lagged = transforms.lag_embed(s, 2).df.select("d", F.col("x").alias("residual"))
+    return rounded(transforms.pad_residuals(lagged, s), 5)
 
 
 # segmentation
@@ -427,6 +465,96 @@ def cp_lm_p1_vanilla(spark, sf_dir):
     return _segments(api.lm(switched(spark, sf_dir), ["y", "a"], "d", keep=False, vanilla=1.0, beta=5000.0, cost_adjustment="BIC", pruning=0.0))
 
 
+def _one(series: str, cost: str, sums: dict[str, str], penalty: float) -> str:
+    """`optimal` for one series."""
+    return optimal(f"SELECT 1 AS k, * FROM ({series})", cost, 1, sums=sums, penalty=f"{penalty}::DOUBLE").replace("SELECT k, lag(e", "SELECT lag(e")
+
+
+def _exact(name: str, sql_text: str, f: Callable[[SparkSession, str], api.Detection]) -> None:
+    """Segment bounds of a segmentation, with SQL."""
+
+    def run(spark, sf_dir):
+        return _segments(f(spark, sf_dir))
+
+    run.__name__ = name
+    query(sql_text)(run)
+
+
+def _plain(beta: float, **more) -> dict:
+    return {"keep": False, "beta": beta, "cost_adjustment": "BIC", "pruning": 0.0, **more}
+
+
+_TWO = f"SELECT d AS i, x, c * 30 AS c FROM ({DAILY})"
+_SUMS2 = {"s1": "x", "s2": "c", "q1": "x * x", "q2": "c * c", "qq": "x * c"}
+_S11, _S22, _S12 = "(<q1> - <s1> * <s1> / <m>)", "(<q2> - <s2> * <s2> / <m>)", "(<qq> - <s1> * <s2> / <m>)"
+
+
+def two(spark, sf_dir) -> DataFrame:
+    return daily(spark, sf_dir).withColumn("c", F.col("c") * 30)
+
+
+# the inverse of [[40000, 10000], [10000, 3600]] is [[3600, -10000], [-10000, 40000]] / 4.4e7
+_exact("cp_mean_two_columns", _one(_TWO, f"(3600 * {_S11} - 20000 * {_S12} + 40000 * {_S22}) / 4.4e7 / 2", _SUMS2, 12.0), lambda s, d: api.mean(two(s, d), ["x", "c"], "d", **_plain(12.0, variance=[[40000.0, 10000.0], [10000.0, 3600.0]])))
+_DET = f"({_S11} * {_S22} - {_S12} * {_S12}) / <m> / <m>"
+_exact("cp_meanvariance_two_columns", _one(f"SELECT d AS i, x, c FROM ({MONTHLY})", f"<m> / 2.0 * ln(CASE WHEN <m> < 3 THEN 1e-10 ELSE greatest({_DET}, 1e-10) END)", _SUMS2, 60.0), lambda s, d: api.meanvariance(monthly(s, d), ["x", "c"], "d", **_plain(60.0)))
+_AB = {"yy": "y * y", "ay": "a * y", "bo": "b * y", "aa": "a * a", "ab": "a * b", "bb": "b * b"}
+_exact(
+    "cp_lm_two_predictors",
+    _one("SELECT d AS i, y, a, b FROM (" + _SWITCH.format(x=LINES) + ")", "CASE WHEN <m> <= 2 THEN 0 ELSE greatest(<yy> - (<ay> * <ay> * <bb> - 2 * <ay> * <bo> * <ab> + <bo> * <bo> * <aa>) / (<aa> * <bb> - <ab> * <ab>), 0) / 2 END", _AB, 5000.0),
+    lambda s, d: api.lm(switched(s, d), ["y", "a", "b"], "d", **_plain(5000.0, vanilla=1.0)),
+)
+_LAGGED = f"SELECT d AS i, x - 300 AS y, lag(x - 300) OVER (ORDER BY d) AS a FROM ({DAILY})"
+_exact(
+    "cp_ar_one_lag",
+    f"WITH s AS ({_one('SELECT * FROM (' + _LAGGED + ') WHERE a IS NOT NULL', '(<yy> - <ay> * <ay> / <aa>) / 2', {'yy': 'y * y', 'ay': 'a * y', 'aa': 'a * a'}, 200_000.0)}) SELECT lag(end_index + 1, 1, 0) OVER (ORDER BY end_index) + 1 AS start_index, end_index + 1 AS end_index FROM s",
+    lambda s, d: api.ar(daily(s, d).withColumn("x", F.col("x") - 300), "x", "d", order=1, **_plain(200_000.0, vanilla=1.0)),
+)
+_RSS = "((p.sq[d.t + 2] - p.sq[j + 2]) - (p.cr[d.t + 2] - p.cr[j + 2]) ** 2 / (p.sq[d.t + 1] - p.sq[j + 1]))"
+_exact(
+    "cp_arma_one_lag",
+    _one(f"SELECT d AS i, x - 150 AS x, coalesce(lag(x - 150) OVER (ORDER BY d), 0) AS l FROM ({MONTHLY})", f"CASE WHEN <m> <= 2 THEN 0 ELSE (<m> - 1) / 2.0 * (ln(2 * pi() * greatest({_RSS} / (<m> - 1), 1e-300)) + 1) END", {"sq": "x * x", "cr": "x * l"}, 30.0),
+    lambda s, d: api.arma(monthly(s, d).withColumn("x", F.col("x") - 150), "x", "d", order=(1, 0), **_plain(30.0)),
+)
+_exact(
+    "cp_poisson_rate",
+    _one(f"SELECT d AS i, c * (CASE WHEN d >= 1995 * 12 THEN 2 ELSE 1 END) AS y FROM ({MONTHLY})", "greatest(<l> - CASE WHEN <y> > 0 THEN <y> * ln(<y> / <m>) ELSE 0 END, 0)", {"y": "y", "l": "CASE WHEN y > 0 THEN y * ln(y) ELSE 0 END"}, 12.0),
+    lambda s, d: api.poisson(monthly(s, d).withColumn("c", F.col("c") * F.when(F.col("d") >= 1995 * 12, 2).otherwise(1)).withColumn("one", F.lit(1.0)), ["c", "one"], "d", **_plain(12.0, vanilla=1.0)),
+)
+_exact(
+    "cp_mlm_means",
+    _one(f"SELECT d AS i, x, c FROM ({MONTHLY})", "<m> / 2.0 * (2 * ln(2 * pi()) + ln(400.0 * 90.0)) + CASE WHEN <m> <= 2 THEN ((<q1> + (<m> - 2) * <s1> * <s1>) / 400 + (<q2> + (<m> - 2) * <s2> * <s2>) / 90) / 2 ELSE (" + _S11 + " / 400 + " + _S22 + " / 90) / 2 END", _SUMS2, 15.0),
+    lambda s, d: api.lm(monthly(s, d).withColumn("one", F.lit(1.0)), ["x", "c", "one"], "d", responses=2, variance=[[400.0, 0.0], [0.0, 90.0]], **(_plain(15.0) | {"pruning": "exact"})),
+)
+_exact(
+    "cp_kcp_given_features",
+    _one(f"SELECT d AS i, cos(0.05 * x + 0.5) AS f, cos(-0.02 * x + 1.5) AS g FROM ({MONTHLY})", "(<q1> - <s1> * <s1> / <m> + <q2> - <s2> * <s2> / <m>) / 2", {"s1": "f", "s2": "g", "q1": "f * f", "q2": "g * g"}, 1.5),
+    lambda s, d: api.kcp(monthly(s, d), "x", "d", extra={"weights": ([[0.05, -0.02]], [0.5, 1.5])}, **_plain(1.5)),
+)
+_MEDIAN = "(SELECT d AS i, x + CASE WHEN d >= 1995 * 12 THEN 40 ELSE 0 END AS x FROM (" + MONTHLY + "))"
+_exact(
+    "cp_quantile_median",
+    _one(f"SELECT * FROM {_MEDIAN}", "list_sum(list_transform(p.a[j + 1 : d.t + 1], lambda v: abs(v - list_aggregate(p.a[j + 1 : d.t + 1], 'median')))) / 2", {"s": "x"}, 60.0).replace("list(s ORDER BY r) AS s", "list(s ORDER BY r) AS s, list(x ORDER BY r) AS a").replace("AS beta, s FROM", "AS beta, s, a FROM").replace("AS r, sum(x)", "AS r, x, sum(x)"),
+    lambda s, d: api.quantile(monthly(s, d).withColumn("x", F.col("x") + F.when(F.col("d") >= 1995 * 12, 40).otherwise(0)).withColumn("one", F.lit(1.0)), ["x", "one"], "d", **_plain(60.0, vanilla=1.0, tau=0.5)),
+)
+
+
+_FITTED = f"WITH s AS ({optimal(EVENTS.format(x=LEVEL), _MEAN, 1, '2500.0::DOUBLE')}), e AS (SELECT k, i, x, row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM ({EVENTS.format(x=LEVEL)})), f AS (SELECT s.k, start_index, end_index, i, r, x FROM s JOIN e ON s.k = e.k AND r BETWEEN start_index AND end_index)"
+
+
+def _fitted(spark, sf_dir) -> api.Detection:
+    return api.mean(events(spark, sf_dir), "x", "i", "k", keep=False, variance=[[2500.0]], **_BIC)
+
+
+@query(f"{_FITTED} SELECT k, start_index, end_index, round((sum(x * x) - sum(x) * sum(x) / count(*)) / 5000, 3) AS cost, round(avg(x), 6) AS theta FROM f GROUP BY ALL")
+def cp_mean_fits(spark, sf_dir):
+    return _fitted(spark, sf_dir).segments.select("k", "start_index", "end_index", F.round("cost", 3).alias("cost"), F.round(F.get("theta", F.lit(0)), 6).alias("theta"))
+
+
+@query(f"{_FITTED} SELECT k, r AS row_index, i AS order_value, round(x - avg(x) OVER (PARTITION BY k, start_index), 5) AS residual FROM f")
+def cp_mean_residuals(spark, sf_dir):
+    return _fitted(spark, sf_dir).residuals.select("k", "row_index", "order_value", F.round(F.get("residual", F.lit(0)), 5).alias("residual"))
+
+
 def _rows(name: str, f: Callable[[SparkSession, str], api.Detection]) -> None:
     def run(spark, sf_dir):
         r = f(spark, sf_dir)

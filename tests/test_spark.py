@@ -163,6 +163,6 @@ def test_query_equals_sql(spark, name):
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
     for c in columns:
         if a[c].dtype.kind == "f":
-            assert np.allclose(a[c], b[c], atol=2e-2 if name.startswith("prefix") else 2e-6)
+            assert np.allclose(a[c], b[c], atol=2e-2 if name.startswith("prefix") else 2e-6, equal_nan=True)
         else:
             assert a[c].astype(str).tolist() == b[c].astype(str).tolist()

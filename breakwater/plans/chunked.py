@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from breakwater import spec as specs
 from breakwater.kernels.segment import adjusted, segment
@@ -22,7 +23,8 @@ FAMILIES = ("mean", "meanvariance", "exponential")
 
 def numbered(s: Series, partitions: int) -> DataFrame:
     """The rows with `row_index` from 0 by the order column: counts per range partition, not a global window."""
-    dealt = s.df.repartitionByRange(partitions, s.order_by).withColumn("__part", F.spark_partition_id()).persist()
+    # kept until the rows' statistics and the proposals are made; Spark drops the blocks with the last plan that holds them
+    dealt = s.df.repartitionByRange(partitions, s.order_by).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     counts = dealt.groupBy("__part").count()
     before = counts.select("__part", (F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(s.order_by)) - 1
@@ -30,6 +32,10 @@ def numbered(s: Series, partitions: int) -> DataFrame:
     return dealt.join(F.broadcast(before), "__part").select(s.order_by, *s.values, (inside + F.coalesce("__before", F.lit(0))).cast("long").alias("row_index"))
 
 
+def partitions_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def change_points(s: Series, spec: specs.Spec, chunk: int = 50_000, overlap: int = 5_000, partitions: int | None = None) -> DataFrame:
     """(cp_index, order_value) of one series without partition keys."""
     if spec.family not in FAMILIES or len(s.values) != 1 or s.partition_by:
@@ -57,7 +63,8 @@ def change_points(s: Series, spec: specs.Spec, chunk: int = 50_000, overlap: int
         found = segment(frame[value].to_numpy(float), inner).change_points
         return pd.DataFrame({"cp_index": frame["row_index"].to_numpy()[found - 1] + 1 if len(found) else np.zeros(0, np.int64)})
 
-    proposed = dealt.groupBy("chunk").applyInPandas(propose, "cp_index long").distinct()
+    # a chunk a task: chunks are few beside the rows
+    proposed = dealt.repartition(max(partitions_of(rows), -(-n // chunk)), "chunk").groupBy("chunk").applyInPandas(propose, "cp_index long").distinct()
     # sums of the stretches between neighbouring proposals
     x = F.col(value) - F.lit(facts["mean"] if spec.family != "exponential" else 0.0)
     marks = rows.join(proposed.withColumn("row_index", F.col("cp_index")).drop("cp_index").withColumn("cut", F.lit(1)), "row_index", "left")

@@ -66,6 +66,13 @@ def _residual_rows(frame: pd.DataFrame, s: specs.Spec, values: list[str], order:
     return pd.DataFrame(out | {"row_index": np.arange(1, n + 1), "order_value": frame[order].iloc[:n].tolist(), "residual": list(rest[:n]) if n else []})
 
 
+def dealt(s: Series) -> DataFrame:
+    """The rows by their keys, over a fixed number of tasks: rows are small beside a kernel's work, so tasks are not joined by their size."""
+    if not s.partition_by:
+        return s.df
+    return s.df.repartition(2 * int(s.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *s.partition_by)
+
+
 def run(s: Series, spec: specs.Spec) -> DataFrame:
     """One row for each series: keys, n_rows, changes, segments."""
     values, order, keys = s.values, s.order_by, s.partition_by
@@ -73,7 +80,7 @@ def run(s: Series, spec: specs.Spec) -> DataFrame:
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         return _series_row(frame, spec, values, order, keys)
 
-    return s.df.groupBy(*keys).applyInPandas(kernel, schema(s))
+    return dealt(s).groupBy(*keys).applyInPandas(kernel, schema(s))
 
 
 def residuals(s: Series, spec: specs.Spec) -> DataFrame:
@@ -83,4 +90,4 @@ def residuals(s: Series, spec: specs.Spec) -> DataFrame:
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         return _residual_rows(frame, spec, values, order, keys)
 
-    return s.df.groupBy(*keys).applyInPandas(kernel, residual_schema(s))
+    return dealt(s).groupBy(*keys).applyInPandas(kernel, residual_schema(s))

@@ -21,8 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below its threshold. It learns from all labels of `documents`."""
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("scored_text", F.col("text")), model, "scored_text", "toxicity")
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
+    # texts don't come back from the scoring: the toxic ones go by id and hash
+    part = F.xxhash64("text")
+    scored = toxicity.score(docs.select("doc_id", part.alias("part"), "text"), model)
+    gone = saved(scored.where(F.col("score") >= toxicity.THRESHOLD).select(F.col("doc_id").alias("id"), "part").distinct())
+    return docs.join(small(gone, gone.count()), docs["doc_id"].eqNullSafe(gone["id"]) & (part == gone["part"]), "left_anti")
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

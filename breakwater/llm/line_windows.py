@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.llm.shared import saved, small
+from breakwater.llm.shared import join_hot, saved, small
 
 
 def _keyed(docs: DataFrame, text: str, id_: str) -> DataFrame:
@@ -38,15 +38,15 @@ def covered(docs: DataFrame, text: str = "text", id_: str = "doc_id", lines: int
     """(__key, __from): for each document that loses lines, the sorted starts of its later occurrences' windows."""
     every = windows(docs, text, id_, lines)
     # a window's first place; only windows that occur twice matter
-    first = every.groupBy("__hash").agg(F.min(F.struct("__key", "__at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__hash", "first")
-    later = every.join(first, "__hash").where((F.col("first.__key") != F.col("__key")) | (F.col("first.__at") != F.col("__at")))
+    first = saved(every.groupBy("__hash").agg(F.min(F.struct("__key", "__at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    later = join_hot(every, first, ["__hash"]).where((F.col("first.__key") != F.col("__key")) | (F.col("first.__at") != F.col("__at")))
     return later.groupBy("__key").agg(F.sort_array(F.collect_set("__at")).alias("__from"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id", lines: int = 3) -> DataFrame:
     """`docs` with the covered lines cut from the text, and n_lines and n_removed in new last columns."""
-    if {"n_lines", "n_removed"} & set(docs.columns):
-        raise ValueError("columns n_lines and n_removed exist already")
+    if taken := {"n_lines", "n_removed", "__key", "__at", "__hash", "__gone"} & set(docs.columns):
+        raise ValueError(f"columns exist already: {', '.join(sorted(taken))}")
     marks = saved(covered(docs, text, id_, lines))
     places = marks.agg(F.coalesce(F.sum(F.size("__from")), F.lit(0))).first()[0]
     split = F.split(F.col(text), "\n")

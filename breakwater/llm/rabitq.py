@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.llm.shared import components, saved, small
+from breakwater.llm.shared import components, join_hot, saved, small
 
 TILE = 1500
 CONFIDENCE = 4.0
@@ -199,11 +199,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vector: str = "embedd
     coded = saved(_coded(groups.select("node", "weight", "vector"), bits, tables))
     rows = coded.select("d", F.posexplode("keys").alias("t", "bucket"), "node", "sketch")
     sizes = saved(rows.groupBy("d", "t", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int")))
-    dealt = rows.join(small(sizes, sizes.count()), ["d", "t", "bucket"])
+    dealt = join_hot(rows, sizes, ["d", "t", "bucket"])
     own = F.pmod(F.xxhash64("node", "bucket"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     tiles = F.transform(every, lambda c: F.struct(F.least(F.col("own"), c).alias("i"), F.greatest(F.col("own"), c).alias("j")))
-    dealt = dealt.withColumn("own", own).withColumn("tile", F.explode(tiles)).drop("n", "chunks")
+    dealt = dealt.withColumn("own", own).withColumn("tile", F.explode(tiles)).drop("chunks")
     # a call of the kernel takes several buckets of a table
     lots = F.pmod(F.xxhash64("bucket", "tile.i", "tile.j"), F.lit(max(1, count // 16_000))).cast("int").alias("lot")
     dealt = dealt.select("d", "t", lots, "bucket", "tile.i", "tile.j", "own", "node", "sketch")

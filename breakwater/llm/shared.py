@@ -40,6 +40,25 @@ def small(df: DataFrame, rows: int, width: int = 48) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+#: A key of more rows than `HOT_ROWS`, and than one in `HOT_KEYS` of all, is hot: there are at most `HOT_KEYS` of them.
+HOT_ROWS, HOT_KEYS = 10_000, 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """`rows` joined with `facts`, a written table with one row for each key and in `n` its number of rows.
+
+    Facts of hot keys are few whatever the data, so they are broadcast and their
+    rows stay where they are; all other rows are joined as usual.
+    """
+    total, most = facts.agg(F.sum(n), F.max(n)).first()
+    bar = max((total or 0) // HOT_KEYS, HOT_ROWS)
+    if (most or 0) <= bar:
+        return rows.join(facts.drop(n), on)
+    hot = facts.where(F.col(n) > bar).drop(n)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.where(F.col(n) <= bar).drop(n), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.llm.shared import saved
+from breakwater.llm.shared import join_hot, saved, small
 
 #: Levels of the tree; deeper segments are one tail wildcard.
 LEVELS = 4
@@ -72,6 +72,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", id_:
         here = F.get("segments", F.lit(level))
         values = tree.where(here.isNotNull()).groupBy("host", "template", here.alias("s")).agg(F.sum("n").alias("n"))
         wide = values.groupBy("host", "template").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("pages")).where(F.col("values") >= VALUES).where(F.col("values") >= VARIETY * F.col("pages")).select("host", "template", F.lit(True).alias("wide"))
+        # few parents are wide: by broadcast, a host of many pages is not gathered in one task
+        wide = saved(wide)
+        wide = small(wide, wide.count(), 96)
         segment = F.when(F.startswith(here, F.lit("<")), here).when(F.col("wide"), "*").otherwise(here)
         tree = tree.join(wide, ["host", "template"], "left").withColumn("template", F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), segment))).drop("wide")
     tree = tree.withColumn("template", F.when(F.size("segments") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
@@ -82,11 +85,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", id_:
     # a single row, so a broadcast of it is small at any size
     hosts = tree.groupBy("host").agg(*sums).join(F.broadcast(every)).select("host", ((F.col("blocked") + SMOOTHING * F.col("prior")) / (F.col("known") + SMOOTHING)).alias("host_rate"))
     shapes = tree.groupBy("host", "shape").agg(F.sum("known").alias("shape_known"), F.sum("blocked").alias("shape_blocked"))
-    templates = tree.groupBy("host", "shape", "template").agg(*sums).join(shapes, ["host", "shape"]).join(hosts, "host")
+    templates = tree.groupBy("host", "shape", "template").agg(*sums, F.count(F.lit(1)).alias("lists")).join(shapes, ["host", "shape"]).join(hosts, "host")
     pooled = (F.col("shape_blocked") + 0.5) / (F.col("shape_known") + 1.0)
     apart = F.abs(F.col("blocked") - F.col("known") * pooled) > Z * F.sqrt(F.col("known") * pooled * (1 - pooled))
     known, blocked = (F.when(apart, F.col(c)).otherwise(F.col(f"shape_{c}")) for c in ("known", "blocked"))
     purity = (blocked + SMOOTHING * F.col("host_rate")) / (known + SMOOTHING)
-    verdicts = saved(tree.select("host", "segments", "template").join(templates.select("host", "template", purity.alias("purity"), known.alias("known")), ["host", "template"]))
+    templates = saved(templates.select("host", "template", purity.alias("purity"), known.alias("known"), "lists"))
+    verdicts = saved(join_hot(tree.select("host", "segments", "template", "n"), templates, ["host", "template"], "lists"))
     told = F.when((F.col("known") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow")
-    return base.join(verdicts, ["host", "segments"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", told).alias("verdict"), "template", "purity")
+    return join_hot(base, verdicts, ["host", "segments"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", told).alias("verdict"), "template", "purity")

@@ -46,6 +46,7 @@ def vectors(n=300, d=24):
 @pytest.mark.parametrize("tile", [1500, 6])
 def test_near_vectors(spark, monkeypatch, tile):
     monkeypatch.setattr(rabitq, "TILE", tile)
+    monkeypatch.setattr(shared, "HOT_ROWS", tile)
     rows = vectors()
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, node long, unit string")
     got = sorted(map(tuple, rabitq.near_vectors(df).collect()), key=repr)
@@ -90,7 +91,10 @@ def test_host_path_and_rules(spark):
     assert url_tree.judge(df.limit(0), queries.RULES).count() == 0
 
 
-def test_templates(spark):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_templates(spark, monkeypatch, hot):
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
+    monkeypatch.setattr(shared, "HOT_KEYS", 10_000)
     r = random.Random(1)
     rows = [f"http://shop.com/en/{i}" for i in range(40)] + [f"http://shop.com/fr/{i}" for i in range(40)] + [f"http://blog.com/posts/{'%x' % r.getrandbits(60)}/{w}" for w in ("a", "b")] * 10
     rows += [f"http://wiki.com/w/{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(50)]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from breakwater.llm import bpe, jaccard, line_windows, repeats
+from breakwater.llm import bpe, jaccard, line_windows, repeats, shared
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("component", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("part", T.StringType())])
 
@@ -199,10 +199,13 @@ def brute_lines(rows, k=3):
     return sorted(out, key=repr)
 
 
-def test_line_windows(spark):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_line_windows(spark, monkeypatch, hot):
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
+    monkeypatch.setattr(shared, "HOT_KEYS", 10_000)
     r = random.Random(8)
     lines = ["l%d" % i for i in range(12)] + ["", " "]
-    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(0, 14)))) for i in range(60)] + [(90, None), (91, ""), (92, "a\nb\nc\na\nb\nc\nd"), (93, "q\nq\nq\nq\nq\nq"), (94, "\n\n\n\n\n"), (95, "\n\n\n\n\n")]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(0, 14)))) for i in range(60)] + [(90, None), (91, ""), (92, "a\nb\nc\na\nb\nc\nd"), (93, "q\nq\nq\nq\nq\nq"), (94, "\n\n\n\n\n"), (95, "\n\n\n\n\n"), (96, "\n".join(f"line {i % 4000}" for i in range(9000)))]
     got = line_windows.dedup_lines(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, first string"))
     assert sorted(((x["doc_id"], x["text"], x["n_removed"]) for x in got.collect()), key=repr) == brute_lines(rows)
     assert got.columns == ["doc_id", "text", "first", "n_lines", "n_removed"]
@@ -215,5 +218,20 @@ def test_line_windows_with_null_ids_and_nothing(spark):
     assert line_windows.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    """One text of 300,000 words beside a copy with one word changed and a short one: as brute force says."""
+    r = random.Random(12)
+    long = [r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(5000)) for _ in range(300_000)]
+    other = [*long[:1000], "changed", *long[1001:]]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, "alpha1 beta2")]
+    got = {x["doc_id"]: x for x in jaccard.near_duplicates(make(spark, rows), "0.9", 3).collect()}
+    assert got[1]["component_id"] == got[2]["component_id"] == 1 and got[3]["component_id"] == 3
+    assert got[1]["n_shingles"] == len(set(zip(long, long[1:], long[2:])))
+    left = {x["doc_id"]: x for x in repeats.remove_repeats(make(spark, rows)).collect()}
+    # only what holds the changed word is there once: windows of 400 bytes on either side meet it
+    assert left[1]["n_spans"] == left[2]["n_spans"] == 2 and left[3]["n_removed"] == 0
+    assert all(0 < left[i]["n_bytes"] - left[i]["n_removed"] <= len(long[1000]) + len("changed") for i in (1, 2))
+
+
 def test_digest_is_of_ids():
     assert hashlib.sha256(np.array([1], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\1\0\0\0").hexdigest()

@@ -112,6 +112,23 @@ def variance_arma(spark, sf_dir):
     return rounded(estimators.arma_variance(Series.of(daily(spark, sf_dir), "x", "d"), 3, 2), 3)
 
 
+#: The closed form of `block_variance_lm_p1` for one lag.
+_AR_VARIANCE = (
+    f"WITH e AS (SELECT d AS i, x AS y, lag(x) OVER (ORDER BY d) AS a FROM ({DAILY})), f AS (SELECT y AS y0, a AS x0, lead(y, 1) OVER w AS y1, lead(a, 1) OVER w AS x1, lead(y, 2) OVER w AS y2, lead(a, 2) OVER w AS x2 FROM e WHERE a IS NOT NULL WINDOW w AS (ORDER BY i)), g AS (SELECT *, 1 / (x0 * x0 + x1 * x1) AS p, 1 / (x1 * x1 + x2 * x2) AS q FROM f WHERE y2 IS NOT NULL), v AS (SELECT avg(((x0 * y0 + x1 * y1) * p - (x1 * y1 + x2 * y2) * q) ** 2 / (p + q - 2 * p * q * x1 * x1)) AS s FROM g), n AS (SELECT count(*) AS n FROM ({DAILY}))"
+)
+
+
+@query(f'{_AR_VARIANCE} SELECT CAST(1 AS BIGINT) AS "order", round(s, 4) AS sigma2, round(ln(s) + 2.0 / n, 8) AS aic, round(ln(s) + ln(n) / n, 8) AS bic FROM v, n')
+def variance_ar_one_lag(spark, sf_dir):
+    table = estimators.arma_variance(Series.of(daily(spark, sf_dir), "x", "d"), 1, 1)
+    return table.select("order", F.round("sigma2", 4).alias("sigma2"), F.round("aic", 8).alias("aic"), F.round("bic", 8).alias("bic"))
+
+
+@query(f"{_AR_VARIANCE} SELECT round(s, 4) AS sigma2 FROM v")
+def variance_ar_choice(spark, sf_dir):
+    return rounded(estimators.arma_choice(estimators.arma_variance(Series.of(daily(spark, sf_dir), "x", "d"), 1, 1), []), 4)
+
+
 @query(f"WITH e AS ({LINES}), b AS (SELECT sum(a * y) / sum(a * a) AS s FROM e), r AS (SELECT d, y - a * s AS r FROM e, b), f AS (SELECT r - lag(r) OVER (ORDER BY d) AS u FROM r) SELECT round(avg(u * u) / 2, 6) AS variance FROM f")
 def regression_rice(spark, sf_dir):
     return rounded(estimators.regression_rice(Series.of(lines(spark, sf_dir), ["y", "a"], "d")))

@@ -71,6 +71,11 @@ def arma_variance(x: np.ndarray, p: int, q: int, most: int | None = None) -> dic
     return {"order": order, "sigma2": sigma, "aic": aic, "bic": bic}
 
 
+def arma_choice(table: dict[str, np.ndarray], by: str = "bic") -> float:
+    """The noise variance of the order with the least `by` ("aic" or "bic") of an `arma_variance` table, the first of equals."""
+    return float(table["sigma2"][int(np.nanargmin(table[by]))])
+
+
 def nearest_positive(m: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh((m + m.T) / 2)
     return vectors @ np.diag(np.maximum(values, np.finfo(float).eps)) @ vectors.T

@@ -67,6 +67,12 @@ def arma_variance(s: Series, p: int, q: int, most: int | None = None) -> DataFra
     return s.df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def arma_choice(table: DataFrame, keys: list[str], by: str = "bic") -> DataFrame:
+    """keys, sigma2: of an `arma_variance` table the noise variance of the order with the least `by`, the first of equals."""
+    least = F.min(F.struct(F.col(by), F.col("order"), F.col("sigma2"))).alias("least")
+    return table.groupBy(*keys).agg(least).select(*keys, F.col("least.sigma2").alias("sigma2"))
+
+
 def regression_rice(s: Series) -> DataFrame:
     """Half the mean squared difference of the residuals of a regression through the origin on one predictor."""
     y, x = s.values

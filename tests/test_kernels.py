@@ -219,6 +219,32 @@ def test_wrong_orders(arguments):
         spec.make(*arguments)
 
 
+def test_variance_of_an_arma_model():
+    r, n = RStream(1), 300
+    w, x = r.norms(n + 3, 0, 10), np.zeros(n + 3)
+    for i in range(n):
+        a = (0.1, -0.3, 0.1, 0.1, 0.5) if i < 200 else (0.3, 0.1, -0.3, -0.6, -0.1)
+        x[i + 3] = a[0] * x[i + 2] + a[1] * x[i + 1] + a[2] * x[i] + a[3] * w[i + 2] + a[4] * w[i + 1] + w[i + 3]
+    table = prepare.arma_variance(x[3:], 3, 2)
+    assert prepare.arma_choice(table) == pytest.approx(100.25937, rel=1e-6)
+    assert prepare.arma_choice(table, "aic") in table["sigma2"]
+
+
+def test_covariance_of_a_mean_model():
+    r = RStream(1)
+    z = np.concatenate([10 * r.norms(3 * n).reshape(n, 3) + mean for n, mean in ((300, 0), (400, 50), (300, 2))])
+    want = [[113.5442077, -0.1433207, -2.973472], [-0.1433207, 106.1627730, 8.430343], [-2.9734719, 8.4303433, 112.602989]]
+    assert prepare.rice(z) == pytest.approx(np.array(want), rel=1e-6)
+    assert run(z, "mean").change_points.tolist() == [300, 700]
+
+
+def test_guards_of_matrices():
+    assert prepare.guarded([[1.0, 1.0], [1.0, 1.0]]).tolist() == (1e-10 * np.eye(2)).tolist()
+    assert prepare.guarded(4.0).tolist() == [[4.0]]
+    fixed = prepare.nearest_positive(np.array([[1.0, 2.0], [2.0, 1.0]]))
+    assert np.linalg.eigvalsh(fixed).min() >= 0 and fixed == pytest.approx(np.array([[1.5, 1.5], [1.5, 1.5]]))
+
+
 def test_brent():
     assert optim.brent(lambda x: (x - 0.3) ** 2, 0, 1) == pytest.approx(0.3, abs=1e-6)
     assert optim.brent(lambda x: math.cosh(x - 2) - x, -5, 9) == pytest.approx(2 + math.asinh(1), abs=1e-6)

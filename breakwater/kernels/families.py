@@ -1,7 +1,10 @@
 """Cost families: the cost of candidate segments of one series.
 
 A family has `costs(s, t)`, the exact costs of rows [s, t) for an array of
-starts s, and `fit(s, t)`, the final (cost, parameters, residual rows).
+starts s, and `fit(s, t)`, the final (cost, parameters, residual rows). Where
+costs of one column follow from running sums, `columns` are these sums by row
+and `quick(t, m, ...)` the costs of candidates of lengths m from the sums at their
+starts, which the recursion keeps side by side.
 Families with a gradient step also have `seed`, `step` and `running`, which
 keep the state of all candidates in arrays of one row each.
 """
@@ -27,6 +30,7 @@ def _log_det(m: np.ndarray) -> np.ndarray:
 
 class Family:
     gradient = False
+    columns: tuple[np.ndarray, ...] = ()
 
     def __init__(self, z: np.ndarray, p: int):
         self.z, self.n, self.p = z, len(z), p
@@ -46,13 +50,17 @@ class Mean(Family):
         white = (z - z.mean(axis=0)) @ np.linalg.cholesky(np.linalg.inv(np.atleast_2d(variance)))
         self.sums = _running(white)
         self.squares = np.concatenate(([0.0], np.cumsum((white**2).sum(axis=1))))
-        self.one = self.sums[:, 0].copy() if z.shape[1] == 1 else None
+        if z.shape[1] == 1:
+            self.columns = self.sums[:, 0].copy(), self.squares
+
+    def quick(self, t, m, one, squares):
+        d = self.columns[0][t] - one
+        return (self.squares[t] - squares - d * d / m) / 2
 
     def costs(self, s, t):
         m = t - s
-        if self.one is not None:
-            d = self.one[t] - self.one[s]
-            return (self.squares[t] - self.squares[s] - d * d / m) / 2
+        if self.columns:
+            return self.quick(t, m, *(c[s] for c in self.columns))
         d = self.sums[t] - self.sums[s]
         return (self.squares[t] - self.squares[s] - (d * d).sum(axis=1) / m) / 2
 
@@ -69,17 +77,21 @@ class Variance(Family):
         self.d = z.shape[1]
         x = z - z.mean(axis=0)
         self.sums = _running((x[:, :, None] * x[:, None, :]).reshape(self.n, -1))
+        if self.d == 1:
+            self.columns = (self.sums[:, 0].copy(),)
+
+    def quick(self, t, m, sums):
+        return m / 2 * np.log(np.maximum((self.columns[0][t] - sums) / m, _FLOOR))
 
     def costs(self, s, t):
         s = np.asarray(s)
+        if self.columns:
+            return self.quick(t, t - s, self.columns[0][s])
         a, b = s.copy(), np.full(len(s), t)
-        if self.d > 1:  # a short segment takes neighbouring rows
-            short = b - a < self.d
-            a[short] = np.maximum(a[short] - self.d, 0)
-            b[short] = np.minimum(b[short] + self.d, self.n)
+        short = b - a < self.d  # a short segment takes neighbouring rows
+        a[short] = np.maximum(a[short] - self.d, 0)
+        b[short] = np.minimum(b[short] + self.d, self.n)
         cov = (self.sums[b] - self.sums[a]) / (b - a)[:, None]
-        if self.d == 1:
-            return (t - s) / 2 * np.log(np.maximum(cov[:, 0], _FLOOR))
         det = np.linalg.det(cov.reshape(-1, self.d, self.d))
         with np.errstate(divide="ignore", invalid="ignore"):
             return (t - s) / 2 * np.log(det)
@@ -99,13 +111,20 @@ class MeanVariance(Family):
         self.d = z.shape[1]
         x = z - z.mean(axis=0)
         self.sums, self.squares = _running(x), _running((x[:, :, None] * x[:, None, :]).reshape(self.n, -1))
+        if self.d == 1:
+            self.columns = self.sums[:, 0].copy(), self.squares[:, 0].copy()
+
+    def quick(self, t, m, sums, squares):
+        mean = (self.columns[0][t] - sums) / m
+        var = (self.columns[1][t] - squares) / m - mean * mean
+        return m / 2 * np.log(np.where(var <= 0, _FLOOR, var))
 
     def costs(self, s, t):
+        if self.columns:
+            return self.quick(t, t - s, *(c[s] for c in self.columns))
         m = (t - s)[:, None]
         mean = (self.sums[t] - self.sums[s]) / m
         cov = (self.squares[t] - self.squares[s]) / m - (mean[:, :, None] * mean[:, None, :]).reshape(len(m), -1)
-        if self.d == 1:
-            return m[:, 0] / 2 * np.log(np.where(cov[:, 0] <= 0, _FLOOR, cov[:, 0]))
         det = np.linalg.det(cov.reshape(-1, self.d, self.d))
         return m[:, 0] / 2 * np.log(np.where(det <= 0, _FLOOR, det))
 
@@ -121,11 +140,14 @@ class Exponential(Family):
     def __init__(self, z, p):
         super().__init__(z, p)
         self.sums = np.concatenate(([0.0], np.cumsum(z[:, 0])))
+        self.columns = (self.sums,)
+
+    def quick(self, t, m, sums):
+        return m * (np.log((self.sums[t] - sums) / m) + 1)
 
     def costs(self, s, t):
-        m = t - s
         with np.errstate(divide="ignore", invalid="ignore"):
-            return m * (np.log((self.sums[t] - self.sums[s]) / m) + 1)
+            return self.quick(t, t - s, self.sums[s])
 
     def fit(self, s, t, final=True):
         mean = self.z[s:t].mean(axis=0)

@@ -611,6 +611,16 @@ def cp_mean_long(spark, sf_dir):
     return api.detect_long(df, "x", "i", "mean", chunk=4000, overlap=500)
 
 
+_ALL = "SELECT event_id AS i, value + CASE WHEN event_id * 3 >= mx AND event_id * 3 < 2 * mx THEN 200 ELSE 0 END AS x FROM events, (SELECT max(event_id) AS mx FROM events) AS m"
+
+
+@query(f"SELECT end_index AS cp_index FROM ({_one(_ALL, '(<q> - <s> * <s> / <m>) / 2 / 2500', {'s': 'x', 'q': 'x * x'}, 40.0)}) WHERE end_index < (SELECT count(*) FROM events)")
+def cp_mean_long_given_variance(spark, sf_dir):
+    """The chunk-and-merge plan beside the optimum over the whole series."""
+    df = select(spark, sf_dir, _ALL, "events")
+    return api.detect_long(df, "x", "i", "mean", chunk=4000, overlap=500, variance=[[2500.0]], beta=40.0, cost_adjustment="BIC", pruning=0.0).select("cp_index")
+
+
 @query(optimal(EVENTS.format(x=LEVEL), _MEAN, 1, "2500.0::DOUBLE"))
 def cp_sql_table_function(spark, sf_dir):
     sql.register(spark)

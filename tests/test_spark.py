@@ -1,6 +1,8 @@
 """The library on Spark: grouped runs, frames, plans, SQL form, streams, sources; queries against DuckDB."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -143,6 +145,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_other_packages():
+    """Without a package that only the other operators need, the library's own queries are there."""
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__), check=True).stdout.split()
+    assert said == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))]
+
+
 @pytest.mark.parametrize("name", ["cp_garch", "cp_ma"])
 def test_whole_monthly_series(spark, name):
     """Segments cover every month, without gaps."""

@@ -127,6 +127,14 @@ def test_sources(spark, tmp_path):
     wide, values = sources.formula(csv, "y ~ .")
     assert values == ["y", "intercept", "g_b", "z"] and wide.count() == 2
     assert sources.formula(csv, "y ~ z - 1")[1] == ["y", "z"]
+    more, values = sources.formula(csv, "y ~ z*g + I(z^2) + log(z + 1) - 1")
+    assert values == ["y", "z", "g_a", "g_b", "z:g_a", "z:g_b", "I(z^2)", "log(z+1)"]
+    row = more.orderBy("y").collect()[1]
+    assert (row["z:g_b"], row["z:g_a"], row["I(z^2)"]) == (4.0, 0.0, 16.0) and row["log(z+1)"] == pytest.approx(np.log(5))
+    assert len(api.lm(more.withColumn("t", F.col("y")), ["y", "I(z^2)"], "t", keep=False).series.values) == 2
+    with pytest.raises(ValueError, match="no column"):
+        sources.formula(csv, "y ~ nothing")
+    assert [len(spark.createDataFrame([], v).columns) for k, v in sorted(sources.SCHEMAS.items())] == [2, 7, 43, 8, 2]
     (tmp_path / "a.json").write_text('{"date": 0, "price": 1.5}\n')
     assert str(sources.read_json(spark, str(tmp_path / "a.json"), "date long, price double", "date").dtypes[0][1]).startswith("timestamp")
     result = api.mean(spark.createDataFrame(series()), "x", "t", "k")

@@ -20,8 +20,8 @@ shingles, which has three uses.
    is not weak finds the pair. A passage that many texts share thus connects
    nothing, while a large group of near copies still meets in its own keys.
 2. Tiles. Sets of equal content are one. Sets that share a key are connected
-   to the key's least set (as many rows as keys, never a group's pairs), and
-   the components of those links are blocks. A block of more than `TILE` sets
+   to the key's least set, or through their least common key (as many rows as keys,
+   never a group's pairs), and the components of those links are blocks. A block of more than `TILE` sets
    is dealt into tiles: neighbouring size bands, where these are large pairs of their chunks.
 3. Bounds. In a tile each set has a bitmap in which every shingle toggles one
    bit. The bits in which two bitmaps differ are at most the shingles in
@@ -53,7 +53,7 @@ from breakwater.llm.arrays import mix, pieces, shingles, words
 from breakwater.llm.shared import components, saved, small
 
 #: Sets that a tile's chunk holds about.
-TILE = 2000
+TILE = 4000
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.25
 #: Keys of more sets than this are common.
@@ -259,14 +259,18 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     band = F.col("key").bitwiseAND((1 << _BAND_BITS) - 1)
     spare = F.array(*(F.lit(measure.parts(b)[1]) for b in range(len(measure.edges) - 1)))
     common = met.where(F.col("n") > COMMON).select("key", "digest", band.cast("int").alias("band"))
-    heavy = common.groupBy("digest", "band").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > F.get(spare, F.col("band"))).select("digest", "band")
-    common = saved(common.join(heavy, ["digest", "band"]).select("key", "digest"))
-    star = common.groupBy("key").agg(F.min("digest").alias("a"))
-    pairs = rare.union(common.join(star, "key").select("a", "digest")).where("a <> b").distinct()
+    heavy = common.groupBy("digest", "band").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > F.get(spare, F.col("band")))
+    # keys are nodes, too: a set hangs on its least common key, which hangs on the set's others; near copies share the least one
+    heavy = saved(heavy.select("digest", F.array_min("keys").alias("least"), "keys"))
+    hung = heavy.select(F.col("least").alias("a"), F.col("digest").alias("b"))
+    pairs = rare.union(hung).union(heavy.select(F.col("least").alias("a"), F.explode("keys").alias("b"))).where("a <> b").distinct()
     blocks = components(pairs).select(F.col("node").alias("digest"), F.col("component").alias("block"))
 
     # the texts of the sets in blocks: one document of each
     wanted = saved(blocks.join(ones, "digest"))
+    # a set may hang on keys that no other set keeps
+    several = saved(wanted.groupBy("block").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("block"))
+    wanted = saved(wanted.join(small(several, several.count()), "block").select("digest", "block", "doc_id", "size"))
     count = wanted.count()
     found = named.join(small(wanted.withColumnRenamed("doc_id", "id"), count), F.col("doc_id").eqNullSafe(F.col("id")))
     got = _sets(found, measure)

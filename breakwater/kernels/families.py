@@ -200,11 +200,17 @@ class Regression(Family):
         super().__init__(z, p)
         self.y, self.x, self.epsilon = z[:, 0], np.ascontiguousarray(z[:, 1:]), epsilon
 
+    def row(self, theta, e) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predictors of row e, or of each candidate's own row, with their outer products and the linear predictor."""
+        x = np.atleast_2d(self.x[e])
+        return x, x[:, :, None] * x[:, None, :], (theta * x).sum(axis=1)
+
     def hessian(self, theta, e):
-        return np.broadcast_to(np.outer(self.x[e], self.x[e]), (len(theta), self.p, self.p))
+        return np.broadcast_to(self.row(theta, e)[1], (len(theta), self.p, self.p))
 
     def pull(self, theta, e):
-        return (theta @ self.x[e] - self.y[e])[:, None] * self.x[e]
+        x, _, eta = self.row(theta, e)
+        return (eta - self.y[e])[:, None] * x
 
     def loss(self, theta, s, t):
         r = self.y[s:t] - self.x[s:t] @ theta
@@ -255,11 +261,13 @@ class Binomial(Regression):
         self.starts: np.ndarray | None = None
 
     def hessian(self, theta, e):
-        m = optim.logistic(theta @ self.x[e])
-        return (m * (1 - m))[:, None, None] * np.outer(self.x[e], self.x[e])
+        _, outer, eta = self.row(theta, e)
+        m = optim.logistic(eta)
+        return (m * (1 - m))[:, None, None] * outer
 
     def pull(self, theta, e):
-        return (optim.logistic(theta @ self.x[e]) - self.y[e])[:, None] * self.x[e]
+        x, _, eta = self.row(theta, e)
+        return (optim.logistic(eta) - self.y[e])[:, None] * x
 
     def loss(self, theta, s, t):
         eta = self.x[s:t] @ theta
@@ -280,10 +288,12 @@ class Poisson(Binomial):
         self.factorials = np.concatenate(([0.0], np.cumsum([math.lgamma(v + 1) for v in self.y])))
 
     def hessian(self, theta, e):
-        return np.minimum(np.exp(np.minimum(theta @ self.x[e], 700)), 1e10)[:, None, None] * np.outer(self.x[e], self.x[e])
+        _, outer, eta = self.row(theta, e)
+        return np.minimum(np.exp(np.minimum(eta, 700)), 1e10)[:, None, None] * outer
 
     def pull(self, theta, e):
-        return (np.exp(np.minimum(theta @ self.x[e], 700)) - self.y[e])[:, None] * self.x[e]
+        x, _, eta = self.row(theta, e)
+        return (np.exp(np.minimum(eta, 700)) - self.y[e])[:, None] * x
 
     def loss(self, theta, s, t):
         eta = self.x[s:t] @ theta
@@ -296,8 +306,8 @@ class Quantile(Regression):
         self.tau = tau
 
     def pull(self, theta, e):
-        below = self.y[e] - theta @ self.x[e] < 0
-        return (below - self.tau)[:, None] * self.x[e]
+        x, _, eta = self.row(theta, e)
+        return ((self.y[e] - eta < 0) - self.tau)[:, None] * x
 
     def loss(self, theta, s, t):
         return float(optim.pinball(self.y[s:t] - self.x[s:t] @ theta, self.tau).sum())

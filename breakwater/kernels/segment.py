@@ -106,6 +106,16 @@ class Steps:
         k = np.arange(count)
         if self.spec.epochs is None:
             self._one(k, e, np.zeros((count, self.family.p)))
+        elif self.spec.line_search == (1.0,) and not isinstance(self.family, families.Custom):
+            moving = self._one(k, e, np.zeros((count, self.family.p)))
+            left = np.array([int(self.spec.epochs(int(m))) for m in e + 1 - self.start[:count]], int)
+            # candidates walk their own rows side by side
+            for _ in range(int(left.max(initial=0))):
+                some = np.flatnonzero(left > 0)
+                for r in range(int((e + 1 - self.start[some]).max())):
+                    some = some[self.start[some] + r <= e]
+                    moving[some] = self._one(some, self.start[some] + r, moving[some])
+                left -= 1
         else:
             for i in k:
                 one, moving = np.array([i]), np.zeros((1, self.family.p))

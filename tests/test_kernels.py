@@ -96,7 +96,6 @@ def test_kcp():
     assert run(z, "kcp", seed=1).change_points.tolist() == [200]
 
 
-@pytest.mark.slow
 def test_garch():
     r, n = RStream(1), 120
     h, x = np.ones(n + 1), np.zeros(n + 1)
@@ -146,7 +145,6 @@ def test_custom_gradient():
     assert len(got.change_points) == 2 and abs(got.change_points - [418, 726]).max() <= 2
 
 
-@pytest.mark.slow
 def test_lasso():
     r, n, p = RStream(1), 480, 50
     x = r.norms(n * p).reshape(n, p)

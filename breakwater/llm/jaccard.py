@@ -52,8 +52,8 @@ from pyspark.sql import functions as F
 from breakwater.llm.arrays import mix, pieces, shingles, words
 from breakwater.llm.shared import components, saved, small
 
-#: Sets that a tile's chunk holds about.
-TILE = 4000
+#: Sets, and shingles of them together, that a tile's chunk holds about.
+TILE, ELEMENTS = 4000, 1 << 21
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.25
 #: Keys of more sets than this are common.
@@ -286,17 +286,20 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
 def _tiles(got: DataFrame, sized: DataFrame, measure: Measure) -> DataFrame:
     """(a, b): links between digests of (digest, block, elements), found tile by tile; `sized` has the block and size of every set.
 
-    A block of more than `TILE` sets is one tile for every two neighbouring
-    bands of sizes, of which a pair that may link has at most one step between
-    it; two bands of more than `TILE` sets together are dealt by hash into chunks that meet in pairs.
+    A block of more than `TILE` sets, or `ELEMENTS` shingles, is one tile for every
+    two neighbouring bands of sizes, of which a pair that may link has at most one
+    step between it; two bands of more than that together are dealt by hash into
+    chunks that meet in pairs.
     """
     band = lambda size: (F.floor(F.log(F.greatest(size, F.lit(1))) / math.log(100 / measure.percent * 1.0000001)) if measure.percent < 100 else size).cast("long")
-    blocks = sized.groupBy("block").agg(F.count(F.lit(1)).alias("all"))
-    bands = sized.groupBy("block", band(F.col("size")).alias("low")).agg(F.count(F.lit(1)).alias("n"))
+    # how many chunks a set takes of a tile
+    share = F.sum(F.greatest(F.lit(1 / TILE), F.col("size") / ELEMENTS))
+    blocks = sized.groupBy("block").agg(share.alias("all"))
+    bands = sized.groupBy("block", band(F.col("size")).alias("low")).agg(share.alias("n"))
     above = bands.select("block", (F.col("low") - 1).alias("low"), F.col("n").alias("more"))
     # pairs of bands whose lower one is empty add nothing
-    families = bands.join(above, ["block", "low"], "left").join(blocks, "block").where(F.col("all") > TILE)
-    families = saved(families.select("block", "low", F.ceil((F.col("n") + F.coalesce("more", F.lit(0))) / TILE).cast("int").alias("chunks")))
+    families = bands.join(above, ["block", "low"], "left").join(blocks, "block").where(F.col("all") > 1)
+    families = saved(families.select("block", "low", F.ceil(F.col("n") + F.coalesce("more", F.lit(0.0)) - 1e-9).cast("int").alias("chunks")))
     count = families.count()
     large = families.select("block").distinct()
     zero = F.lit(0)

@@ -70,8 +70,10 @@ def test_near_duplicates(spark, width, similarity, percent):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, width, percent)
 
 
-def test_near_duplicates_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE", 4)
+@pytest.mark.parametrize("tile,elements", [(4, 1 << 21), (4000, 300)])
+def test_near_duplicates_in_tiles(spark, monkeypatch, tile, elements):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "ELEMENTS", elements)
     monkeypatch.setattr(jaccard, "COMMON", 3)
     rows = corpus(9)
     got = jaccard.near_duplicates(make(spark, rows), "0.8", 3).collect()

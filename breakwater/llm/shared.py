@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,25 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: Python kernels take batches of about so many bytes, whatever the number of rows.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Arrow batches have at most `BATCH_BYTES` (or what the session allows, if that is less); the setting is put back."""
+    was = spark.conf.get(_BATCH)
+    if was.rstrip("b").isdigit() and int(was.rstrip("b")) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, was)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the folder in spark.checkpoint.dir and read back, so that a lost executor costs no earlier stage.
 
@@ -31,7 +52,8 @@ def saved(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

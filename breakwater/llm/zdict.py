@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from breakwater.llm.arrays import _LOWER, _SPACE, pieces, prefix_hashes, window_hashes
+from breakwater.llm.shared import small_batches
 
 #: Bounds of the labelled sample that a classifier is fitted on.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 12_000
@@ -81,7 +82,8 @@ def fitted(some: DataFrame, learn: Callable[[list[bytes], np.ndarray, float], Cl
         model = learn([r[3].encode() for r in rows], y, odds)
         yield pa.RecordBatch.from_arrays([pa.array([model.yes], pa.binary()), pa.array([model.no], pa.binary()), pa.array([model.weights.tolist()])], ["yes", "no", "weights"])
 
-    got = some.coalesce(1).mapInArrow(run, "yes binary, no binary, weights array<double>").first()
+    with small_batches(some.sparkSession):
+        got = some.coalesce(1).mapInArrow(run, "yes binary, no binary, weights array<double>").first()
     if got is None:  # an empty sample may have no partition
         none = learn([], np.zeros(0, int), 0.0)
         return none.yes, none.no, none.weights

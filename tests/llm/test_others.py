@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,6 +304,23 @@ def test_toxicity_needs_both_dictionaries(spark):
     assert gap(toxicity.Model(model.yes, model.yes, model.weights)) < 0.2
 
 
+def test_small_batches(spark):
+    """Batches are small within a write, and the session's setting is as before after it, also after an error."""
+    key = shared._BATCH
+    was = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    texts = spark.range(400, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    assert shared.saved(texts.mapInArrow(sizes, "n long")).agg(F.max("n")).first()[0] < 200
+    assert spark.conf.get(key) == was
+    with pytest.raises(ValueError), shared.small_batches(spark):
+        raise ValueError
+    assert spark.conf.get(key) == was
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(30)] + [(100, r.randrange(101, 140)) for _ in range(30)] + [(200, 200), (None, 3), (5, None)]

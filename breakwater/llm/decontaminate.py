@@ -81,8 +81,8 @@ def _windows(df: DataFrame, width: int, text: str) -> DataFrame:
     df = df.withColumn("long", F.when((last >= 0) & (F.size("begin") <= F.size("h")), long))
     runs = F.transform("long", lambda c: F.struct(F.get(begin, c).alias("p"), F.xxhash64(F.transform(F.slice(begin, c + 1, width), lambda i: F.get(h, i))).alias("w")))
     every = F.when(F.size(F.coalesce("long", F.array().cast("array<int>"))) > 0, F.concat(plain, runs)).otherwise(plain)
-    # a character for each word, so that a text without windows of placeholders is told by one search
-    some = F.instr(F.array_join(F.transform("h", lambda x: F.when(x.isin(*_slots()), "1").otherwise("0")), ""), "1" * width) > 0
+    # a character for each word, so that a text without windows of placeholders is told by one search, if it has any
+    some = F.arrays_overlap("h", F.array(*_slots())) & (F.instr(F.array_join(F.transform("h", lambda x: F.when(x.isin(*_slots()), "1").otherwise("0")), ""), "1" * width) > 0)
     full = lambda i: F.forall(F.slice(h, i + 1, width), lambda x: x.isin(*_slots()))
     # by way of an array, so that the words are split once
     written = F.flatten(F.transform(F.array(raw_words(F.lower(F.col(text)))), lambda raw: F.transform(F.filter(F.sequence(F.lit(0), n), full), lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit("written"), F.slice(raw, i + 1, width)).alias("w")))))

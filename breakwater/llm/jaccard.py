@@ -14,7 +14,8 @@ shingles, which has three uses.
    on more than 2m parts, so a hash of each part's content is a key that finds
    every pair. A set belongs to the band of its own size and to any band below
    that its possible partners can have. Parts without shingles, and keys that
-   more than `COMMON` sets have, are weak: they serve only sets with more than
+   more than `COMMON` sets have, are weak (keys of sets that meet others in no more
+   than m of their keys are not counted): they serve only sets with more than
    m of either kind. A pair agrees on more than 2m parts, so if all are weak,
    both sets have more than m of one kind and keep those keys; else a key that
    is not weak finds the pair. A passage that many texts share thus connects
@@ -53,7 +54,7 @@ from breakwater.llm.arrays import mix, pieces, shingles, words
 from breakwater.llm.shared import components, saved, small
 
 #: Sets, and shingles of them together, that a tile's chunk holds about.
-TILE, ELEMENTS = 4000, 1 << 21
+TILE, ELEMENTS = 2000, 1 << 20
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.25
 #: Keys of more sets than this are common.
@@ -254,11 +255,16 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     going_texts = named.join(small(going, going.count()), F.col("doc_id").eqNullSafe(F.col("id")))
     keys = saved(_part_keys(going_texts, measure))
     met = keys.groupBy("key").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = saved(keys.join(met, "key"))
-    rare = met.where(F.col("n") <= COMMON).select("a", F.col("digest").alias("b"))
-    band = F.col("key").bitwiseAND((1 << _BAND_BITS) - 1)
+    band = F.col("key").bitwiseAND((1 << _BAND_BITS) - 1).cast("int").alias("band")
     spare = F.array(*(F.lit(measure.parts(b)[1]) for b in range(len(measure.edges) - 1)))
-    common = met.where(F.col("n") > COMMON).select("key", "digest", band.cast("int").alias("band"))
+    met = saved(keys.join(met, "key").select("key", "digest", band))
+    # a set with a partner meets others in more than m of its keys in a band; keys of such sets are looked at again
+    enough = met.groupBy("digest", "band").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") > F.get(spare, F.col("band"))).select("digest", "band")
+    met = saved(met.join(enough, ["digest", "band"]))
+    again = met.groupBy("key").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = saved(met.join(again, "key"))
+    rare = met.where(F.col("n") <= COMMON).select("a", F.col("digest").alias("b"))
+    common = met.where(F.col("n") > COMMON).select("key", "digest", "band")
     heavy = common.groupBy("digest", "band").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > F.get(spare, F.col("band")))
     # keys are nodes, too: a set hangs on its least common key, which hangs on the set's others; near copies share the least one
     heavy = saved(heavy.select("digest", F.array_min("keys").alias("least"), "keys"))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breakwater.llm.arrays import pieces, prefix_hashes, span_hashes, text_bytes, window_hashes
+from breakwater.llm.arrays import cut, pieces, prefix_hashes, span_hashes, text_bytes, window_hashes
 from breakwater.llm.shared import parts, saved, small
 
 LENGTH, SEED = 400, 32
@@ -259,11 +259,18 @@ def _counted(fetched: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                h = window_hashes(prefix_hashes(np.frombuffer(batch.column("bytes")[row].as_py(), np.uint8)), length)
-                take = pa.array(np.full(len(h), row))
-                lo = batch.column("lo")[row].as_py()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "part", "seed", "judged")), pa.array(np.arange(lo, lo + len(h), dtype=np.int32)), pa.array(h.view(np.int64))], ["doc_id", "part", "seed", "judged", "a", "h"])
+            column = batch.column("bytes")
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            for row, _, data, bounds in cut(raw, ends - ends[0], 1 << 16):
+                sums = prefix_hashes(data)
+                at = np.arange(len(data) - length + 1)
+                rows = np.searchsorted(bounds, at, "right") - 1
+                good = at + length <= bounds[rows + 1]
+                at, rows = at[good], rows[good]
+                take = pa.array(rows + row)
+                lo = batch.column("lo").take(take).to_numpy() + (at - bounds[rows])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "part", "seed", "judged")), pa.array(lo.astype(np.int32)), pa.array(span_hashes(sums, at, at + length).view(np.int64))], ["doc_id", "part", "seed", "judged", "a", "h"])
 
     every = saved(fetched.select("doc_id", "part", "seed", "lo", "judged", "bytes").mapInArrow(run, f"doc_id {kind}, part long, seed long, judged boolean, a int, h long"))
     twice = every.groupBy("seed", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "h")

@@ -7,7 +7,8 @@ many rows a batch holds; one text longer than that is a piece of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,27 @@ _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker is kept for later stages, and so would its largest size be."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def releasing(run: Callable) -> Callable:
+    """A kernel over Arrow batches that gives its memory back at its end."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return kernel
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = h ^ (h >> np.uint64(31))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from breakwater.llm.arrays import PIECE, cut, pieces, prefix_hashes, span_hashes
+from breakwater.llm.arrays import PIECE, cut, pieces, prefix_hashes, releasing, span_hashes
 
 #: Documents are taken in blocks of so many bytes.
 BLOCK = 4 << 20
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
                 out = block.encode(merges, data, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(row, to - row) for i in range(len(names))] + [out], [*names, ids])
 
-    return docs.select(*names, text).mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.BinaryType())]))
+    return docs.select(*names, text).mapInArrow(releasing(run), T.StructType([*kept, T.StructField(ids, T.BinaryType())]))
 
 
 class Block:
@@ -337,4 +337,4 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "token_ids", out_name: str
                 texts = pa.Array.from_buffers(pa.binary(), to - row, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(out.tobytes())])
                 yield pa.RecordBatch.from_arrays([*batch.slice(row, to - row).columns, texts], [*names, out_name])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_name, T.BinaryType())]))
+    return encoded.mapInArrow(releasing(run), T.StructType([*encoded.schema.fields, T.StructField(out_name, T.BinaryType())]))

@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.llm.arrays import mix, pieces, shingles, words
+from breakwater.llm.arrays import mix, pieces, release, releasing, shingles, words
 from breakwater.llm.shared import components, saved, small
 
 #: Sets, and shingles of them together, that a tile's chunk holds about.
@@ -164,7 +164,7 @@ def signatures(docs: DataFrame, measure: Measure, text: str, id_: str) -> DataFr
                     ["doc_id", "n_shingles", "digest", "probes"],
                 )
 
-    return docs.select(id_, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest long, probes array<long>")
+    return docs.select(id_, text).mapInArrow(releasing(run), f"doc_id {kind}, n_shingles long, digest long, probes array<long>")
 
 
 def _part_keys(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -182,7 +182,7 @@ def _part_keys(docs: DataFrame, measure: Measure) -> DataFrame:
                 for k in range(0, len(rows), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(digest[rows[k : k + (1 << 16)]]), pa.array(keys[k : k + (1 << 16)].view(np.int64))], ["digest", "key"])
 
-    return docs.select("digest", "text").mapInArrow(run, "digest long, key long")
+    return docs.select("digest", "text").mapInArrow(releasing(run), "digest long, key long")
 
 
 def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -200,7 +200,7 @@ def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([own, batch.column(1).slice(row, to - row), raw], ["digest", "block", "elements"])
                 yield out.filter(pc.equal(own, pa.array(digest)))  # another text of the same doc_id is another set
 
-    return docs.select("digest", "block", "text").mapInArrow(run, "digest long, block long, elements binary")
+    return docs.select("digest", "block", "text").mapInArrow(releasing(run), "digest long, block long, elements binary")
 
 
 def links_in(sets: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
@@ -321,6 +321,9 @@ def _tiles(got: DataFrame, sized: DataFrame, measure: Measure) -> DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in frame["elements"]]
         ids = frame["digest"].tolist()
         links = links_in(sets, measure) if len(sets) > 1 else []
+        if len(sets) > 500:
+            del sets, frame
+            release()
         return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
     return one.unionByName(many).groupBy("block", "low", "i", "j").applyInPandas(run, "a long, b long")

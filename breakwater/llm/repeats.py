@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breakwater.llm.arrays import cut, pieces, prefix_hashes, span_hashes, text_bytes, window_hashes
+from breakwater.llm.arrays import cut, pieces, prefix_hashes, releasing, span_hashes, text_bytes, window_hashes
 from breakwater.llm.shared import parts, saved, small
 
 LENGTH, SEED = 400, 32
@@ -194,7 +194,7 @@ def _anchored(docs: DataFrame, length: int, seed: int) -> DataFrame:
                         ["doc_id", "part", "lo", "at", "one", "hi", "seed", "stretch", "n"],
                     )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, part long, lo int, at int, one int, hi int, seed long, stretch long, n long")
+    return docs.mapInArrow(releasing(run), f"doc_id {kind}, part long, lo int, at int, one int, hi int, seed long, stretch long, n long")
 
 
 def _verdicts(entries: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _fetched(asked: DataFrame, length: int) -> DataFrame:
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), *(flat.field(k) for k in names[2:7]), got], names)
 
-    return asked.mapInArrow(run, f"doc_id {kind}, part long, seed long, hot boolean, lo int, at int, judged boolean, bytes binary")
+    return asked.mapInArrow(releasing(run), f"doc_id {kind}, part long, seed long, hot boolean, lo int, at int, judged boolean, bytes binary")
 
 
 def _indexed(fetched: DataFrame, length: int, seed: int, shards: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _indexed(fetched: DataFrame, length: int, seed: int, shards: int) -> DataFra
             at, take = batch.column("at").to_numpy()[found], pa.array(found)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at - left[found]), pa.array(at + right[found])], ["doc_id", "part", "a", "b"])
 
-    return fetched.select("doc_id", "part", "seed", "lo", "at", "judged", "bytes").repartition(shards, "seed").mapInArrow(run, f"doc_id {kind}, part long, a int, b int")
+    return fetched.select("doc_id", "part", "seed", "lo", "at", "judged", "bytes").repartition(shards, "seed").mapInArrow(releasing(run), f"doc_id {kind}, part long, a int, b int")
 
 
 def _counted(fetched: DataFrame, length: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _counted(fetched: DataFrame, length: int) -> DataFrame:
                 lo = batch.column("lo").take(take).to_numpy() + (at - bounds[rows])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "part", "seed", "judged")), pa.array(lo.astype(np.int32)), pa.array(span_hashes(sums, at, at + length).view(np.int64))], ["doc_id", "part", "seed", "judged", "a", "h"])
 
-    every = saved(fetched.select("doc_id", "part", "seed", "lo", "judged", "bytes").mapInArrow(run, f"doc_id {kind}, part long, seed long, judged boolean, a int, h long"))
+    every = saved(fetched.select("doc_id", "part", "seed", "lo", "judged", "bytes").mapInArrow(releasing(run), f"doc_id {kind}, part long, seed long, judged boolean, a int, h long"))
     twice = every.groupBy("seed", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "h")
     return every.where("judged").join(twice, ["seed", "h"]).select("doc_id", "part", "a", (F.col("a") + length).alias("b"))
 
@@ -345,4 +345,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", len
                 kept = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[~gone].tobytes())])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), pa.array(removed), pa.array(total(begins)), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return untouched.union(touched.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
+    return untouched.union(touched.mapInArrow(releasing(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from breakwater.llm.arrays import _LOWER, _SPACE, pieces, prefix_hashes, window_hashes
+from breakwater.llm.arrays import _LOWER, _SPACE, pieces, prefix_hashes, releasing, window_hashes
 from breakwater.llm.shared import small_batches
 
 #: Bounds of the labelled sample that a classifier is fitted on.
@@ -83,7 +83,7 @@ def fitted(some: DataFrame, learn: Callable[[list[bytes], np.ndarray, float], Cl
         yield pa.RecordBatch.from_arrays([pa.array([model.yes], pa.binary()), pa.array([model.no], pa.binary()), pa.array([model.weights.tolist()])], ["yes", "no", "weights"])
 
     with small_batches(some.sparkSession):
-        got = some.coalesce(1).mapInArrow(run, "yes binary, no binary, weights array<double>").first()
+        got = some.coalesce(1).mapInArrow(releasing(run), "yes binary, no binary, weights array<double>").first()
     if got is None:  # an empty sample may have no partition
         none = learn([], np.zeros(0, int), 0.0)
         return none.yes, none.no, none.weights
@@ -332,4 +332,4 @@ def score(docs: DataFrame, name: str, scorer: Callable[[np.ndarray, np.ndarray],
                 out = pa.array(np.asarray(scorer(data, bounds), float), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(row, to - row) for i in range(len(names))] + [out], [*names, name])
 
-    return docs.select(*names, text).mapInArrow(run, T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(name, T.DoubleType())]))
+    return docs.select(*names, text).mapInArrow(releasing(run), T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(name, T.DoubleType())]))

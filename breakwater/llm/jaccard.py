@@ -2,7 +2,7 @@
 
 A document is the set of its distinct shingles. Two sets of sizes a and b can
 reach the similarity s only if they differ in at most d = (a+b)(1-s)/(1+s)
-shingles, which has three uses.
+shingles, which has several uses.
 
 0. Probes. Of a set of n shingles at most n - ceil(s n) are missing in a partner.
    So of its n - ceil(s n) + 1 + n // `EXTRA` least shingles by hash, more than
@@ -13,18 +13,23 @@ shingles, which has three uses.
    its hash. With k = d + 1 + 2m, sets that differ in at most d shingles agree
    on more than 2m parts, so a hash of each part's content is a key that finds
    every pair. A set belongs to the band of its own size and to any band below
-   that its possible partners can have. Parts without shingles, and keys that
-   more than `COMMON` sets have, are weak (keys of sets that meet others in no more
-   than m of their keys are not counted): they serve only sets with more than
-   m of either kind. A pair agrees on more than 2m parts, so if all are weak,
-   both sets have more than m of one kind and keep those keys; else a key that
-   is not weak finds the pair. A passage that many texts share thus connects
-   nothing, while a large group of near copies still meets in its own keys.
-2. Tiles. Sets of equal content are one. Sets that share a key are connected
-   to the key's least set, or through their least common key (as many rows as keys,
-   never a group's pairs), and the components of those links are blocks. A block of more than `TILE` sets
+   that its possible partners can have. Parts without shingles have keys only
+   in sets with more than m of them. So a set of e empty parts needs 2m + 1 - e
+   keys in common with a partner (m + 1 if its empty parts have keys), and a
+   pair as many as the needier of the two. Sets that meet others in fewer keys
+   of a band than they need leave it.
+2. Agreement. Keys of at most `COMMON` sets are rare, the others common, and h is
+   a set's need times `HEAVY`. A pair shares fewer than h common keys, or at least
+   h of them (h of the needier set). If fewer, it shares the rest of its need in rare keys: pairs
+   are counted over these, of at most `COMMON` sets each, and enough of them
+   make a link. If more, then the first common key that both have, in one order by
+   number of sets, is among the first c - h + 1 of the c common keys of
+   either: sets hang on these (as many rows as keys, never a common group's pairs).
+   A passage that many texts share thus connects nothing, while a large group of
+   near copies still meets in its own keys.
+3. Tiles. Sets of equal content are one. The components of those links are blocks. A block of more than `TILE` sets
    is dealt into tiles: neighbouring size bands, where these are large pairs of their chunks.
-3. Bounds. In a tile each set has a bitmap in which every shingle toggles one
+4. Bounds. In a tile each set has a bitmap in which every shingle toggles one
    bit. The bits in which two bitmaps differ are at most the shingles in
    which the sets differ: more than d, and the pair cannot link. What is left,
    and is not connected yet, is decided by the intersection of sorted arrays.
@@ -47,7 +52,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breakwater.llm.arrays import mix, pieces, release, releasing, shingles, words
@@ -57,8 +62,10 @@ from breakwater.llm.shared import components, saved, small
 TILE, ELEMENTS = 2000, 1 << 20
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.25
-#: Keys of more sets than this are common.
+#: Keys of more sets than this are common; the pairs that meet in the others are counted.
 COMMON = 40
+#: Common keys, in proportion to what it needs, from which on a set hangs on them.
+HEAVY = Fraction(9, 10)
 #: One shingle in so many is probed beyond the necessary ones; a passage of less than about this share finds no partner.
 EXTRA = 24
 #: The low bits of a key that tell its band.
@@ -102,9 +109,9 @@ class Measure:
         return d + 1 + 2 * m, m
 
 
-def _keys(measure: Measure, rows: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every part of every band that the sets belong to."""
-    out_rows, out_keys = [], []
+def _keys(measure: Measure, rows: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and key of every part of every band that the sets belong to, and how many keys of that band a partner shares at least."""
+    out_rows, out_keys, out_need = [], [], []
     low = measure.band(-(-sizes * measure.percent // 100))
     high = measure.band(np.maximum(sizes, 1))
     begin = np.concatenate(([0], np.cumsum(sizes)))
@@ -124,16 +131,19 @@ def _keys(measure: Measure, rows: np.ndarray, h: np.ndarray, sizes: np.ndarray)
         slot = slot[first]
         own, part = slot // k, (slot % k).astype(np.uint64)
         empty = k - np.bincount(own, minlength=len(of))
+        need = np.where(empty > spare, spare + 1, 2 * spare + 1 - empty).astype(np.int32)
         salt, low_bits = np.uint64(band) << np.uint64(32), np.uint64((1 << _BAND_BITS) - 1)
         out_rows.append(of[own])
         out_keys.append(mix(sums ^ mix(part + salt)) & ~low_bits | np.uint64(band))
+        out_need.append(need[own])
         for j in np.flatnonzero(empty > spare).tolist():
             none = np.setdiff1d(np.arange(k, dtype=np.uint64), part[own == j])
             out_rows.append(np.full(len(none), of[j]))
             out_keys.append(mix(mix(none + salt) + np.uint64(1)) & ~low_bits | np.uint64(band))
+            out_need.append(np.full(len(none), need[j]))
     if not out_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_rows), np.concatenate(out_keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return np.concatenate(out_rows), np.concatenate(out_keys), np.concatenate(out_need)
 
 
 def _digests(rows: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +178,7 @@ def signatures(docs: DataFrame, measure: Measure, text: str, id_: str) -> DataFr
 
 
 def _part_keys(docs: DataFrame, measure: Measure) -> DataFrame:
-    """(digest, key) of (digest, text): the keys of every set's parts."""
+    """(digest, key, need) of (digest, text): the keys of every set's parts, and the number that a partner shares at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,13 +186,14 @@ def _part_keys(docs: DataFrame, measure: Measure) -> DataFrame:
                 at, _, _, h = words(data, bounds)
                 at, h = shingles(at, h, to - row, measure.width)
                 sizes, digest = _digests(at, h, to - row)
-                rows, keys = _keys(measure, at, h, sizes)
+                rows, keys, need = _keys(measure, at, h, sizes)
                 good = digest[rows] == batch.column(0).slice(row, to - row).to_numpy()[rows]  # another text of the same doc_id is another set
-                rows, keys = rows[good], keys[good]
+                rows, keys, need = rows[good], keys[good], need[good]
                 for k in range(0, len(rows), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(digest[rows[k : k + (1 << 16)]]), pa.array(keys[k : k + (1 << 16)].view(np.int64))], ["digest", "key"])
+                    cut = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[rows[cut]]), pa.array(keys[cut].view(np.int64)), pa.array(need[cut], pa.int32())], ["digest", "key", "need"])
 
-    return docs.select("digest", "text").mapInArrow(releasing(run), "digest long, key long")
+    return docs.select("digest", "text").mapInArrow(releasing(run), "digest long, key long, need int")
 
 
 def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -254,22 +265,14 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     going = saved(ones.join(hits, "digest").where(F.col("hits") >= least).select("digest", F.col("doc_id").alias("id")))
     going_texts = named.join(small(going, going.count()), F.col("doc_id").eqNullSafe(F.col("id")))
     keys = saved(_part_keys(going_texts, measure))
-    met = keys.groupBy("key").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     band = F.col("key").bitwiseAND((1 << _BAND_BITS) - 1).cast("int").alias("band")
-    spare = F.array(*(F.lit(measure.parts(b)[1]) for b in range(len(measure.edges) - 1)))
-    met = saved(keys.join(met, "key").select("key", "digest", band))
-    # a set with a partner meets others in more than m of its keys in a band; keys of such sets are looked at again
-    enough = met.groupBy("digest", "band").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") > F.get(spare, F.col("band"))).select("digest", "band")
-    met = saved(met.join(enough, ["digest", "band"]))
-    again = met.groupBy("key").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = saved(met.join(again, "key"))
-    rare = met.where(F.col("n") <= COMMON).select("a", F.col("digest").alias("b"))
-    common = met.where(F.col("n") > COMMON).select("key", "digest", "band")
-    heavy = common.groupBy("digest", "band").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > F.get(spare, F.col("band")))
-    # keys are nodes, too: a set hangs on its least common key, which hangs on the set's others; near copies share the least one
-    heavy = saved(heavy.select("digest", F.array_min("keys").alias("least"), "keys"))
-    hung = heavy.select(F.col("least").alias("a"), F.col("digest").alias("b"))
-    pairs = rare.union(hung).union(heavy.select(F.col("least").alias("a"), F.explode("keys").alias("b"))).where("a <> b").distinct()
+    own = Window.partitionBy("digest", "band")
+    met = keys.join(met, "key").select("key", "digest", band, "need")
+    # what a set that left had in common is counted no more
+    met = saved(met.withColumn("met", F.count(F.lit(1)).over(own)).where("met >= need").drop("met"))
+    again = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = _agreeing(saved(met.join(again, "key")))
     blocks = components(pairs).select(F.col("node").alias("digest"), F.col("component").alias("block"))
 
     # the texts of the sets in blocks: one document of each
@@ -289,6 +292,32 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _agreeing(met: DataFrame) -> DataFrame:
+    """(a, b): links whose components hold every pair that may be similar, of (key, digest, band, need, n); a may be a key.
+
+    n is the number of sets of a key. Repeated rows only add links.
+    """
+    own = Window.partitionBy("digest", "band")
+    usual = F.col("n") > COMMON
+    heavy = lambda need: F.ceil(need * HEAVY.numerator / HEAVY.denominator).cast("int")
+    first = own.orderBy(F.col("n") <= COMMON, "n", "key")
+    met = met.withColumn("all", F.count(F.lit(1)).over(own)).withColumn("common", F.count(F.when(usual, 1)).over(own))
+    met = met.withColumn("place", F.row_number().over(first)).withColumn("least", F.first("key").over(first))
+    hangs = usual & (F.col("place") <= F.col("common") - heavy(F.col("need")) + 1)
+    counts = ~usual & (F.col("all") - F.col("common") >= F.col("need") - F.least(heavy(F.col("need")) - 1, "common"))
+    met = saved(met.where("all >= need").where(hangs | counts).select("key", "digest", "band", "need", F.col("common").cast("int").alias("common"), "least", usual.alias("hangs")))
+    # keys are nodes, too: a set hangs on its first key, which hangs on the set's others; near copies share the first one
+    hung = met.where("hangs").select(F.col("least").alias("a"), F.col("key").alias("b"), "digest")
+    hung = hung.select("a", "b").where("a <> b").union(hung.select("a", "digest"))
+    rare = met.where("not hangs").select("key", "digest", "band", "need", "common")
+    other = rare.select("key", F.col("digest").alias("b"), F.col("need").alias("need_b"), F.col("common").alias("common_b"))
+    need = F.greatest("need", "need_b")
+    least = F.greatest(F.lit(1), need - F.least(heavy(need) - 1, "common", "common_b"))
+    both = rare.join(other, "key").where("digest < b").select(F.col("digest").alias("a"), "b", "band", least.alias("least"))
+    agreed = both.groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least")).where("shared >= least")
+    return agreed.select("a", "b").union(hung).distinct()
+
+
 def _tiles(got: DataFrame, sized: DataFrame, measure: Measure) -> DataFrame:
     """(a, b): links between digests of (digest, block, elements), found tile by tile; `sized` has the block and size of every set.
 

@@ -80,6 +80,25 @@ def test_near_duplicates_in_tiles(spark, monkeypatch, tile, elements):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 3, 80)
 
 
+@pytest.mark.parametrize("common", [40])
+def test_near_duplicates_among_texts_of_shared_passages(spark, monkeypatch, common):
+    """Texts put together from the same passages are no block, and near copies among them are all found."""
+    r = random.Random(11)
+    passages = [" ".join(f"p{i}w{j}" for j in range(60)) for i in range(24)]
+    rows = [(i, " ".join([*r.sample(passages, 4), prose(r, 10)])) for i in range(150)]
+    for i in range(30):
+        w = rows[i][1].split()
+        for _ in range(r.randint(1, 8)):
+            w[r.randrange(len(w))] = "changed"
+        rows.append((1000 + i, " ".join(w)))
+    sizes, tiles = [], jaccard._tiles
+    monkeypatch.setattr(jaccard, "_tiles", lambda got, sized, measure: sizes.extend(x["count"] for x in sized.groupBy("block").count().collect()) or tiles(got, sized, measure))
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    got = jaccard.near_duplicates(make(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows, 5, 80)
+    assert max(sizes) <= 10
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(make(spark, [])).count() == 0
 

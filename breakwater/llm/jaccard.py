@@ -27,12 +27,15 @@ shingles, which has several uses.
    either: sets hang on these (as many rows as keys, never a common group's pairs).
    A passage that many texts share thus connects nothing, while a large group of
    near copies still meets in its own keys.
-3. Tiles. Sets of equal content are one. The components of those links are blocks. A block of more than `TILE` sets
-   is dealt into tiles: neighbouring size bands, where these are large pairs of their chunks.
-4. Bounds. In a tile each set has a bitmap in which every shingle toggles one
-   bit. The bits in which two bitmaps differ are at most the shingles in
-   which the sets differ: more than d, and the pair cannot link. What is left,
-   and is not connected yet, is decided by the intersection of sorted arrays.
+3. Bounds. Sets of equal content are one. The components of those links are
+   blocks. A set has a bitmap in which every shingle toggles one bit. The bits in
+   which two bitmaps differ are at most the shingles in which the sets differ:
+   more than d, and the pair cannot link. Blocks of more than `TILE` sets are first
+   split into the components of what the bitmaps alone, of an eighth of a
+   set's bytes or less, leave possible.
+4. Tiles. A block that is still larger is dealt into tiles: neighbouring size
+   bands, where these are large pairs of their chunks. What the bitmaps leave in a
+   tile, and is not connected yet, is decided by the intersection of sorted arrays.
 
 Linked sets' components are then the documents' classes.
 
@@ -56,10 +59,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breakwater.llm.arrays import mix, pieces, release, releasing, shingles, words
-from breakwater.llm.shared import components, saved, small
+from breakwater.llm.shared import BATCH_BYTES, components, saved, small
 
 #: Sets, and shingles of them together, that a tile's chunk holds about.
 TILE, ELEMENTS = 2000, 1 << 20
+#: The same of bitmaps, which from a similarity of 0.7 on have less than a byte a shingle.
+SKETCHES, SKETCH_BYTES = 16_000, 16 << 20
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.25
 #: Keys of more sets than this are common; the pairs that meet in the others are counted.
@@ -95,6 +100,10 @@ class Measure:
     def band(self, size):
         return np.searchsorted(self.edges, size, "right") - 1
 
+    def bits(self, size: int) -> int:
+        """Bits of a parity bitmap that tell sets of up to `size` shingles apart."""
+        return 1 << max(9, int(4 * self.apart(2 * size)).bit_length())
+
     def parts(self, band: int) -> tuple[int, int]:
         """k and m of a band: its smaller sets are below its upper edge, their partners below that over the similarity."""
         upper = int(self.edges[band + 1]) - 1
@@ -214,18 +223,33 @@ def _sets(docs: DataFrame, measure: Measure) -> DataFrame:
     return docs.select("digest", "block", "text").mapInArrow(releasing(run), "digest long, block long, elements binary")
 
 
-def links_in(sets: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
-    """Links that connect the sets (sorted arrays) as all links would: at most one fewer than there are sets."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    bits = 1 << max(9, int(4 * measure.apart(2 * int(sizes[-1]))).bit_length())
-    maps = np.zeros((len(order), bits // 64), np.uint64)
-    for row, i in enumerate(order):
-        at = (sets[i] >> np.uint64(11)) & np.uint64(bits - 1)
-        np.bitwise_xor.at(maps[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    root = np.arange(len(order))
+def _sketches(docs: DataFrame, measure: Measure) -> DataFrame:
+    """(digest, block, size, bits) of (digest, block, text): bits are the set's parity bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, to, data, bounds in pieces(batch.column(2)):
+                at, _, _, h = words(data, bounds)
+                at, h = shingles(at, h, to - row, measure.width)
+                sizes, digest = _digests(at, h, to - row)
+                own = batch.column(0).slice(row, to - row)
+                maps = [_bitmap(x, measure.bits(len(x) * 100 // measure.percent * 100 // measure.percent + 2)).tobytes() for x in np.split(h, np.cumsum(sizes)[:-1])]
+                out = pa.RecordBatch.from_arrays([own, batch.column(1).slice(row, to - row), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], ["digest", "block", "size", "bits"])
+                yield out.filter(pc.equal(own, pa.array(digest)))  # another text of the same doc_id is another set
+
+    return docs.select("digest", "block", "text").mapInArrow(releasing(run), "digest long, block long, size long, bits binary")
+
+
+def _bitmap(elements: np.ndarray, bits: int) -> np.ndarray:
+    """Every element toggles one of the bits."""
+    return np.packbits(np.bincount((elements >> np.uint64(11) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def _joined(maps: np.ndarray, sizes: np.ndarray, measure: Measure, decide) -> list[tuple[int, int]]:
+    """Pairs that connect the rows, which go by size, as all those within the bitmaps' bound would that `decide` accepts."""
+    root = np.arange(len(sizes))
     out = []
-    for i in range(len(order) - 1):
+    for i in range(len(sizes) - 1):
         to = int(np.searchsorted(sizes, sizes[i] * 100 // measure.percent, "right"))
         for low in range(i + 1, to, 4096):
             rest = np.arange(low, min(to, low + 4096))
@@ -234,15 +258,34 @@ def links_in(sets: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
                 continue
             differ = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1)
             for j in rest[differ <= measure.apart(sizes[rest] + sizes[i])].tolist():
-                if root[j] == root[i]:
-                    continue
-                both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-                if measure.linked(both, int(sizes[i]), int(sizes[j])):
+                if root[j] != root[i] and decide(i, j):
                     root[root == root[j]] = root[i]
-                    out.append((order[i], order[j]))
+                    out.append((i, j))
     return out
 
 
+def links_in(sets: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
+    """Links that connect the sets (sorted arrays) as all links would: at most one fewer than there are sets."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    bits = measure.bits(int(sizes[-1]))
+    maps = np.stack([_bitmap(sets[i], bits) for i in order])
+
+    def decide(i: int, j: int) -> bool:
+        both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
+        return measure.linked(both, int(sizes[i]), int(sizes[j]))
+
+    return [(order[i], order[j]) for i, j in _joined(maps, sizes, measure, decide)]
+
+
+def near_maps(maps: list[bytes], sizes: np.ndarray, measure: Measure) -> list[tuple[int, int]]:
+    """Pairs that connect the sets of these bitmaps as all pairs that may link would; longer bitmaps are folded to the shortest."""
+    order = np.argsort(sizes, kind="stable")
+    words = min(len(x) for x in maps) // 8
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(maps[i], np.uint64).reshape(-1, words), axis=0) for i in order])
+    return [(int(order[i]), int(order[j])) for i, j in _joined(folded, sizes[order], measure, lambda i, j: True)]
+
+
 def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int = 5, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: component_id is the smallest doc_id reachable by links.
 
@@ -276,7 +319,7 @@ def near_duplicates(docs: DataFrame, similarity: str | float = "0.8", width: int
     blocks = components(pairs).select(F.col("node").alias("digest"), F.col("component").alias("block"))
 
     # the texts of the sets in blocks: one document of each
-    wanted = saved(blocks.join(ones, "digest"))
+    wanted = _refined(saved(blocks.join(ones, "digest")), named, measure)
     # a set may hang on keys that no other set keeps
     several = saved(wanted.groupBy("block").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("block"))
     wanted = saved(wanted.join(small(several, several.count()), "block").select("digest", "block", "doc_id", "size"))
@@ -318,41 +361,82 @@ def _agreeing(met: DataFrame) -> DataFrame:
     return agreed.select("a", "b").union(hung).distinct()
 
 
-def _tiles(got: DataFrame, sized: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b): links between digests of (digest, block, elements), found tile by tile; `sized` has the block and size of every set.
+def _refined(wanted: DataFrame, named: DataFrame, measure: Measure) -> DataFrame:
+    """(digest, block, doc_id, size) with the blocks of more than a tile split by bitmaps, which tell more than keys and are far shorter than sets."""
+    share = F.sum(F.greatest(F.lit(1 / TILE), F.col("size") / ELEMENTS))
+    large = saved(wanted.groupBy("block").agg(share.alias("all")).where("all > 1").select("block"))
+    if not (count := large.count()):
+        return wanted
+    taken = [0]
+    of = saved(wanted.join(small(large, count), "block", "left_semi"))
+    texts = named.join(small(of.select("digest", "block", F.col("doc_id").alias("id")), of.count()), F.col("doc_id").eqNullSafe(F.col("id")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("digest")
+        ids = frame["digest"].tolist()
+        links = near_maps(frame["bits"].tolist(), frame["size"].to_numpy(), measure) if len(ids) > 1 else []
+        taken[0] += sum(map(len, frame["bits"]))
+        del frame
+        give_back(taken)
+        return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
+
+    dealt = _dealt(saved(_sketches(texts, measure)), of.select("block", "size"), measure, SKETCHES, SKETCH_BYTES, 0)
+    near = components(dealt.groupBy("block", "low", "i", "j").applyInPandas(run, "a long, b long").distinct())
+    near = near.select(F.col("node").alias("digest"), F.col("component").alias("block"))
+    rest = wanted.join(small(large, count), "block", "left_anti").select("digest", "block", "doc_id", "size")
+    return saved(rest.unionByName(of.drop("block").join(near, "digest").select("digest", "block", "doc_id", "size")))
 
-    A block of more than `TILE` sets, or `ELEMENTS` shingles, is one tile for every
+
+def _dealt(got: DataFrame, sized: DataFrame, measure: Measure, tile: int, total: int, whole: int = 1) -> DataFrame:
+    """`got`, sets with block and size, by the tiles (block, low, i, j) in which they meet; `sized` has the block and size of every set.
+
+    A block of more than `whole` times `tile` sets, or `total` shingles, is one tile for every
     two neighbouring bands of sizes, of which a pair that may link has at most one
     step between it; two bands of more than that together are dealt by hash into
     chunks that meet in pairs.
     """
     band = lambda size: (F.floor(F.log(F.greatest(size, F.lit(1))) / math.log(100 / measure.percent * 1.0000001)) if measure.percent < 100 else size).cast("long")
     # how many chunks a set takes of a tile
-    share = F.sum(F.greatest(F.lit(1 / TILE), F.col("size") / ELEMENTS))
+    share = F.sum(F.greatest(F.lit(1 / tile), F.col("size") / total))
     blocks = sized.groupBy("block").agg(share.alias("all"))
     bands = sized.groupBy("block", band(F.col("size")).alias("low")).agg(share.alias("n"))
     above = bands.select("block", (F.col("low") - 1).alias("low"), F.col("n").alias("more"))
     # pairs of bands whose lower one is empty add nothing
-    families = bands.join(above, ["block", "low"], "left").join(blocks, "block").where(F.col("all") > 1)
+    families = bands.join(above, ["block", "low"], "left").join(blocks, "block").where(F.col("all") > whole)
     families = saved(families.select("block", "low", F.ceil(F.col("n") + F.coalesce("more", F.lit(0.0)) - 1e-9).cast("int").alias("chunks")))
     count = families.count()
     large = families.select("block").distinct()
     zero = F.lit(0)
-    one = got.join(small(large, count), "block", "left_anti").select("block", F.lit(-1).cast("long").alias("low"), zero.alias("i"), zero.alias("j"), "digest", "elements")
-    own = band((F.octet_length("elements") / 8).cast("long"))
+    columns = [c for c in got.columns if c != "block"]
+    one = got.join(small(large, count), "block", "left_anti").select("block", F.lit(-1).cast("long").alias("low"), zero.alias("i"), zero.alias("j"), *columns)
+    own = band(F.col("size"))
     many = got.join(small(large, count), "block", "left_semi").withColumn("low", F.explode(F.array(own, own - 1))).join(small(families, count), ["block", "low"])
     many = many.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     meet = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
-    many = many.withColumn("tile", F.explode(meet)).select("block", "low", "tile.i", "tile.j", "digest", "elements")
+    many = many.withColumn("tile", F.explode(meet)).select("block", "low", "tile.i", "tile.j", *columns)
+    return one.unionByName(many)
+
+
+def give_back(taken: list[int]) -> None:
+    """Gives memory back after every few MB that tiles, mostly small ones, have taken in a task."""
+    if taken[0] >= BATCH_BYTES // 4:
+        taken[0] = 0
+        release()
+
+
+def _tiles(got: DataFrame, sized: DataFrame, measure: Measure) -> DataFrame:
+    """(a, b): links between digests of (digest, block, elements), found tile by tile; `sized` has the block and size of every set."""
+    taken = [0]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("digest")
         sets = [np.frombuffer(x, np.uint64) for x in frame["elements"]]
         ids = frame["digest"].tolist()
         links = links_in(sets, measure) if len(sets) > 1 else []
-        if len(sets) > 500:
-            del sets, frame
-            release()
+        taken[0] += sum(map(len, sets)) * 8
+        del sets, frame
+        give_back(taken)
         return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
-    return one.unionByName(many).groupBy("block", "low", "i", "j").applyInPandas(run, "a long, b long")
+    dealt = _dealt(got.withColumn("size", (F.octet_length("elements") / 8).cast("long")), sized, measure, TILE, ELEMENTS).drop("size")
+    return dealt.groupBy("block", "low", "i", "j").applyInPandas(run, "a long, b long")

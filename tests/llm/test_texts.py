@@ -80,7 +80,7 @@ def test_near_duplicates_in_tiles(spark, monkeypatch, tile, elements):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 3, 80)
 
 
-@pytest.mark.parametrize("common", [40])
+@pytest.mark.parametrize("common", [3, 40])
 def test_near_duplicates_among_texts_of_shared_passages(spark, monkeypatch, common):
     """Texts put together from the same passages are no block, and near copies among them are all found."""
     r = random.Random(11)
@@ -94,6 +94,7 @@ def test_near_duplicates_among_texts_of_shared_passages(spark, monkeypatch, comm
     sizes, tiles = [], jaccard._tiles
     monkeypatch.setattr(jaccard, "_tiles", lambda got, sized, measure: sizes.extend(x["count"] for x in sized.groupBy("block").count().collect()) or tiles(got, sized, measure))
     monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "TILE", 20)
     got = jaccard.near_duplicates(make(spark, rows)).collect()
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 5, 80)
     assert max(sizes) <= 10

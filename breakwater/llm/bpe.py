@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from breakwater.llm.arrays import PIECE, cut, pieces, prefix_hashes, releasing, span_hashes
 
 #: Documents are taken in blocks of so many bytes.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _END = 1 << 16
 
 

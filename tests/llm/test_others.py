@@ -1,5 +1,6 @@
 """Vectors, urls, language model, decontamination, classifiers and the pipeline against brute force on small fixtures."""
 
+import itertools
 import math
 import os
 import random
@@ -327,3 +328,37 @@ def test_components(spark):
     got = dict(map(tuple, shared.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(31)) and got[200] == 200 and all(c == 100 for n, c in got.items() if 100 <= n < 200)
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def joined_rows(spark, run):
+    """Rows that the joins of all executions within `run` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    rows = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    ids = lambda: {x.executionId() for x in rows(store.executionsList())}
+    before = ids()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total = 0
+    for k in ids() - before:
+        values = store.executionMetrics(k)
+        for node in rows(store.planGraph(k).allNodes()):
+            for m in rows(node.metrics()):
+                if "Join" in node.name() and m.name() == "number of output rows" and (got := values.get(m.accumulatorId())).isDefined():
+                    total += int(got.get().replace(",", ""))
+    return total
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_make_few_rows(spark, monkeypatch, few):
+    """Groups whose members all link, in a row: joins make a few rows for each edge, however many rounds it takes."""
+    monkeypatch.setattr(shared, "FEW", few, raising=False)
+    r = random.Random(2)
+    ids = r.sample(range(1 << 40), 40 * 60)
+    groups = [ids[i : i + 40] for i in range(0, len(ids), 40)]
+    edges = [(a, b) for g in groups for a, b in itertools.combinations(g, 2)] + [(g[0], h[-1]) for g, h in itertools.pairwise(groups)]
+    frame = spark.createDataFrame(edges, "a long, b long").cache()
+    frame.count()
+    got = []
+    made = joined_rows(spark, lambda: got.extend(shared.components(frame).collect()))
+    assert sorted(x["node"] for x in got) == sorted(ids) and {x["component"] for x in got} == {min(ids)}
+    assert 0 < made < 4 * len(edges)

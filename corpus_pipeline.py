@@ -50,9 +50,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of each kept text; ids are little-endian unsigned 32-bit integers."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(coded, ranks)
-    return decoded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
+    decoded = bpe.round_trip(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    # written here: batches are small within this write, while the caller's may be of any size
+    return saved(decoded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", cut_lines), ("jaccard", keep_one), ("decontaminate", drop_leaks), ("bpe", tokenise)]

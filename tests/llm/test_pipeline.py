@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from test_texts import brute_components, brute_lines
 
-from breakwater.llm import queries, toxicity
+from breakwater.llm import queries, shared, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,6 +76,25 @@ def test_run_is_all_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in entry.queries()
 
 
+def test_tokens_come_from_small_batches(spark):
+    """Texts are encoded within a write of the stage's own, in one kernel: a caller's batches may be far larger."""
+    ended = []
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = corpus_pipeline.tokenise(spark, docs, SF)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for k in range(before, runs.size()):
+        x = runs.apply(k)
+        if kernels := x.physicalPlanDescription().partition("\n\n")[0].count("MapInArrow"):
+            batch = x.modifiedConfigs().get(shared._BATCH)
+            ended.append((kernels, batch.isDefined() and int(batch.get()) <= shared.BATCH_BYTES))
+    assert ended and all(x == (1, True) for x in ended), ended
+    assert out.count() == docs.count()
+
+
 def test_nulls_repeats_empty_tables_and_extra_columns(spark, tmp_path):
     """A null text and an empty one stay, repeated rows are copies of which the rows of the smallest id stay, no rows give no rows."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

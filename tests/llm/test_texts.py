@@ -204,6 +204,20 @@ def test_bpe_round_trip(spark):
         assert merges.replay([word])[0] == np.array(long, "<u4").tobytes() if word else long == []
 
 
+def test_bpe_round_trip_in_one_kernel(spark):
+    """It gives what decode gives of encode, with null texts and ids and without rows."""
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.tiktoken")
+    docs = make(spark, corpus(1))
+    once = bpe.round_trip(docs, path, public.PATTERN)
+    twice = bpe.decode(bpe.encode(docs, path, public.PATTERN), path)
+    assert once.dtypes == twice.dtypes
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
+    assert bpe.round_trip(docs.limit(0), path, public.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        bpe.round_trip(docs, path, public.PATTERN, out_name="digest")
+
+
 def brute_lines(rows, k=3):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
     seen, out = {}, []

@@ -4,7 +4,10 @@ A family has `costs(s, t)`, the exact costs of rows [s, t) for an array of
 starts s, and `fit(s, t)`, the final (cost, parameters, residual rows). Where
 costs of one column follow from running sums, `columns` are these sums by row
 and `quick(t, m, ...)` the costs of candidates of lengths m from the sums at their
-starts, which the recursion keeps side by side.
+starts, which the recursion keeps side by side. For `bounded`, `level` is the mean or variance
+that such a cost is made of, `bound` a cost that counts levels below `low` for less than `quick`
+does, `least_level` what levels have to exceed for that, `noise` the rounding of a level times
+its length, and `end` the number of rows before the first whose cost by itself is -inf.
 Families with a gradient step also have `seed`, `step` and `running`, which
 keep the state of all candidates in arrays of one row each.
 """
@@ -28,12 +31,27 @@ def _log_det(m: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(np.linalg.det(m), _FLOOR))
 
 
+def _rounding(*x: np.ndarray | float) -> float:
+    return 4 * np.finfo(float).eps * float(sum(np.max(np.abs(a)) for a in x))
+
+
+def _log_from(level: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The logarithm, below `low` its tangent there."""
+    return np.log(np.maximum(level, low)) + (np.minimum(level / low, 1) - 1)
+
+
 class Family:
     gradient = False
     columns: tuple[np.ndarray, ...] = ()
+    additive = False  # costs of parts never exceed that of the whole
+    least_level, noise = 0.0, 0.0
 
     def __init__(self, z: np.ndarray, p: int):
-        self.z, self.n, self.p = z, len(z), p
+        self.z, self.n, self.p, self.end = z, len(z), p, len(z)
+
+    @property
+    def bounded(self) -> bool:
+        return bool(self.columns) and bool(np.isfinite([c[-1] for c in self.columns]).all())
 
     def costs(self, s: np.ndarray, t: int) -> np.ndarray:
         return np.array([self.fit(int(i), t, False)[0] for i in s])
@@ -51,12 +69,21 @@ class Mean(Family):
         self.sums = _running(white)
         self.squares = np.concatenate(([0.0], np.cumsum((white**2).sum(axis=1))))
         if z.shape[1] == 1:
-            self.columns = self.sums[:, 0].copy(), self.squares
+            self.columns = self.sums[:, 0], self.squares
+            self.noise = _rounding(self.squares[-1], 2 * np.max(np.abs(white)) * np.max(np.abs(self.sums)))
+
+    additive = True
 
     def quick(self, t, m, one, squares):
         d = self.columns[0][t] - one
         return (self.squares[t] - squares - d * d / m) / 2
 
+    def level(self, t, m, one, squares):
+        return np.ones(np.shape(m))
+
+    def bound(self, t, m, low, one, squares):
+        return self.quick(t, m, one, squares)
+
     def costs(self, s, t):
         m = t - s
         if self.columns:
@@ -78,11 +105,20 @@ class Variance(Family):
         x = z - z.mean(axis=0)
         self.sums = _running((x[:, :, None] * x[:, None, :]).reshape(self.n, -1))
         if self.d == 1:
-            self.columns = (self.sums[:, 0].copy(),)
+            self.columns = (self.sums[:, 0],)
+            self.noise = _rounding(self.sums[-1])
+
+    least_level = 3 * _FLOOR
 
     def quick(self, t, m, sums):
         return m / 2 * np.log(np.maximum((self.columns[0][t] - sums) / m, _FLOOR))
 
+    def level(self, t, m, sums):
+        return (self.columns[0][t] - sums) / m
+
+    def bound(self, t, m, low, sums):
+        return m / 2 * _log_from((self.columns[0][t] - sums) / m, low)
+
     def costs(self, s, t):
         s = np.asarray(s)
         if self.columns:
@@ -112,13 +148,22 @@ class MeanVariance(Family):
         x = z - z.mean(axis=0)
         self.sums, self.squares = _running(x), _running((x[:, :, None] * x[:, None, :]).reshape(self.n, -1))
         if self.d == 1:
-            self.columns = self.sums[:, 0].copy(), self.squares[:, 0].copy()
+            self.columns = self.sums[:, 0], self.squares[:, 0]
+            self.noise = _rounding(self.squares[-1], 2 * np.max(np.abs(x)) * np.max(np.abs(self.sums)))
 
-    def quick(self, t, m, sums, squares):
+    least_level = 3 * _FLOOR
+
+    def level(self, t, m, sums, squares):
         mean = (self.columns[0][t] - sums) / m
-        var = (self.columns[1][t] - squares) / m - mean * mean
+        return (self.columns[1][t] - squares) / m - mean * mean
+
+    def quick(self, t, m, sums, squares):
+        var = self.level(t, m, sums, squares)
         return m / 2 * np.log(np.where(var <= 0, _FLOOR, var))
 
+    def bound(self, t, m, low, sums, squares):
+        return m / 2 * _log_from(self.level(t, m, sums, squares), low)
+
     def costs(self, s, t):
         if self.columns:
             return self.quick(t, t - s, *(c[s] for c in self.columns))
@@ -141,10 +186,23 @@ class Exponential(Family):
         super().__init__(z, p)
         self.sums = np.concatenate(([0.0], np.cumsum(z[:, 0])))
         self.columns = (self.sums,)
+        self.noise = _rounding(self.sums[-1])
+        still = self.sums[1:] == self.sums[:-1]
+        self.end = int(still.argmax()) if still.any() else self.n
+
+    @property
+    def bounded(self):
+        return super().bounded and bool((self.z[:, 0] >= 0).all())
 
     def quick(self, t, m, sums):
         return m * (np.log((self.sums[t] - sums) / m) + 1)
 
+    def level(self, t, m, sums):
+        return (self.sums[t] - sums) / m
+
+    def bound(self, t, m, low, sums):
+        return m * (_log_from((self.sums[t] - sums) / m, low) + 1)
+
     def costs(self, s, t):
         with np.errstate(divide="ignore", invalid="ignore"):
             return self.quick(t, t - s, self.sums[s])

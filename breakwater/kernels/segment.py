@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from breakwater import spec as specs
-from breakwater.kernels import families, optim, prepare
+from breakwater.kernels import bounded, families, optim, prepare
 
 LOG2E = math.log2(math.e)
 
@@ -204,6 +204,9 @@ def segment(z: np.ndarray, s: specs.Spec) -> Result:
     if stepping:
         steps.seed(1)
     quick = bool(family.columns) and not stepping
+    if s.family == "exponential" and family.bounded and not stepping and (limit == math.inf or s.adjustment == "BIC" and limit >= beta):
+        # what is given up could not have been the least: the optimum over all candidates
+        return _finished(s, family, p, shift, bounded.backpointers(family, p, s.adjustment, beta, limit, best, back))
     if quick:
         return _finished(s, family, p, shift, _quick(family, s, p, beta, limit, best, back))
     for t in range(2, n + 1):

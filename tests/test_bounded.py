@@ -10,6 +10,7 @@ BIC = {"beta": "BIC", "cost_adjustment": "BIC", "pruning": 0.0}
 #: By query: family, its class, options.
 CASES = {
     "cp_exponential": ("exponential", families.Exponential, BIC),
+    "cp_mean_mbic_exact": ("mean", families.Mean, {"pruning": "exact"}),
 }
 
 

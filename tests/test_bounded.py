@@ -11,6 +11,7 @@ BIC = {"beta": "BIC", "cost_adjustment": "BIC", "pruning": 0.0}
 CASES = {
     "cp_exponential": ("exponential", families.Exponential, BIC),
     "cp_mean_mbic_exact": ("mean", families.Mean, {"pruning": "exact"}),
+    "cp_meanvariance": ("meanvariance", families.MeanVariance, BIC | {"beta": 200.0}),
 }
 
 

@@ -204,7 +204,7 @@ def segment(z: np.ndarray, s: specs.Spec) -> Result:
     if stepping:
         steps.seed(1)
     quick = bool(family.columns) and not stepping
-    if s.family in ("exponential", "mean", "meanvariance", "rank") and family.bounded and not stepping and (limit == math.inf or s.adjustment == "BIC" and limit >= beta):
+    if family.bounded and not stepping and (limit == math.inf or s.adjustment == "BIC" and limit >= beta):
         # what is given up could not have been the least: the optimum over all candidates
         return _finished(s, family, p, shift, bounded.backpointers(family, p, s.adjustment, beta, limit, best, back))
     if quick:

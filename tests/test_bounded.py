@@ -13,6 +13,7 @@ CASES = {
     "cp_mean_mbic_exact": ("mean", families.Mean, {"pruning": "exact"}),
     "cp_meanvariance": ("meanvariance", families.MeanVariance, BIC | {"beta": 200.0}),
     "cp_rank": ("rank", families.Mean, BIC),
+    "cp_variance": ("variance", families.Variance, BIC),
 }
 
 

@@ -151,8 +151,8 @@ def _thin(points: np.ndarray, n: int, trim: float) -> np.ndarray:
     return kept[kept > 0]
 
 
-def segment(z: np.ndarray, s: specs.Spec) -> Result:
-    """Change points of the rows of `z` in their order, with the segments' fits."""
+def segment(z: np.ndarray, s: specs.Spec, residuals: bool = True) -> Result:
+    """Change points of the rows of `z` in their order, with the segments' fits; residuals only if they are wanted."""
     z, s, variance, shift = prepare.prepare(np.asarray(z, float), s)
     n = len(z)
     if n < 2:
@@ -206,9 +206,11 @@ def segment(z: np.ndarray, s: specs.Spec) -> Result:
     quick = bool(family.columns) and not stepping
     if family.bounded and not stepping and (limit == math.inf or s.adjustment == "BIC" and limit >= beta):
         # what is given up could not have been the least: the optimum over all candidates
-        return _finished(s, family, p, shift, bounded.backpointers(family, p, s.adjustment, beta, limit, best, back))
+        bounded.backpointers(family, p, s.adjustment, beta, limit, best, back)
+        del best
+        return _finished(s, family, p, shift, back, residuals)
     if quick:
-        return _finished(s, family, p, shift, _quick(family, s, p, beta, limit, best, back))
+        return _finished(s, family, p, shift, _quick(family, s, p, beta, limit, best, back), residuals)
     for t in range(2, n + 1):
         starts = room[:size]
         if stepping and t > math.floor(last_exact):
@@ -236,7 +238,7 @@ def segment(z: np.ndarray, s: specs.Spec) -> Result:
         size += 1
         if stepping:
             steps.seed(t)
-    return _finished(s, family, p, shift, back)
+    return _finished(s, family, p, shift, back, residuals)
 
 
 def _quick(family: families.Family, s: specs.Spec, p: int, beta: float, limit: float, best: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -281,7 +283,7 @@ def _quick(family: families.Family, s: specs.Spec, p: int, beta: float, limit: f
     return back
 
 
-def _finished(s: specs.Spec, family: families.Family, p: int, shift: int, back: np.ndarray) -> Result:
+def _finished(s: specs.Spec, family: families.Family, p: int, shift: int, back: np.ndarray, wanted: bool = True) -> Result:
     """Change points along the backpointers, and the segments' fits."""
     n = family.n
     points, t = [], n
@@ -289,14 +291,15 @@ def _finished(s: specs.Spec, family: families.Family, p: int, shift: int, back:
         points.append(t)
         t = int(back[t])
     points = _thin(np.array(points[::-1]), n, s.trim)
-    costs, thetas, residuals = [], [], []
+    costs, thetas, parts = [], [], []
     if not s.cp_only:
         for a, b in zip([0, *points.tolist()], [*points.tolist(), n]):
             cost, theta, r = family.fit(a, b, True)
             costs.append(float(adjusted(cost, b - a, s.adjustment, p)))
             thetas.append(np.asarray(theta, float))
-            residuals.append(np.asarray(r, float))
-    rest = np.concatenate([r[:, None] if r.ndim == 1 else r for r in residuals]) if residuals else np.zeros(0)
+            if wanted:
+                parts.append(np.asarray(r, float))
+    rest = np.concatenate([r[:, None] if r.ndim == 1 else r for r in parts]) if parts else np.zeros(0)
     pad = shift if len(rest) and s.family in ("ar", "var") else 0
     if pad:
         rest = np.concatenate((np.full((pad, rest.shape[1]), np.nan), rest))

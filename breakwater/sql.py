@@ -12,9 +12,15 @@ for statements that leave PARTITION BY and ORDER BY to the options.
 
 from __future__ import annotations
 
+import array
+import datetime
 import json
+import math
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
@@ -37,9 +43,55 @@ def _columns(options: dict, names: list[str]) -> tuple[str, list[str], list[str]
     return order, values, keys
 
 
+_PACK = 65_536  # rows kept as Python objects at a time
+_PLAIN = (int, float, str, datetime.date, datetime.datetime)
+
+
+class _Rows:
+    """The order and the values of a partition's rows: typed arrays, but for the last rows and for order columns of other types."""
+
+    def __init__(self):
+        self.values, self.last, self.packed = array.array("d"), [], []
+
+    def add(self, order, values) -> None:
+        self.last.append(order)
+        self.values.extend([math.nan if v is None else v for v in values])
+        if len(self.last) == _PACK:
+            self.pack()
+
+    def pack(self) -> None:
+        kinds = {type(x) for x in self.last}
+        if type(None) in kinds:
+            raise ValueError("changepoints: the order column has nulls")
+        plain = len(kinds) == 1 and kinds <= set(_PLAIN) and not getattr(self.last[0], "tzinfo", None)
+        self.packed.append(pa.array(self.last) if plain else self.last)
+        self.last = []
+
+    def sorted(self, width: int) -> tuple[np.ndarray, Callable[[int], object]]:
+        """Values by the order column, and the order value of a row."""
+        if self.last:
+            self.pack()
+        values = np.frombuffer(self.values).reshape(-1, width)
+        if all(isinstance(x, pa.Array) and x.type == self.packed[0].type for x in self.packed):
+            at = pa.chunked_array(self.packed)
+            by = pc.sort_indices(at).to_numpy()
+        else:
+            at = [y for x in self.packed for y in (x.to_pylist() if isinstance(x, pa.Array) else x)]
+            by = np.array(sorted(range(len(at)), key=at.__getitem__))
+        self.packed = []
+        if len(by) and (by[1:] < by[:-1]).any():
+            values = values[by]
+
+        def place(i: int):
+            x = at[int(by[i])]
+            return x.as_py() if isinstance(x, pa.Scalar) else x
+
+        return values, place
+
+
 class _ChangePoints:
     def __init__(self):
-        self.rows, self.columns, self.request = [], None, None
+        self.rows, self.columns, self.request, self.keys = _Rows(), None, None, ()
 
     @staticmethod
     def _schema(table: AnalyzeArgument, options: AnalyzeArgument | None) -> tuple[T.StructType, str, list[str]]:
@@ -57,19 +109,22 @@ class _ChangePoints:
     def eval(self, row, family: str = "mean", options: str = "{}"):
         if self.request is None:
             given = json.loads(options)
-            self.columns = _columns(given, row.__fields__)
+            names = list(row.__fields__)
+            order, values, keys = _columns(given, names)
+            self.columns = names.index(order), [names.index(v) for v in values]
             self.request = specs.make(family, **given)
-        order, values, keys = self.columns
-        self.rows.append((row[order], [row[v] for v in values], [row[k] for k in keys]))
+            self.keys = [row[k] for k in keys]
+        order, values = self.columns
+        self.rows.add(row[order], [row[v] for v in values])
 
     def terminate(self):
-        if not self.rows:
+        if self.request is None:
             return
-        rows = sorted(self.rows, key=lambda r: r[0])
-        points = segment(np.array([r[1] for r in rows], float), self.request).change_points.tolist()
-        edges = [0, *points, len(rows)]
+        values, place = self.rows.sorted(len(self.columns[1]))
+        points = segment(values, self.request, residuals=False).change_points.tolist()
+        edges = [0, *points, len(values)]
         for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            yield *rows[0][2], i, a + 1, b, rows[b - 1][0]
+            yield *self.keys, i, a + 1, b, place(b - 1)
 
 
 class _Gathered(_ChangePoints):

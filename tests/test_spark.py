@@ -183,3 +183,33 @@ def test_query_equals_sql(spark, name):
             assert np.allclose(a[c], b[c], atol=2e-2 if name.startswith("prefix") else 2e-6, equal_nan=True)
         else:
             assert a[c].astype(str).tolist() == b[c].astype(str).tolist()
+
+
+def test_table_function_keeps_arrays():
+    """Rows that wait for the end of their partition are numbers, not Python objects; other order columns are kept as they are."""
+    import datetime
+    import tracemalloc
+
+    from pyspark.sql import Row
+
+    options = '{"order_by": "t", "values": ["x"], "partition_by": ["k"]}'
+    z = np.concatenate((np.random.default_rng(1).normal(0, 1, 150_000), np.random.default_rng(2).normal(6, 1, 50_000)))
+    made = Row("k", "t", "x")
+    one = sql._ChangePoints()
+    tracemalloc.start()
+    for i, x in enumerate(z):
+        one.eval(made("a", i * 1_000_000, float(x)), "mean", options)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 40 * len(z)
+    day = datetime.date(2000, 1, 1)
+    for place in (lambda i: i, lambda i: f"{i:05}", lambda i: day + datetime.timedelta(i), lambda i: (i, 0), lambda i: i / 2 if i % 2 else i // 2):
+        some = sql._ChangePoints()
+        for i in [*range(50, 100), *range(50)]:
+            some.eval(made("a", place(i), float(i >= 60) * 9 + i % 3), "mean", options)
+        assert list(some.terminate()) == [("a", 0, 1, 60, place(59)), ("a", 1, 61, 100, place(99))]
+    assert list(sql._ChangePoints().terminate()) == []
+    with pytest.raises(ValueError, match="nulls"):
+        some = sql._ChangePoints()
+        some.eval(made("a", None, 1.0), "mean", options)
+        list(some.terminate())

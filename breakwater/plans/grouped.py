@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from breakwater import spec as specs
@@ -33,37 +36,62 @@ def residual_schema(s: Series) -> str:
     return ", ".join([*(f"`{c}` {kinds[c]}" for c in s.partition_by), f"row_index bigint, order_value {order_kind(s)}, residual array<double>"])
 
 
-def values_of(frame: pd.DataFrame, values: list[str]) -> np.ndarray:
-    if len(values) == 1 and len(frame) and isinstance(frame[values[0]].iloc[0], (list, np.ndarray)):
-        return np.array([np.asarray(v, float) for v in frame[values[0]]])
-    return frame[values].to_numpy(float)
-
-
-def _ordered(frame: pd.DataFrame, order: str) -> pd.DataFrame:
-    frame = frame.sort_values(order, kind="stable")
-    places = frame[order]
-    if places.isna().any() or places.duplicated().any():
+_ROWS = 65_536  # rows of residuals in a batch
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column of numbers or of arrays of them; nulls are NaN."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(float, copy=False)[:, None]
+    lengths = set(column.value_lengths().unique().to_pylist())
+    if len(lengths) > 1 or None in lengths:
+        raise ValueError("the series holds null arrays or arrays of several lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def _series(batches: Iterator[pa.RecordBatch], values: list[str], order: str) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """Order column and values of a series in its order: of each batch nothing else is kept."""
+    places, numbers = [], []
+    for batch in batches:
+        places.append(batch.column(order))
+        numbers.append(np.hstack([_numbers(batch.column(v)) for v in values]))
+    at, z = pa.chunked_array(places), np.concatenate(numbers)
+    del numbers, places
+    bad = at.null_count > 0 or pa.types.is_floating(at.type) and pc.any(pc.is_nan(at)).as_py()
+    by = pc.sort_indices(at).to_numpy()
+    if (by[1:] < by[:-1]).any():
+        at, z = at.take(pa.array(by)), z[by]
+    del by
+    if bad or len(at) > 1 and pc.any(pc.equal(at[1:], at[:-1])).as_py():
         raise ValueError(f"the order column {order!r} has nulls or repeats within a series")
-    return frame
+    return at, z
 
 
-def _series_row(frame: pd.DataFrame, s: specs.Spec, values: list[str], order: str, keys: list[str]) -> pd.DataFrame:
-    frame = _ordered(frame, order)
-    r: Result = segment(values_of(frame, values), s)
-    at, points = frame[order], r.change_points.tolist()
-    edges = [0, *points, len(frame)]
+def _series_row(key: tuple, batches: Iterator[pa.RecordBatch], s: specs.Spec, values: list[str], order: str, keys: list[str]) -> pa.RecordBatch:
+    at, z = _series(batches, values, order)
+    r: Result = segment(z, s, residuals=False)
+    points = r.change_points.tolist()
+    edges = [0, *points, len(z)]
     segments = [{"segment_id": i, "start_index": edges[i] + 1, "end_index": edges[i + 1], "cost": float(c), "theta": np.asarray(t, float).ravel().tolist()} for i, (c, t) in enumerate(zip(r.costs, r.thetas))]
-    out = {k: [frame[k].iloc[0]] for k in keys}
-    out |= {"n_rows": [len(frame)], "changes": [[{"cp_index": c, "order_value": at.iloc[c - 1]} for c in points]], "segments": [segments]}
-    return pd.DataFrame(out)
-
-
-def _residual_rows(frame: pd.DataFrame, s: specs.Spec, values: list[str], order: str, keys: list[str]) -> pd.DataFrame:
-    frame = _ordered(frame, order)
-    rest = segment(values_of(frame, values), s).residuals
-    n = min(len(rest), len(frame)) if rest.ndim == 2 else 0
-    out = {k: frame[k].iloc[:n].tolist() for k in keys}
-    return pd.DataFrame(out | {"row_index": np.arange(1, n + 1), "order_value": frame[order].iloc[:n].tolist(), "residual": list(rest[:n]) if n else []})
+    changes = [{"cp_index": c, "order_value": at[c - 1].as_py()} for c in points]
+    change = pa.struct([("cp_index", pa.int64()), ("order_value", at.type)])
+    part = pa.struct([("segment_id", pa.int32()), ("start_index", pa.int64()), ("end_index", pa.int64()), ("cost", pa.float64()), ("theta", pa.list_(pa.float64()))])
+    columns = [*(pa.array([k.as_py()], k.type) for k in key), pa.array([len(z)], pa.int64()), pa.array([changes], pa.list_(change)), pa.array([segments], pa.list_(part))]
+    return pa.RecordBatch.from_arrays(columns, [*keys, "n_rows", "changes", "segments"])
+
+
+def _residual_rows(key: tuple, batches: Iterator[pa.RecordBatch], s: specs.Spec, values: list[str], order: str, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    at, z = _series(batches, values, order)
+    rest = segment(z, s).residuals
+    n = min(len(rest), len(z)) if rest.ndim == 2 else 0
+    del z
+    for a in range(0, n, _ROWS):
+        part = rest[a : min(a + _ROWS, n)]
+        m, width = part.shape
+        residual = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * width), pa.array(part.ravel()))
+        places = at.slice(a, m).combine_chunks()
+        columns = [*(pa.repeat(k, m) for k in key), pa.array(np.arange(a + 1, a + m + 1)), places, residual]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, "row_index", "order_value", "residual"])
 
 
 def dealt(s: Series) -> DataFrame:
@@ -77,17 +105,17 @@ def run(s: Series, spec: specs.Spec) -> DataFrame:
     """One row for each series: keys, n_rows, changes, segments."""
     values, order, keys = s.values, s.order_by, s.partition_by
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        return _series_row(frame, spec, values, order, keys)
+    def kernel(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _series_row(key, batches, spec, values, order, keys)
 
-    return dealt(s).groupBy(*keys).applyInPandas(kernel, schema(s))
+    return dealt(s).groupBy(*keys).applyInArrow(kernel, schema(s))
 
 
 def residuals(s: Series, spec: specs.Spec) -> DataFrame:
     """One row for each row of the series: keys, row_index, order_value, residual. A kernel run of its own, made only if asked for."""
     values, order, keys = s.values, s.order_by, s.partition_by
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        return _residual_rows(frame, spec, values, order, keys)
+    def kernel(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _residual_rows(key, batches, spec, values, order, keys)
 
-    return dealt(s).groupBy(*keys).applyInPandas(kernel, residual_schema(s))
+    return dealt(s).groupBy(*keys).applyInArrow(kernel, residual_schema(s))

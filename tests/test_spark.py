@@ -213,3 +213,40 @@ def test_table_function_keeps_arrays():
         some = sql._ChangePoints()
         some.eval(made("a", None, 1.0), "mean", options)
         list(some.terminate())
+
+
+def test_residuals_leave_in_batches():
+    """A series' residuals are arrays from its values to its rows, never one object a row."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from breakwater.plans import grouped
+
+    n = 200_000
+    z = np.random.default_rng(1).normal(0, 1, n)
+    t = np.random.default_rng(2).permutation(n)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a"] * 10_000), pa.array(t[i : i + 10_000]), pa.array(z[i : i + 10_000])], ["k", "t", "x"]) for i in range(0, n, 10_000)]
+    rows, most, held = 0, 0, []
+    tracemalloc.start()
+    for out in grouped._residual_rows((pa.scalar("a"),), iter(batches), spec.make("mean", variance=[[1.0]], beta=40.0, cost_adjustment="BIC", pruning=0.0), ["x"], "t", ["k"]):
+        assert out.schema.names == ["k", "row_index", "order_value", "residual"] and out.column("order_value").to_pylist() == list(range(rows, rows + out.num_rows))
+        held.append(np.asarray(out.column("residual").flatten()))
+        rows, most = rows + out.num_rows, max(most, out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and most < n and np.allclose(np.concatenate(held), z[np.argsort(t)] - z.mean())
+    assert peak < 130 * n
+
+
+def test_kinds_of_keys_and_orders(spark):
+    """Dates, timestamps, decimals and several keys come through as they are."""
+    rows = [(k, i, float(i >= 30) * 9 + i % 3) for k in ("a", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, i int, x double").withColumn("d", F.expr("date_add(DATE'2020-01-01', i)")).withColumn("s", F.expr("timestamp_seconds(i * 86400)")).withColumn("c", F.expr("CAST(i AS DECIMAL(10, 2))")).withColumn("j", F.expr("CAST(7.5 AS DECIMAL(4, 1))"))
+    for order in ("d", "s", "c"):
+        got = api.mean(df, "x", order, ["k", "j"], keep=False)
+        want = df.where("i = 29").select("k", "j", F.col(order).alias("order_value")).collect()
+        assert sorted(map(str, got.change_points.select("k", "j", "order_value").collect())) == sorted(map(str, want))
+        assert got.residuals.count() == 120 and got.residuals.where("order_value IS NULL OR size(residual) <> 1").count() == 0
+    single = api.mean(df.where("k = 'a'"), "x", "i", keep=False)
+    assert single.residuals.count() == 60 and [r["order_value"] for r in single.change_points.collect()] == [29]
